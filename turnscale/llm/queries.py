@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sharding, simhash
+from . import line_dedup, mixing, passage_quality, pieces, quality_rules, sharding, simhash, warc
 from .common import table
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,18 +27,50 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(pieces.default_model(spark))
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash_anchors": op7_simhash_anchors,
+    "op9_passage_attention": op9_passage_attention,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_round_trip": """
+        WITH rows AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        named AS (
+            SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+                   list_transform(range(8), lambda k: CAST('0x' || substr(h, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS parts
+            FROM rows)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(parts, lambda v: concat(
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // 32768 + 1 AS INT), 1),
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // 1024 % 32 + 1 AS INT), 1),
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // 32 % 32 + 1 AS INT), 1),
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v % 32 + 1 AS INT), 1))), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, url AS target_uri
+        FROM named""",
     "op3_weighted_fair_mix": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
