@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, passage_quality, pieces, quality_rules, sharding, simhash, warc
+from . import line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_search, warc
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,6 +40,10 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,12 +54,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_anchors": op7_simhash_anchors,
+    "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_passage_attention": op9_passage_attention,
     "op10_sentencepiece": op10_sentencepiece,
 }
