@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, ascii_lower, scratch, wide_hash
-
-
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends and with A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+from .common import SPACES, ascii_lower, saved, scratch, wide_hash
 
 
 def text_lines(text: Column) -> Column:
@@ -19,10 +14,17 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def hashed(key: Column, least_chars: int) -> Column:
-    """The key's two hashes, or null if it is too short to be looked at."""
-    h1, h2 = wide_hash(key)
-    return F.when(F.length(key) >= least_chars, F.struct(h1.alias("h1"), h2.alias("h2")))
+def line_hashes(text: Column, least_chars: int) -> Column:
+    """Two hashes of each line's key, which is the line without ASCII white space at its ends and with A-Z lower-cased;
+    null for a key that is too short to be looked at."""
+
+    def hashed(key: Column) -> Column:
+        h1, h2 = wide_hash(key)
+        return F.when(F.length(key) >= least_chars, F.struct(h1.alias("h1"), h2.alias("h2")))
+
+    # One step each: an expression within a lambda is worked out again wherever it is named.
+    trimmed = F.transform(text_lines(text), lambda line: F.btrim(line, F.lit(SPACES)))
+    return F.transform(F.transform(trimmed, ascii_lower), hashed)
 
 
 class LineRuns:
@@ -98,8 +100,8 @@ def dedup_lines(documents: DataFrame, least_docs: int = 10, least_chars: int = 1
     spark = documents.sparkSession
     # Equal ids with equal texts drop equal lines, so this tells rows apart as far as it matters.
     row_key = F.xxhash64("doc_id", "text")
-    keys = F.transform(text_lines(F.col("text")), lambda line: hashed(line_key(line), least_chars))
-    keyed = documents.select(F.col("doc_id").alias("_id"), row_key.alias("_row"), keys.alias("keys"))
+    keyed = documents.select(F.col("doc_id").alias("_id"), row_key.alias("_row"), line_hashes(F.col("text"), least_chars).alias("keys"))
+    keyed = saved(keyed, "line-keys")
     home = scratch(spark, "line-runs")
     by_batch = keyed.withColumn("batch", F.pmod("_row", F.lit(batches)).cast("int"))
     batch_keys(by_batch).write.partitionBy("batch").parquet(f"{home}/arrivals")
