@@ -30,7 +30,7 @@ def fit_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 0) -> np.ndar
     start = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
     if len(sample) < 2:
         return start
-    axes = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=True)[2].T
+    axes = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(dims, dims))[1][:, ::-1]
     projected, turn = sample @ axes, start
     for _ in range(rounds):
         u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
