@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalar_queries, turn_queries
+from . import corpus_queries, scalar_queries, turn_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**turn_queries.QUERIES, **scalar_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**turn_queries.ORACLE, **scalar_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**turn_queries.QUERIES, **corpus_queries.QUERIES, **scalar_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**turn_queries.ORACLE, **corpus_queries.ORACLE, **scalar_queries.ORACLE}
