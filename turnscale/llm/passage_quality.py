@@ -139,24 +139,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 3000, most_passages: int = 2000) -> MilModel:
-    """Fit on the `sample` labelled rows of least id hash that aren't held out and have most_passages at most.
+    """Fit on the `sample` labelled ids of least hash that aren't held out, without texts over most_passages.
 
-    Both bounds hold what reaches the driver: passage features of the sample, no texts. Only rows with a 0 or 1 and
-    an id take part; where labels repeat an id, its least label counts.
+    Both bounds hold what reaches the driver: passage features of the sample, no texts. Only labels 0 and 1 with an id
+    take part; where labels repeat an id, its least label counts, and where documents do, one row of it.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label")).filter(~held_out())
+    ids = marked.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_passages * PASSAGE)
-    rows = rows.join(marked, "doc_id")
-    place = F.xxhash64(F.lit("sample"), "doc_id")
-    ids = rows.select("doc_id", place.alias("place"), F.xxhash64("text").alias("h")).orderBy("place", "doc_id", "h").limit(sample)
-    chosen = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = rows.join(F.broadcast(ids), "doc_id")  # `sample` ids at most, so that no text is shuffled
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [encode_passages(t).astype(np.float16).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "label": batch["label"], "bag": bags})
 
-    found = chosen.mapInPandas(run, "doc_id string, label int, bag binary").toPandas().sort_values(["doc_id", "bag"])[:sample]
+    encoded = chosen.mapInPandas(run, "doc_id string, label int, bag binary")
+    found = encoded.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).toPandas().sort_values("doc_id")
     bags = [np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, FEATURES) for b in found["bag"]]
     return fit_mil(bags, found["label"].to_numpy(np.float64))
 
