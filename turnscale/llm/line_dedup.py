@@ -81,7 +81,7 @@ def batch_keys(lines: DataFrame) -> DataFrame:
     return each.groupBy("batch", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count("*").alias("docs"), F.min("_id").alias("first"))
 
 
-def dedup_lines(documents: DataFrame, least_docs: int = 10, least_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, least_docs: int = 10, least_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False, counts: bool = True) -> DataFrame:
     """Drop every line whose key is in at least `least_docs` documents, from every document.
 
     With keep_first, the document of smallest doc_id among those that have the key keeps its lines.
@@ -91,8 +91,8 @@ def dedup_lines(documents: DataFrame, least_docs: int = 10, least_chars: int = 1
     documents go. Only hashes are shuffled for this, and the positions of dropped lines; texts are read twice and
     shuffled once, to meet their positions.
 
-    Returns the documents' columns with the text replaced, and n_lines and n_dropped (columns of these names are
-    replaced). A null or empty text is one empty line, and with least_chars 0 that line can be dropped, too; a null
+    Returns the documents' columns with the text replaced; with `counts`, n_lines and n_dropped after them (in place of
+    columns of these names). A null or empty text is one empty line, and with least_chars 0 that line can be dropped, too; a null
     text stays null if nothing was dropped. Rows that repeat a doc_id are documents of their own; null ids are fine.
     """
     if batches < 1 or fanout < 2:
@@ -118,17 +118,16 @@ def dedup_lines(documents: DataFrame, least_docs: int = 10, least_chars: int = 1
     if keep_first:
         hits = hits.filter(~F.col("_id").eqNullSafe(F.col("first")))
     dropped = hits.groupBy(F.xxhash64("_id", "_row").alias("_key"), "_row").agg(F.collect_set("at").alias("_at"))
-    rows = documents.withColumn("_r", row_key).withColumn("_k", F.xxhash64("doc_id", "_r"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(whole.alias("d"), row_key.alias("_r"), F.xxhash64("doc_id", row_key).alias("_k"))
     rows = rows.join(dropped, (F.col("_k") == F.col("_key")) & (F.col("_r") == F.col("_row")), "left")
-    lines = text_lines(F.col("text"))
+    lines = text_lines(F.col("d.text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_at"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    n_dropped = F.coalesce(F.size("_at"), F.lit(0)).cast("long")
-    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("text", "n_lines", "n_dropped")]
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(rest)
-    rows = rows.select(*others, text.alias("text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
-    first = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    return rows.select(*[F.col(f"`{c}`") for c in first], "n_lines", "n_dropped")
+    text = F.when(F.col("_at").isNull(), F.col("d.text")).otherwise(rest)
+    added = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_at"), F.lit(0)).cast("long")} if counts else {}
+    columns = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in documents.columns if c not in added]
+    return rows.select(*columns, *[v.alias(k) for k, v in added.items()])
 
 
 def line_dedup_digest(documents: DataFrame, **options) -> DataFrame:

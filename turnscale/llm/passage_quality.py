@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a passage, buckets of hashed words, bytes of text encoded at once.
@@ -160,26 +160,23 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
     return fit_mil(bags, found["label"].to_numpy(np.float64))
 
 
-def score_documents(documents: DataFrame, model: MilModel) -> DataFrame:
-    """The columns of documents and `score` (replaced if there): how likely the text's label is 1. One pass, no shuffle."""
-    columns = [c for c in documents.columns if c != "score"]
+def score_texts(text: Column, model: MilModel) -> Column:
+    """How likely the text's label is 1."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores, bags, size = [], [], 0
-            for text in batch["text"]:
-                bags.append(encode_passages(text))
-                size += len(bags[-1])
-                if size > 4096:
-                    scores.append(model.scores(bags))
-                    bags, size = [], 0
-            if bags:
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        scores, bags, size = [np.zeros(0)], [], 0
+        for t in texts:
+            bags.append(encode_passages(t))
+            size += len(bags[-1])
+            if size > 4096:
                 scores.append(model.scores(bags))
-            batch["score"] = np.concatenate(scores) if scores else np.zeros(0)
-            yield batch
+                bags, size = [], 0
+        if bags:
+            scores.append(model.scores(bags))
+        return pd.Series(np.concatenate(scores))
 
-    rows = documents.select(*[F.col(f"`{c}`") for c in columns])
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
+    return score(text)
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -189,12 +186,11 @@ def classify_quality(documents: DataFrame, labels: DataFrame, threshold: float =
     is not held out and has no label. Rows that repeat an id are scored each by its own text. Without labels, all
     scores are 0.5.
     """
-    model = train(documents, labels, **options)
-    rows = score_documents(documents.select("doc_id", "text", held_out().alias("held_out")), model)
-    return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = score_texts(F.col("text"), train(documents, labels, **options))
+    rows = documents.select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    return rows.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents of score `threshold` or more, with their columns."""
-    scored = score_documents(documents, train(documents, labels, **options))
-    return scored.filter(F.col("score") >= threshold).select(*documents.columns)
+    """The documents of score `threshold` or more, with their columns; one pass over the texts, no shuffle."""
+    return documents.filter(score_texts(F.col("text"), train(documents, labels, **options)) >= threshold)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,16 +59,13 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def count_texts(documents: DataFrame, host: Column) -> DataFrame:
     """row (unique), doc_id, host, same (a hash of the text), COUNTS, keys, sizes of every document; saved."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, host string, same long, {', '.join(f'{c} long' for c in COUNTS)}, keys array<long>, sizes array<int>"
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = pd.DataFrame([text_counts(t) for t in batch["text"]], columns=[*COUNTS, "keys", "sizes"])
-            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), counts], axis=1)
+    @F.pandas_udf(f"struct<{','.join(f'{c}:long' for c in COUNTS)},keys:array<long>,sizes:array<int>>")
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_counts(t) for t in texts], columns=[*COUNTS, "keys", "sizes"])
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.cast("string").alias("host"), F.xxhash64("text").alias("same"), "text")
-    return saved(rows.mapInPandas(run, schema), "text-counts")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.cast("string").alias("host"), F.xxhash64("text").alias("same"), counts("text").alias("c"))
+    return saved(rows.select("row", "doc_id", "host", "same", "c.*"), "text-counts")
 
 
 def common_lines(counts: DataFrame, least_docs: int, share: float) -> DataFrame:

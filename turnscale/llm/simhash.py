@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import saved
 from .components import components
@@ -36,16 +33,14 @@ def simhash64(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of every row; the fingerprint as a signed long."""
+def fingerprint(text: Column, shingle: int) -> Column:
+    """The SimHash as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.array([simhash64(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": values})
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash64(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    kind = documents.schema["doc_id"].dataType
-    return documents.select("doc_id", "text").mapInPandas(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fingerprint", T.LongType())]))
+    return of(text)
 
 
 # The anchors are the words of the perfect Hamming code on bits 0 to 62, with bit 63 free: every word of 64 bits is
@@ -125,7 +120,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     have fingerprint zero, linked like any other. Null ids are never a component_id unless the component has none
     but nulls; repeated rows share their component.
     """
-    prints = saved(fingerprints(documents, shingle), "fingerprints")
+    prints = saved(documents.select("doc_id", fingerprint(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
     words = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "words")
     roots = components(covering_links(words.select("fingerprint")))
     tops = words.join(roots, words["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))

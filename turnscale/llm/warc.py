@@ -10,9 +10,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import saved, scratch
 
@@ -23,6 +24,8 @@ PAGE_URN = "urn:x-page:"
 #: Bytes read at once, of a sample for a dictionary, of a dictionary, and of records after which an archive is closed.
 CHUNK, SAMPLE, DICTIONARY, ARCHIVE = 1 << 16, 1 << 20, 1 << 15, 256 << 20
 
+MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+
 
 class WarcError(ValueError):
     """An archive that doesn't hold what its format promises."""
@@ -55,11 +58,12 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def train_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary for records like these; none if they are too few for one."""
+    """A dictionary for records like these; none if too few of them are no longer than a dictionary."""
     import zstandard
 
+    sample = [r for r in records if len(r) <= DICTIONARY]
     try:
-        return zstandard.train_dictionary(DICTIONARY, records, k=256, d=8).as_bytes() if len(records) >= 8 else b""
+        return zstandard.train_dictionary(DICTIONARY, sample, k=256, d=8).as_bytes() if len(sample) >= 8 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -120,19 +124,18 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0, le
     refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = rows.select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(path)
         date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-        number = lambda v: None if pd.isna(v) else int(v)
         archive, name, done = None, "", []
         for batch in batches:
-            for row in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers_to"], strict=True):
+            for row in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "refers_to")], strict=True):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    archive = ArchiveWriter(files.open_output_stream(f"{base}/{name}"), level)
-                archive.add(build_record(number(row[0]), row[1], row[2], number(row[3]), date))
+                    archive = ArchiveWriter(files.open_output_stream(f"{base}/{name}", compression=None), level)
+                archive.add(build_record(*[value.as_py() for value in row], date))
                 if archive.size >= archive_bytes:
                     archive.close()
                     done.append((f"{path}/{name}", archive.records, archive.size))
@@ -140,10 +143,10 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0, le
         if archive is not None:
             archive.close()
             done.append((f"{path}/{name}", archive.records, archive.size))
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), d, strict=True)) for d in done], MANIFEST)
 
     make_dir(path)
-    return saved(rows.mapInPandas(run, "path string, records long, bytes long"), "manifest")
+    return saved(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def make_dir(path: str) -> None:
@@ -227,7 +230,10 @@ def parse_record(record: bytes) -> dict:
     }
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
+RECORD = [
+    pa.field("page_id", pa.int64()), pa.field("payload_bytes", pa.int64()), pa.field("payload_digest", pa.string()),
+    pa.field("record_type", pa.string()), pa.field("refers_to", pa.int64()), pa.field("target_uri", pa.string()),
+]
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False, rows_per_batch: int = 500) -> DataFrame:
@@ -236,34 +242,30 @@ def read_archives(manifest: DataFrame, payloads: bool = False, rows_per_batch: i
     An archive is read as a stream by one task, a record at a time. Anything broken, or another number of records
     than listed, raises WarcError. An empty manifest gives no rows.
     """
-    columns = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads
+    schema = pa.schema([*RECORD, pa.field("payload", pa.binary())] if payloads else RECORD)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        def frame(rows: list[dict]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=columns)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
         for batch in batches:
-            for path, records in zip(batch["path"], batch["records"], strict=True):
-                files, name = fs.FileSystem.from_uri(path)
+            for archive in batch.to_pylist():
+                files, name = fs.FileSystem.from_uri(archive["path"])
                 rows, count = [], 0
-                with files.open_input_stream(name) as stream:
+                with files.open_input_stream(name, compression=None) as stream:
                     for content in read_frames(stream):
                         rows.append(parse_record(content))
                         count += 1
                         if len(rows) >= rows_per_batch:
-                            yield frame(rows)
+                            yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
-                if count != records:
-                    raise WarcError(f"{path} has {count} records, not {records}")
+                if count != archive["records"]:
+                    raise WarcError(f"{archive['path']} has {count} records, not {archive['records']}")
                 if rows:
-                    yield frame(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     archives = manifest.select("path", "records")
     spread = archives.repartitionByRange(max(1, archives.count()), "path")
-    return spread.mapInPandas(run, RECORD + ", payload binary" * payloads)
+    return spread.mapInArrow(run, from_arrow_schema(schema))
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
