@@ -13,24 +13,40 @@ from .components import components
 SEED = 42
 
 
-def simhash64(text: str | None, shingle: int) -> int:
-    """The unsigned 64-bit SimHash over all word shingles of the whole text; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of the whole text, A-Z lower-cased; of all its words if they are fewer."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit hashes (n x k), k words whose bits are set in over half the rows; zeros for no rows.
+
+    Bits are counted in bytes, by as many rows as a byte can count.
+    """
+    n, k = hashes.shape
+    ones = np.zeros(64 * k, np.int64)
+    for at in range(0, n, 255 * 32):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255 * 32]).view(np.uint8), bitorder="little").reshape(-1, 64 * k)
+        rows = min(len(bits), 255)
+        full = len(bits) // rows * rows
+        ones += bits[:full].reshape(rows, -1).sum(axis=0, dtype=np.uint8).reshape(-1, 64 * k).sum(axis=0, dtype=np.int64)
+        ones += bits[full:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def simhash64(text: str | None, shingle: int) -> int:
+    """The unsigned 64-bit SimHash over all word shingles of the whole text; 0 if it has no word."""
+    return int(majority_bits(shingle_hashes(text, shingle)[:, None])[0])
 
 
 def fingerprint(text: Column, shingle: int) -> Column:
