@@ -215,7 +215,7 @@ FEED = "'{\"id\": \"' || slug || '/m-' || p_partkey || '\", \"pricing\": {\"prom
 
 
 @register("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'mistral' ELSE 'meta' END AS provider, 'm-' || CAST(p_partkey AS STRING) AS model,
-    CAST(p_partkey AS DOUBLE) AS input_per_m, 20.0 AS output_per_m, 1.0 AS cache_read_per_m FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 5 <> 0""")
+    CAST(p_partkey AS DOUBLE) AS input_per_m, CAST(20 AS DOUBLE) AS output_per_m, CAST(1 AS DOUBLE) AS cache_read_per_m FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 5 <> 0""")
 def price_feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feed of one entry per part: known and unknown slugs, and prices of 0."""
     i = F.col("p_partkey")

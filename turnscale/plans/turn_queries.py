@@ -289,7 +289,7 @@ HOURS = 3_600_000
 @register(f"""WITH m AS (SELECT * FROM {{v_mutations}} WHERE chars_added > 0),
     w AS (SELECT node, ts_ms, count(*) OVER r AS n, avg(chars_added) OVER r AS mean, ts_ms - min(ts_ms) OVER (PARTITION BY node) AS span FROM m
           WINDOW r AS (PARTITION BY node ORDER BY ts_ms RANGE BETWEEN {48 * HOURS - 1} PRECEDING AND CURRENT ROW))
-    SELECT node, min(ts_ms) AS ts_ms, 'velocity' AS detector, 0.6 AS confidence FROM w WHERE n >= 3 AND span >= {HOURS} AND n * 1000.0 / nullif(span, 0) >= 0.00004 AND mean >= 1 GROUP BY node""")
+    SELECT node, min(ts_ms) AS ts_ms, 'velocity' AS detector, CAST(0.6 AS DOUBLE) AS confidence FROM w WHERE n >= 3 AND span >= {HOURS} AND n * 1000.0 / nullif(span, 0) >= 0.00004 AND mean >= 1 GROUP BY node""")
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.velocity_candidates(view(spark, sf_dir, "v_mutations"), 48 * HOURS, HOURS, 0.00004, 3, 1.0)
 
