@@ -107,7 +107,7 @@ def test_classifier_on_odd_rows(spark):
 def test_gradients():
     r = np.random.default_rng(0)
     bags = [r.normal(size=(n, passage_quality.FEATURES)) for n in (1, 3, 2)]
-    model = passage_quality.fit_mil(bags, np.array([0.0, 1.0, 1.0]), hidden=5, attention=3, epochs=1)
+    model = passage_quality.fit_mil(bags, np.array([0.0, 1.0, 1.0]), hidden=5, attention=3, steps=1)
     x, starts, y, w = np.concatenate(bags), np.array([0, 1, 4]), np.array([0.0, 1.0, 1.0]), np.array([1.0, 2.0, 0.5])
     loss = lambda: -np.mean(w * (y * np.log(p := model.forward(x, starts)["y"]) + (1 - y) * np.log(1 - p)))
     grads = passage_quality.gradients(model, x, starts, y, w)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Words of a passage, buckets of hashed words, bytes of text encoded at once.
 PASSAGE, BUCKETS, BLOCK = 64, 128, 1 << 22
 #: Classes of bytes that are counted: each byte's class is the place of the first set that has it.
@@ -104,8 +106,9 @@ def gradients(model: MilModel, x: np.ndarray, starts: np.ndarray, labels: np.nda
     }
 
 
-def fit_mil(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 40, seed: int = 0) -> MilModel:
-    """Fit by Adam on balanced cross-entropy with weight decay. Without both labels, the score is the labels' mean."""
+def fit_mil(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, steps: int = 2000, seed: int = 0) -> MilModel:
+    """Fit balanced cross-entropy with weight decay by `steps` steps of Adam, or one epoch if that is more, on batches of
+    some 64 bags. Without both labels, the score is the labels' mean."""
     random = np.random.default_rng(seed)
     everything = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
     shape = {"W": (FEATURES, hidden), "b": (hidden,), "V": (hidden, attention), "U": (hidden, attention), "w": (attention,), "c": (hidden,), "d": ()}
@@ -120,8 +123,10 @@ def fit_mil(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attent
     balance = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
     bags = [model.standard(b).astype(np.float64) for b in bags]
     mean, square, step = {k: 0.0 for k in weights}, {k: 0.0 for k in weights}, 0
+    parts = max(1, len(bags) // 64)
+    epochs = -(-steps // parts)
     for epoch in range(epochs):
-        for part in np.array_split(random.permutation(len(bags)), max(1, len(bags) // 64)):
+        for part in np.array_split(random.permutation(len(bags)), parts):
             own = [bags[i] for i in part]
             starts = np.concatenate([[0], np.cumsum([len(b) for b in own])[:-1]]).astype(np.int64)
             step += 1
@@ -146,7 +151,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label")).filter(~held_out())
     ids = marked.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_passages * PASSAGE)
+    rows = bound_batches(documents).select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_passages * PASSAGE)
     chosen = rows.join(F.broadcast(ids), "doc_id")  # `sample` ids at most, so that no text is shuffled
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

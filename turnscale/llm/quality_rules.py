@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bound_batches, saved
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -64,7 +64,7 @@ def count_texts(documents: DataFrame, host: Column) -> DataFrame:
     def counts(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_counts(t) for t in texts], columns=[*COUNTS, "keys", "sizes"])
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.cast("string").alias("host"), F.xxhash64("text").alias("same"), counts("text").alias("c"))
+    rows = bound_batches(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", host.cast("string").alias("host"), F.xxhash64("text").alias("same"), counts("text").alias("c"))
     return saved(rows.select("row", "doc_id", "host", "same", "c.*"), "text-counts")
 
 

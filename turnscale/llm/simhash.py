@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bound_batches, saved
 from .components import components
 
 SEED = 42
@@ -136,7 +136,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     have fingerprint zero, linked like any other. Null ids are never a component_id unless the component has none
     but nulls; repeated rows share their component.
     """
-    prints = saved(documents.select("doc_id", fingerprint(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
+    prints = saved(bound_batches(documents).select("doc_id", fingerprint(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
     words = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "words")
     roots = components(covering_links(words.select("fingerprint")))
     tops = words.join(roots, words["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import saved, scratch
+from .common import bound_batches, saved, scratch
 
 #: Fixed values of the format: the magic numbers of a skippable dictionary frame and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0, le
     slim = pages.filter("page_id is not null").select("page_id", F.sha1(payload).alias("same"), F.octet_length(payload).alias("n"))
     groups = slim.filter(F.col("n") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
     groups = saved(groups.filter("copies > 1").select("same", "first"), "page-copies")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("same")).join(groups, "same", "left")
+    rows = bound_batches(pages).select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("same")).join(groups, "same", "left")
     refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = rows.select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
