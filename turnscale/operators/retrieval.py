@@ -33,21 +33,29 @@ def topk_similar(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, k: int
     return top_per_key(both.filter("distance is not null").drop("embedding", "query_embedding"), ["draft_id"], [F.col("distance"), F.col("id")], k)
 
 
-def fit_to_budget(scored: DataFrame, key: str = "draft_id", budget: str = "token_budget") -> DataFrame:
-    """Of each key's few rows (final_score, distance, id, cost, budget) those taken: by score, each that still fits.
+def budget_lists(scored: DataFrame, key: str = "draft_id", budget: str = "token_budget") -> DataFrame:
+    """(key, considered, used, taken) of each key's few rows: those taken by score, each that still fits, as structs.
 
-    A row that doesn't fit is passed over and uses no budget, which no running sum could tell.
+    scored has final_score, distance, id, cost and budget. A row that doesn't fit is passed over and uses no budget,
+    which no running sum could tell.
     """
-    order = F.struct((-F.col("final_score")).alias("s"), F.col("distance").alias("d"), "id", "cost")
+    columns = [c for c in scored.columns if c != key]
+    order = F.struct((-F.col("final_score")).alias("s"), F.col("distance").alias("d"), F.col("id").alias("i"), F.struct(*columns).alias("row"))
     groups = scored.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("rows"), F.max(budget).alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("ids"))
+    row_type = scored.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{row_type}>").alias("taken"))
+
+    def take(state: Column, item: Column) -> Column:
+        total = state["used"] + item["row"]["cost"]
+        return F.when(total <= F.col("b"), F.struct(total.alias("used"), F.array_append(state["taken"], item["row"]).alias("taken"))).otherwise(state)
+
+    state = groups.select(key, F.size("rows").cast("long").alias("considered"), F.aggregate("rows", start, take).alias("f"))
+    return state.select(key, "considered", "f.used", "f.taken")
 
-    def take(state: Column, row: Column) -> Column:
-        fits = state["used"] + row["cost"] <= F.col("b")
-        return F.when(fits, F.struct((state["used"] + row["cost"]).alias("used"), F.array_append(state["ids"], row["id"]).alias("ids"))).otherwise(state)
 
-    taken = groups.select(key, F.explode(F.aggregate("rows", start, take)["ids"]).alias("id"))
-    return scored.join(taken, [key, "id"], "left_semi")
+def fit_to_budget(scored: DataFrame, key: str = "draft_id", budget: str = "token_budget") -> DataFrame:
+    """The rows of each key that budget_lists takes."""
+    return budget_lists(scored, key, budget).select(key, F.explode("taken").alias("row")).select(key, "row.*")
 
 
 def rewrite_context(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, sessions: DataFrame, now: Column, k: int = CANDIDATES) -> DataFrame:
@@ -80,16 +88,21 @@ def rewrite_context(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, ses
     near = near.join(normal.select("draft_id", "token_budget"), "draft_id")
     similarity = F.lit(1.0) - F.col("distance")
     scored = near.withColumn("final_score", F.round(final_score(similarity, F.col("recorded_at"), now), 4)).withColumn("cost", tokens_floor4(F.col("text")))
-    fitted = fit_to_budget(scored)
-    shown = fitted.select("draft_id", "id", "role", "text", "recorded_at", F.round(1 - F.col("distance"), 4).alias("similarity"), F.round(recency(F.col("recorded_at"), now), 4).alias("recency"), "final_score")
+    scores = {"similarity": F.round(similarity, 4), "recency": F.round(recency(F.col("recorded_at"), now), 4)}
+    columns = ["draft_id", "id", "role", "text", "recorded_at", *scores, "final_score"]
+    fitted = budget_lists(scored.withColumns(scores).select(*columns, "distance", "cost", "token_budget"))
     none = F.lit(None).cast("double")
-    shown = shown.unionByName(pending.select("draft_id", "id", "role", "text", "recorded_at", none.alias("similarity"), none.alias("recency"), none.alias("final_score")))
-    turn = F.struct(F.col("recorded_at").alias("o"), "id", "role", "text", to_iso_utc(F.col("recorded_at")).alias("captured_at"), "similarity", "recency", "final_score", age_human(F.col("recorded_at"), now).alias("age"))
-    lists = shown.groupBy("draft_id").agg(F.sort_array(F.collect_list(turn)).alias("retrieved_turns"), F.sum(tokens_floor4(F.col("text"))).alias("used"), F.count("*").alias("n"))
-    considered = scored.groupBy("draft_id").agg(F.count("*").alias("c")).unionByName(pending.groupBy("draft_id").agg(F.count("*").alias("c")))
-    out = rows.join(lists, "draft_id", "left").join(considered, "draft_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    newest = pending.select("draft_id", "id", "role", "text", "recorded_at", none.alias("similarity"), none.alias("recency"), none.alias("final_score"))
+    newest = newest.groupBy("draft_id").agg(F.count("*").alias("considered"), F.sum(tokens_floor4(F.col("text"))).alias("used"), F.collect_list(F.struct(*columns[1:])).alias("taken"))
+
+    def shown(row: Column) -> Column:
+        at = row["recorded_at"]
+        return F.struct(at.alias("o"), *[row[c].alias(c) for c in ("id", "role", "text")], to_iso_utc(at).alias("captured_at"), *[row[c].alias(c) for c in ("similarity", "recency", "final_score")], age_human(at, now).alias("age"))
+
+    answers = [part.select("draft_id", "considered", "used", F.sort_array(F.transform("taken", shown)).alias("retrieved_turns")) for part in (fitted, newest)]
+    out = rows.join(answers[0].unionByName(answers[1]), "draft_id", "left")
+    zero = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)).cast("long")
     return out.select(
         "draft_id", "reason", (F.coalesce("reason", F.lit("")) == "embeddings_pending").alias("degraded"), "total_turns", "with_embeddings", (F.col("total_turns") - F.col("with_embeddings")).alias("pending"),
-        zero("c").alias("turns_considered"), zero("n").alias("turns_returned"), zero("used").alias("token_budget_used"), F.col("token_budget").alias("token_budget_total"), "retrieved_turns",
+        zero("considered").alias("turns_considered"), zero(F.size("retrieved_turns")).alias("turns_returned"), zero("used").alias("token_budget_used"), F.col("token_budget").alias("token_budget_total"), "retrieved_turns",
     )
