@@ -122,4 +122,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY r, doc_id""",
+    "op6_quality_rules": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols
+            FROM documents),
+        starts AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM docs),
+        windows AS (SELECT r, i, w[i : i + 7] AS win FROM starts),
+        again AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows),
+        marked AS (SELECT DISTINCT r, i + k AS at FROM again, range(8) AS t(k) WHERE n > 1),
+        repeats AS (SELECT r, count(*) AS n FROM marked GROUP BY r),
+        split AS (SELECT r, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
+        lines AS (
+            SELECT *, len(lw) AS words, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM split) WHERE len(lw) > 0),
+        duplicates AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+        hosts AS (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS texts FROM docs GROUP BY source),
+        holders AS (SELECT source, key, count(DISTINCT text) AS n FROM lines GROUP BY source, key),
+        common AS (SELECT h.source, h.key FROM holders h JOIN hosts t ON h.source IS NOT DISTINCT FROM t.source WHERE n > 10 AND n > 0.01 * texts),
+        gone AS (SELECT r, sum(words) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.key = c.key GROUP BY r),
+        counted AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words
+            FROM docs d LEFT JOIN duplicates u USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN gone g USING (r)),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+        SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_removed_words <= 0.5 * n_words AS kept FROM judged""",
 }
