@@ -98,6 +98,12 @@ def test_encode_and_decode_documents(spark, model):
     assert pieces.encode_documents(empty_documents(spark), model).count() == 0
 
 
+def test_parity_is_checked_on_every_text(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    got = {r.doc_id: r.parity for r in pieces.encode_documents(docs, model).collect()}
+    assert got == {i: True for i in range(len(TEXTS))} | {len(TEXTS): None}
+
+
 def varint(n):
     out = b""
     while n > 127:
