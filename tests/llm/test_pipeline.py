@@ -1,12 +1,12 @@
 """Each stage against a plain Python version of it, on what its predecessor kept."""
 
-import hashlib
+import math
 import os
 import random
 from collections import Counter
 
 import pytest
-from llm_fixtures import WORDS, sentence
+from llm_fixtures import WORDS, brute_packets, n_words, sentence
 
 import corpus_pipeline
 from turnscale.llm import passage_quality, pieces
@@ -119,31 +119,20 @@ def test_near_duplicates(steps):
 
 
 def test_mix(steps):
-    size = lambda r: len((r.text or "").encode().split())
-    queues = {}
+    merged = Counter()
     for r in steps[3]:
-        queues.setdefault(r.source, []).append(r)
-    names = sorted(queues, key=lambda s: (s is None, s or ""))
-    total = {s: sum(map(size, queues[s])) for s in names}
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    full, target = set(), {}
-    while True:
-        free = [s for s in names if s not in full]
-        rest = 1.5 * sum(total.values()) - 2 * sum(total[s] for s in full)
-        target = {s: 2 * total[s] if s in full else rest * weight[s] / sum(weight[x] for x in free) for s in names}
-        if not (over := {s for s in free if target[s] >= 2 * total[s]}):
+        merged[r.doc_id, r.text, r.source] += n_words(r.text)
+    entries = [(*k, n) for k, n in merged.items()]
+    left, copies = math.floor(1.5 * sum(e[3] for e in entries)), Counter()
+    for _, n, _, words in brute_packets(entries, None)[0]:
+        left -= words
+        if left < 0:
             break
-        full |= over
+        copies[entries[n][:3]] += 1
     want = Counter()
-    for s in names:
-        place = lambda r: int(hashlib.md5(str(r.doc_id if r.doc_id is not None else "null").encode()).hexdigest()[:15], 16)
-        start, whole = 0, round(target[s])
-        for r in sorted(queues[s], key=lambda r: (place(r), r.doc_id or 0)):
-            n = size(r)
-            taken = sum(max(0, min(whole - k * total[s] - start, n)) for k in (0, 1))
-            start += n
-            if n and int(taken / n + 0.5):
-                want[tuple(r)] += int(taken / n + 0.5)
+    for r in steps[3]:
+        if n := copies[r.doc_id, r.text, r.source]:
+            want[tuple(r)] += n
     assert plain(steps[4]) == want
 
 

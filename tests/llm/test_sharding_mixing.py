@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
-from llm_fixtures import empty_documents, odd_documents
+from llm_fixtures import brute_packets, empty_documents, n_words, odd_documents, text_hash
 from pyspark.sql import functions as F
 
 from turnscale.llm import mixing, sharding
@@ -46,42 +46,62 @@ def test_weighted_shards(spark):
         sharding.assign_shards(rows, ["id"], [1, 0])
 
 
-def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % 3] for i, s in enumerate(names)}
-    budget, target, full = share * sum(sizes.values()), {}, set()
-    while True:
-        free = [s for s in names if s not in full]
-        rest = budget - sum(most * sizes[s] for s in full)
-        total = sum(weight[s] for s in free)
-        target = {s: most * sizes[s] if s in full else rest * weight[s] / total for s in names}
-        over = {s for s in free if target[s] >= most * sizes[s]}
-        if not over or over == set(free):
-            return {s: min(target[s], most * sizes[s]) for s in names}
-        full |= over
+def entries_of(docs):
+    return [(r.doc_id, r.text, r.source, n_words(r.text)) for r in docs.collect()]
 
 
-def test_mix_targets_and_taken(spark):
+@pytest.mark.parametrize("quantum", [200, 7])
+def test_mix_serves_packets_by_finish_time(spark, quantum):
     docs = odd_documents(spark).cache()
-    rows = mixing.mix_sources(docs, bucket_rows=7).collect()
-    again = mixing.mix_sources(docs.repartition(5), bucket_rows=50).collect()
+    rows = mixing.mix_sources(docs, bucket_rows=7, quantum=quantum).collect()
+    again = mixing.mix_sources(docs.repartition(5), bucket_rows=50, quantum=quantum).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    sizes = Counter()
-    for r in docs.collect():
-        sizes[r.source] += len((r.text or "").encode().split())
-    want, taken = brute_targets(sizes), Counter()
+    entries = entries_of(docs)
+    packets, target = brute_packets(entries, quantum)
+    budget, taken, by_source = math.floor(1.5 * sum(e[3] for e in entries)), Counter(), Counter()
+    left = budget
+    for _, n, _, words in packets:
+        taken[n] += min(words, left)
+        left -= min(words, left)
+    want = Counter((e[0], text_hash(e[1]), e[2], e[3], taken[n]) for n, e in enumerate(entries))
+    assert Counter((r.doc_id, r.text_hash, r.source, r.size, r.taken) for r in rows) == want
     for r in rows:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
-        taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    finish = [r.virtual_finish for r in rows if r.virtual_finish is not None]
-    assert finish == sorted(finish)
-    copies = Counter()
-    for r in rows:
-        copies[r.doc_id, r.text_hash] += r.copies
-    mixed = mixing.take_mix(docs, bucket_rows=7)
-    assert mixed.columns == docs.columns
-    assert Counter((r.doc_id, r.h) for r in mixed.select("doc_id", F.xxhash64("text").alias("h")).collect()) == +copies
+        assert r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 2 * r.size
+        by_source[r.source] += r.taken
+    assert sum(by_source.values()) == budget and all(abs(by_source[s] - target[s]) <= quantum for s in target)
     assert mixing.mix_sources(empty_documents(spark)).count() == 0
     blank = docs.filter("text = '' or text is null")
     assert mixing.mix_sources(blank).agg(F.sum("taken")).head()[0] == 0
+
+
+def whole_mix(docs):
+    """(id, text hash, source, pass) of brute force in the mix's order, equal rows as one; how often each row stays."""
+    merged = Counter()
+    for doc_id, text, source, words in entries_of(docs):
+        merged[doc_id, text, source] += words
+    entries = [(*k, n) for k, n in merged.items()]
+    packets, _ = brute_packets(entries, None)
+    left, order = math.floor(1.5 * sum(e[3] for e in entries)), []
+    for _, n, k, words in packets:
+        left -= words
+        if left < 0:
+            break
+        order.append((entries[n][0], text_hash(entries[n][1]), entries[n][2], k))
+    return order, Counter(o[:3] for o in order)
+
+
+def test_whole_documents_are_cut_where_the_finish_times_say(spark):
+    docs = odd_documents(spark).cache()
+    order, copies = whole_mix(docs)
+    found = [(r.doc_id, r.text_hash, r.source, r["pass"]) for r in mixing.mix_order(docs, bucket_rows=7).collect()]
+    assert found == order
+    # By source first, as without the sort by finish time, the budget would end before the last sources.
+    unsorted = sorted(order, key=lambda o: (o[3], str(o[2])))
+    assert unsorted != order and any(o[3] == 1 for o in order[: len(order) - 20])
+    mixed = mixing.take_mix(docs, bucket_rows=7)
+    assert mixed.columns == docs.columns
+    rows = Counter((r.doc_id, text_hash(r.text), r.source) for r in docs.collect())
+    want = Counter({k: n * copies[k] for k, n in rows.items() if copies[k]})
+    assert Counter((r.doc_id, text_hash(r.text), r.source) for r in mixed.collect()) == want
+    assert mixing.take_mix(empty_documents(spark)).count() == 0
+    assert mixing.take_mix(docs.filter("text is null")).count() == 0

@@ -104,12 +104,20 @@ ORACLE_SQL: dict[str, str] = {
                    END AS target
             FROM fulls),
         queued AS (
-            SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS whole,
+            SELECT row_number() OVER () AS r, doc_id, d.source, size, source_size, target,
                    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(whole - start, size)) + greatest(0, least(whole - source_size - start, size)) AS BIGINT) AS taken
-        FROM queued""",
+            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        parts AS (
+            SELECT *, unnest(range(CAST(ceil(size / 200.0) AS BIGINT))) AS part FROM queued WHERE size > 0),
+        packets AS (
+            SELECT *, least(200, size - part * 200) AS words, pass * source_size + start + part * 200 + least(200, size - part * 200) AS through
+            FROM parts, range(2) AS p(pass)),
+        served AS (
+            SELECT r, words, (SELECT CAST(floor(1.5::DOUBLE * sum(size)) AS BIGINT) FROM docs)
+                   - (sum(words) OVER (ORDER BY through / target, source NULLS LAST, start, pass, part ROWS UNBOUNDED PRECEDING) - words) AS left_over
+            FROM packets),
+        given AS (SELECT r, CAST(sum(greatest(0, least(words, left_over))) AS BIGINT) AS n FROM served GROUP BY r)
+        SELECT doc_id, size, source_size, target, coalesce(n, 0) AS taken FROM queued LEFT JOIN given USING (r)""",
     "op5_line_dedup": r"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
