@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,13 +46,31 @@ def test_line_dedup_rows(spark):
 
 
 def test_runs_compact_in_levels(spark, tmp_path):
-    keys = spark.range(50).select(F.col("id").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(1).cast("long").alias("docs"), F.col("id").alias("first"))
-    runs = line_dedup.LineRuns(spark, str(tmp_path), keys.schema, fanout=2)
+    keys = spark.range(50).select(F.col("id").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    runs = line_dedup.LineRuns(spark, str(tmp_path), 4, fanout=2)
     for n in range(7):
         runs.add(keys.filter(F.col("h1") % (n + 1) == 0))
-    assert [len(level) for level in runs.levels] == [1, 1, 1]
-    totals = {r.h1 for r in runs.totals(4).collect()}
-    assert totals == {h for h in range(50) if sum(h % (n + 1) == 0 for n in range(7)) >= 4}
+    assert [len(level) for level in runs.levels] == [1, 1, 1] and len(runs.written) == 11
+    assert {r.h1 for r in runs.common().collect()} == {h for h in range(50) if sum(h % (n + 1) == 0 for n in range(7)) >= 4}
+
+
+def test_a_batch_leaves_out_what_the_runs_have_as_common(spark, tmp_path):
+    key = lambda *h: spark.createDataFrame([(x, 0) for x in h], "h1 long, h2 long")
+    runs = line_dedup.LineRuns(spark, str(tmp_path), 3, fanout=2)
+    runs.add(key(1, 1, 1, 2))
+    assert [r.h1 for r in runs.unknown(key(1, 2, 3)).orderBy("h1").collect()] == [2, 3]
+    runs.add(key(1, 2, 2, 3))
+    assert [r.h1 for r in runs.unknown(key(1, 2, 3)).collect()] == [3], "the merged runs have 2 in three documents"
+    counted = [{r.h1: r.docs for r in runs._read([p], False).collect()} for p in runs.written]
+    assert counted == [{2: 1}, {2: 2, 3: 1}, {3: 1}] and {r.h1 for r in runs.common().collect()} == {1, 2}
+
+
+def test_many_lines_take_no_longer_each(spark):
+    rows = [(i, "\n".join(f"line {i} {n}" if n % 2 else f"shared {n}" for n in range(16_000))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.monotonic()
+    assert {(r.n_lines, r.n_dropped) for r in line_dedup.line_dedup_digest(docs).collect()} == {(16_000, 8_000)}
+    assert time.monotonic() - start < 90
 
 
 def brute_simhash(text, shingle=3):
