@@ -81,9 +81,15 @@ def test_parity_with_the_reference_library(model):
     ids = list(codec.encode(TEXTS))
     assert [x.tolist() for x in ids] == [other.encode(t) for t in TEXTS]
     assert list(codec.decode(ids)) == [t.replace("▁", " ") for t in TEXTS] == [codec.plain(t) for t in TEXTS]
-    assert [codec.tokenizer.decode(x.tolist(), skip_special_tokens=False) for x in ids] == list(codec.decode(ids))
-    broken = np.array([codec.bytes.index(b"\xff", 3), 300], np.int64)
-    assert list(codec.decode([broken])) == [codec.tokenizer.decode(broken.tolist(), skip_special_tokens=False)]
+    assert [other.decode(x.tolist()) for x in ids] == list(codec.decode(ids))
+
+
+def test_any_ids_decode_as_the_reference_library_does(model):
+    codec, other = pieces.PieceCodec(model), pieces.reference(model)
+    assert list(codec.decode([np.array([1, 306, 2]), np.array([0, 306])])) == ["th", " \u2047  th"]
+    r = np.random.default_rng(5)
+    some = [r.integers(0, top, n) for top in (4, 300, len(codec.bytes)) for n in (1, 2, 3, 8, 40) for _ in range(60)]
+    assert list(codec.decode(some)) == [other.decode(x.tolist()) for x in some]
 
 
 def test_encode_and_decode_documents(spark, model):

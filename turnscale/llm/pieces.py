@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
+import itertools
 import os
 import struct
 from array import array
@@ -19,7 +21,9 @@ from .common import bound_batches
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MARK = "▁"
+MARK, UNKNOWN_TEXT = "▁", " \u2047 "
+# A byte that is of no character is one U+FFFD.
+codecs.register_error("a-mark-each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 #: Characters handed to the library at once, and words of which the ids are kept.
 BATCH_CHARS, CACHE = 1 << 20, 300_000
 
@@ -139,8 +143,10 @@ class PieceCodec:
         apart = self.model.words_apart and MARK in plain and not any("\n" in p for p in plain)
         self.by_word = self.simple and apart and not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.known: dict[str, bytes] = {}
-        value = lambda p, kind: bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
-        self.bytes = [value(p, kind) for p, _, kind in self.model.pieces]
+        own = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
+        self.bytes = [own.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.model.pieces]
+        self.control = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
+        self.marked = {i for i, (p, _, kind) in enumerate(self.model.pieces) if kind not in own and p.startswith(MARK)}
 
     def normal(self, text: str) -> str:
         if self.simple:  # the same, without a copy for the library
@@ -170,13 +176,20 @@ class PieceCodec:
                 yield np.frombuffer(next(whole) if own is None else b"".join(map(self.known.__getitem__, own)), np.int32)
 
     def decode(self, ids: Iterable[np.ndarray]) -> Iterator[str]:
-        """Texts of ids: the bytes of their pieces. The library decodes those that have bytes of no character."""
+        """Texts of ids: the bytes of their pieces, without the mark that the model puts before a text.
+
+        Control pieces have no text and part the bytes of a character, an unknown piece is UNKNOWN_TEXT, and a byte that
+        is of no character U+FFFD.
+        """
+        read = lambda part: b"".join(map(self.bytes.__getitem__, part)).decode("utf-8", "a-mark-each")
         for own in ids:
-            joined = b"".join(map(self.bytes.__getitem__, own.tolist()))
-            try:
-                yield joined.decode().removeprefix(" " if self.model.dummy_prefix else "")
-            except UnicodeDecodeError:
-                yield self.tokenizer.decode(own.tolist(), skip_special_tokens=False)
+            own = own.tolist()
+            parts = [own]
+            if not self.control.isdisjoint(own):
+                parts = [list(part) for control, part in itertools.groupby(own, self.control.__contains__) if not control]
+            text = "".join(map(read, parts))
+            first = next((i for i in own if i not in self.control), None)
+            yield text[1:] if self.model.dummy_prefix and first in self.marked else text
 
     def plain(self, text: str) -> str:
         """What decoding gives back: the text after the model's normaliser."""
