@@ -30,27 +30,35 @@ def brute_counts(text):
     return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), lines, brute_repeats(words)
 
 
-def test_quality_rules_match_brute_force(spark):
+@pytest.mark.parametrize(("share", "copies_count"), [(0.0, True), (0.12, True), (0.0, False)])
+def test_quality_rules_match_brute_force(spark, share, copies_count):
     docs = odd_documents(spark).unionByName(odd_documents(spark).limit(1).withColumns({"doc_id": F.lit(900).cast("long"), "text": F.lit(("a b c d e f g h i " * 6 + "# * tail\nx\nx\n") * 2)}))
-    rows = quality_rules.apply_quality_rules(docs, least_docs=10, share=0.01)
+    rows = quality_rules.apply_quality_rules(docs, least_docs=10, share=share, copies_count=copies_count)
     given = docs.collect()
     key = lambda line: b" ".join(line.encode().split()).lower()
     texts, holders = {}, {}
-    for r in given:
-        texts.setdefault(r.source, set()).add(r.text)
+    for n, r in enumerate(given):
+        own = n if copies_count else r.text
+        texts.setdefault(r.source, set()).add(own)
         for line in (r.text or "").split("\n"):
             if key(line):
-                holders.setdefault((r.source, key(line)), set()).add(r.text)
-    want = Counter()
+                holders.setdefault((r.source, key(line)), set()).add(own)
+    want, clean = Counter(), Counter()
     for r in given:
         counts = brute_counts(r.text)
-        limit = max(10, 0.01 * len(texts[r.source]))
-        gone = sum(len(x.encode().split()) for x in (r.text or "").split("\n") if key(x) and len(holders[r.source, key(x)]) > limit)
+        limit = max(10, share * len(texts[r.source]))
+        lines = (r.text or "").split("\n")
+        common = [bool(key(x)) and len(holders[r.source, key(x)]) > limit for x in lines]
+        gone = sum(len(x.encode().split()) for x, c in zip(lines, common, strict=True) if c)
         failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
         kept = not failed and counts[0] - gone >= 20 and gone <= 0.5 * counts[0]
         want[(r.doc_id, *counts, failed, kept, gone)] += 1
+        if kept:
+            clean[r.doc_id, r.source, "\n".join(x for x, c in zip(lines, common, strict=True) if not c), r.d] += 1
     assert Counter(map(tuple, rows.collect())) == want
-    assert quality_rules.apply_quality_rules(empty_documents(spark)).count() == 0
+    out = quality_rules.clean_documents(docs, least_docs=10, share=share, copies_count=copies_count)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.source, r.text, r.d) for r in out.collect()) == clean
+    assert quality_rules.apply_quality_rules(empty_documents(spark)).count() == 0 == quality_rules.clean_documents(empty_documents(spark)).count()
 
 
 def test_shared_lines_reject_depleted_documents(spark):
@@ -59,7 +67,9 @@ def test_shared_lines_reject_depleted_documents(spark):
     rows = [(i, footer + "\n" + sentence(r, 4 if i < 3 else 60), "h") for i in range(15)] + [(99, sentence(r, 30), "h")] * 20
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {x.doc_id: x.kept for x in quality_rules.apply_quality_rules(docs).collect()}
-    assert [i for i, kept in got.items() if not kept] == [0, 1, 2] or sorted(i for i, kept in got.items() if not kept) == [0, 1, 2]
+    assert sorted(i for i, kept in got.items() if not kept) == [0, 1, 2, 99]
+    apart = quality_rules.clean_documents(docs, copies_count=False).collect()
+    assert {x.doc_id for x in apart} == {*range(3, 15), 99} and not any(footer in x.text for x in apart)
 
 
 @pytest.mark.parametrize("seed", range(4))

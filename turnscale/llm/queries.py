@@ -145,9 +145,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, len(lw) AS words, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
             FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM split) WHERE len(lw) > 0),
         duplicates AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-        hosts AS (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS texts FROM docs GROUP BY source),
-        holders AS (SELECT source, key, count(DISTINCT text) AS n FROM lines GROUP BY source, key),
-        common AS (SELECT h.source, h.key FROM holders h JOIN hosts t ON h.source IS NOT DISTINCT FROM t.source WHERE n > 10 AND n > 0.01 * texts),
+        common AS (SELECT source, key FROM lines GROUP BY source, key HAVING count(DISTINCT r) > 10),
         gone AS (SELECT r, sum(words) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.key = c.key GROUP BY r),
         counted AS (
             SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
