@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -135,18 +136,21 @@ def nearest_neighbours(
 
     The radius is wide on purpose: nearly isotropic vectors have their nearest at a cosine of 0.4, where over a third of
     the bits differ; the recall is measured in the tests. Vectors that are null, zero, or hold null or non-finite
-    components take no part, nor do those of a length other than the commonest (of equally common, the longest); null
-    ids neither. Rows that repeat an id are candidates each, but not of queries of their id. Ties go to the smaller id.
+    components take no part, null ids neither. Vectors of different lengths have no cosine: each length is searched by
+    itself, with a rotation of its own. Rows that repeat an id are candidates each, but not of queries of their id. Ties
+    go to the smaller id.
     """
     rows = vectors.select("vec_id", F.col(f"`{vector}`").alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    rows = saved(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if("asked").alias("queries")).orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
+    rows = saved(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dims", F.size("v")), "vectors")
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("rows"), F.count_if("asked").alias("queries")).filter("queries > 0").orderBy("dims").collect()
     kind = rows.schema["vec_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", kind), T.StructField("score", T.DoubleType())])
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dims, n_rows, n_queries = sizes[0]
-    rows = rows.filter(F.size("v") == dims)
+    found = [search_length(rows.filter(F.col("dims") == r["dims"]), r["dims"], r["rows"], r["queries"], k, radius_share, sample, block) for r in sizes]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], schema)
+
+
+def search_length(rows: DataFrame, dims: int, n_rows: int, n_queries: int, k: int, radius_share: float, sample: int, block: int) -> DataFrame:
+    """nearest_neighbours of the `asked` of rows (vec_id, v, asked), all vectors having `dims` components."""
     learn = np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").select("v").limit(sample).collect()], np.float64)
     rotation = fit_rotation(learn / np.linalg.norm(learn, axis=1, keepdims=True))
     asked = rows.filter("asked")
