@@ -18,18 +18,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, in local mode alone, one of our own."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="turnscale-"))
         base = context.getCheckpointDir()
     return base
 
 
+#: The paths that scratch has given out, for clear_scratch.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process's operators have put under the shared folder, and say how many paths that were.
+
+    For when their results are written: a frame that reads such a table can't be computed after it.
+    """
+    count = len(_GIVEN)
+    while _GIVEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import WORD, bound_batches
 
 #: Words of a passage, buckets of hashed words, bytes of text encoded at once.
 PASSAGE, BUCKETS, BLOCK = 64, 128, 1 << 22
@@ -144,15 +144,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 3000, most_passages: int = 2000) -> MilModel:
-    """Fit on the `sample` labelled ids of least hash that aren't held out, without texts over most_passages.
+    """Fit on the `sample` labelled ids of least hash that aren't held out, without texts of over most_passages passages.
 
     Both bounds hold what reaches the driver: passage features of the sample, no texts. Only labels 0 and 1 with an id
     take part; where labels repeat an id, its least label counts, and where documents do, one row of it.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label")).filter(~held_out())
     ids = marked.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
-    rows = bound_batches(documents).select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= most_passages * PASSAGE)
-    chosen = rows.join(F.broadcast(ids), "doc_id")  # `sample` ids at most, so that no text is shuffled
+    rows = bound_batches(documents).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `sample` ids at most, so that no text is shuffled
+    chosen = rows.filter(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) <= most_passages * PASSAGE)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
