@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -160,10 +162,77 @@ def test_scan_features(spark):
     total = sum(n for p, n in counts.items() if p[0] == "a")
     assert table[a.index("a") * len(a) + a.index("b")] == pytest.approx(math.log((counts["ab"] + 1) / (total + len(a))))
     rows = spark.createDataFrame([("zabcabc9cab",)], "value string")
-    got = rows.select(secret_scan.dictionary_coverage(F.col("value"), ["abc", "cab"]).alias("c"), secret_scan.mean_transition(F.col("value"), table).alias("t")).head()
+    rows = rows.withColumn("chars", secret_scan.characters(F.col("value")))
+    got = rows.select(secret_scan.dictionary_coverage(F.col("chars"), ["abc", "cab"]).alias("c"), secret_scan.mean_transition(F.col("chars"), table).alias("t")).head()
     assert got.c == pytest.approx(9 / 11)
     plain = "zabcabc0cab"
     assert got.t == pytest.approx(np.mean([table[a.index(x) * len(a) + a.index(y)] for x, y in zip(plain, plain[1:])]))
     docs = spark.createDataFrame([(1, 'key="' + "A1" * 12 + '" mid ' + "b" * 25, "p")], "doc_id long, text string, source string")
-    found = [tuple(r) for r in secret_scan.find_candidates(docs, "source").select("place", "value", "before", "after").collect()]
-    assert found == [(0, "A1" * 12, 'key="', '" mid '), (1, "b" * 25, '" mid ', "")]
+    found = [tuple(r) for r in secret_scan.find_candidates(docs, "source").select("place", "start", "value", "before", "after").collect()]
+    assert found == [(0, 5, "A1" * 12, 'key="', '" mid '), (1, 35, "b" * 25, '" mid ', "")]
+
+
+def brute_features(text, path, words, table):
+    """The start and FEATURES of every candidate of a text."""
+    a, out = secret_scan.ALPHABET, []
+    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+        v, before, after = m.group(), text[: m.start()].split("\x00")[-1], text[m.end() :]
+        last = [x.end() for x in re.finditer(secret_scan.CANDIDATE, text) if x.end() <= m.start()]
+        nxt = [x.start() for x in re.finditer(secret_scan.CANDIDATE, text) if x.start() >= m.end()]
+        before = text[last[-1] if last else 0 : m.start()][-secret_scan.CONTEXT :]
+        after = text[m.end() : nxt[0] if nxt else len(text)][: secret_scan.CONTEXT]
+        low = v.lower()
+        plain = "".join("0" if c in "0123456789" else c if c in a[:26] else "_" for c in low)
+        end = covered = 0
+        for i in range(len(low)):
+            end = max(end, i + max([n for n in secret_scan.DICTIONARY_LENGTHS if i + n <= len(low) and low[i : i + n] in words], default=0))
+            covered += end > i
+        share = lambda cs, v=v: sum(c in cs for c in v) / len(v)
+        flag = lambda found: float(found is not None)
+        out.append((m.start(), float(len(v)), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), float(len(set(v))),
+            sum(table[a.index(x) * len(a) + a.index(y)] for x, y in zip(plain, plain[1:])) / (len(v) - 1), covered / len(low), float((path or "").count("/")),
+            flag(re.search(r"(?i)(^|[/_.-])(tests?|examples?|docs?|mocks?|fixtures?)([/_.-]|$)", path or "")), flag(re.search(secret_scan.CREDENTIAL + r"[^\n]{0,12}$", before)),
+            flag(re.search(r"(=|:)\s*[\"']?$", before)), float(bool(re.search(r"[\"']$", before) and re.search(r"^[\"']", after))),
+            flag(re.search(secret_scan.PLACEHOLDER, " ".join((before, v, after)))), float(len(re.split(r"\s+", before.strip(" "))))))
+    return out
+
+
+def test_candidates_and_features_match_brute_force(spark):
+    r = random.Random(4)
+    key = lambda n, cs: "".join(r.choice(cs) for _ in range(n))
+    rows = []
+    for i in range(60):
+        parts = [sentence(r, r.randint(0, 12)), f'api_key: "{key(r.randint(20, 60), "abcDEF0123_-")}"', "password=" + key(24, "xyz789"), key(30, "abc") + " is an example", "".join(r.choice(WORDS) for _ in range(6)), "é日本 " + key(21, "Q/+=")]
+        r.shuffle(parts)
+        rows.append((i, r.choice([" ", "\n", "\t", ""]).join(parts), r.choice([None, "", "src/app.py", "tests/a/b.py", "docs/x"])))
+    rows += [(100, None, "a"), (101, "", "a"), (102, "0123456789abcdef" * 200, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = secret_scan.scan_secrets(docs, "path")
+    words = secret_scan.vocabulary(docs)
+    common, table = set(secret_scan.common_words(words, 2000)), secret_scan.transition_table(words)
+    want = {(i, x[0]): x[1:] for i, t, p in rows for x in brute_features(t, p, common, table)}
+    got = {(x.doc_id, x.start): tuple(x[f] for f in secret_scan.FEATURES) for x in found.collect()}
+    assert len(want) > 200 and got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v), k
+
+
+def test_a_megabyte_in_one_run(spark):
+    docs = spark.createDataFrame([(1, "data " + "aGVsbG8gd29ybGQx" * 62_500, "p"), (2, 'token = "' + "0f" * 20 + '"', "p")], "doc_id long, text string, source string")
+    start = time.monotonic()
+    assert {r.n_chars for r in secret_scan.scan_secrets(docs).collect()} == {1e6, 40.0}
+    assert time.monotonic() - start < 90
+
+
+def test_weak_labels_find_secrets_without_their_context(spark):
+    """One key in four has no name: nothing but its shape tells it from long words."""
+    r = random.Random(7)
+    rows, truth = [], {}
+    for i in range(400):
+        value = "".join(r.choice("0123456789abcdef") for _ in range(40)) if i % 2 else "".join(r.choice(WORDS) for _ in range(8))
+        text = sentence(r, 12) + (f' token = "{value}" ' if i % 2 and i % 8 != 3 else f" {value} ") + sentence(r, 6)
+        truth[i] = bool(i % 2)
+        rows.append((i, text, "src/a.py"))
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {x.doc_id: (x.secret, x.score) for x in found.collect()}
+    assert sum(got[i][0] for i in truth if i % 8 == 3) >= 45 and not any(got[i][0] for i in truth if not truth[i])

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnscale.plans.views import view
+
 from . import line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_search, warc
 from .common import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    """Every document is a file of its project's tree, so that the path counts."""
+    files = view(spark, sf_dir, "v_files")
+    return secret_scan.scan_secrets(files.select("doc_id", F.col("content").alias("text"), "path"), "path")
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,18 +25,29 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0_"
 DICTIONARY_LENGTHS = (3, 4, 5, 6)
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|secret|token|api_?key|access_?key|private_?key|auth|credential|bearer)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"
+#: What tells of a candidate's context that it is a secret. Weak labels come from these signs, so that a forest on such labels
+#: must not see them, nor the number of words before, in which an assignment counts.
+CONTEXT_SIGNS = ["near_credential", "near_assignment", "near_quote"]
+HIDDEN = [*CONTEXT_SIGNS, "n_words_before"]
 FEATURES = ["n_chars", "share_digits", "share_upper", "n_distinct", "transitions", "coverage", "path_depth", "path_test", "near_credential", "near_assignment", "near_quote", "near_placeholder", "n_words_before"]
 
 
 def find_candidates(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, path, place, value, before, after) for every candidate of the whole text; place counts from 0."""
+    """(doc_id, path, place, start, value, before, after) for every candidate of the whole text; place counts from 0, start
+    is the candidate's first character in the text, from 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.transform(F.split(text, CANDIDATE), lambda p: F.struct(F.right(p, F.lit(CONTEXT)).alias("end"), F.left(p, F.lit(CONTEXT)).alias("start")))
+    pieces = F.transform(F.split(text, CANDIDATE), lambda p: F.struct(F.right(p, F.lit(CONTEXT)).alias("end"), F.left(p, F.lit(CONTEXT)).alias("start"), F.length(p).alias("chars")))
     rows = documents.select("doc_id", F.col(f"`{path}`").cast("string").alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), pieces.alias("pieces"))
     rows = rows.filter(F.size("values") > 0)
-    found = F.arrays_zip(F.col("values"), F.col("pieces").alias("left"), F.slice("pieces", 2, F.size("values")).alias("right"))
+    # What comes before each candidate is the pieces and values before it.
+    lengths = F.zip_with("pieces", "values", lambda p, v: p["chars"] + F.coalesce(F.length(v), F.lit(0)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("lengths", first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+    rows = rows.withColumn("lengths", lengths).withColumn("starts", starts)
+    found = F.arrays_zip(F.col("values"), F.col("pieces").alias("left"), F.slice("pieces", 2, F.size("values")).alias("right"), F.col("starts"))
     rows = rows.select("doc_id", "path", F.posexplode(found).alias("place", "f")).filter("f.values is not null")
-    return rows.select("doc_id", "path", "place", F.col("f.values").alias("value"), F.coalesce(F.col("f.left.end"), F.lit("")).alias("before"), F.coalesce(F.col("f.right.start"), F.lit("")).alias("after"))
+    start = (F.col("f.starts") + F.col("f.left.chars")).alias("start")
+    return rows.select("doc_id", "path", "place", start, F.col("f.values").alias("value"), F.coalesce(F.col("f.left.end"), F.lit("")).alias("before"), F.coalesce(F.col("f.right.start"), F.lit("")).alias("after"))
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
@@ -61,33 +72,38 @@ def transition_table(words: DataFrame) -> list[float]:
     return [math.log((counts.get(a + b, 0) + 1) / (totals[a] + len(ALPHABET))) for a in ALPHABET for b in ALPHABET]
 
 
-def mean_transition(value: Column, table: list[float]) -> Column:
-    """Mean log likelihood of a value's character pairs; digits are one character, and so are all others but letters."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(value), "[0-9]", "0"), "[^a-z0]", "_")
+def characters(value: Column) -> Column:
+    """The value's characters, lower-cased, as an array: a column of it is walked through once, whatever its length."""
+    return F.filter(F.split(F.lower(value), ""), lambda c: c != "")
+
+
+def mean_transition(chars: Column, table: list[float]) -> Column:
+    """Mean log likelihood of the pairs of these characters; digits are one character, and so are all others but letters."""
+    code = lambda c: F.when(c.between("0", "9"), ALPHABET.index("0")).when(c.between("a", "z"), F.ascii(c) - ord("a")).otherwise(ALPHABET.index("_"))
+    codes = F.transform(chars, code)
+    pairs = F.zip_with(codes, F.slice(codes, 2, F.size(chars)), lambda a, b: a * len(ALPHABET) + b)
     known = F.array(*[F.lit(x) for x in table])
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(plain, i, 1)) - 1
-    steps = F.sequence(F.lit(1), F.length(value) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(known, at(i) * len(ALPHABET) + at(i + 1)))
-    return total / (F.length(value) - 1)
+    return F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.coalesce(F.get(known, i), F.lit(0.0))) / (F.size(chars) - 1)
 
 
-def dictionary_coverage(value: Column, words: list[str]) -> Column:
-    """Share of a value's characters that lie in dictionary words, taking the longest word that starts at each."""
+def dictionary_coverage(chars: Column, words: list[str]) -> Column:
+    """Share of the characters that lie in dictionary words, taking the longest word that starts at each."""
     if not words:
         return F.lit(0.0)
-    low = F.lower(value)
-    longest = lambda i: F.coalesce(*[F.when(F.substring(low, i, n).isin(words) & (i + n - 1 <= F.length(low)), F.lit(n)) for n in sorted(DICTIONARY_LENGTHS, reverse=True)], F.lit(0))
+    word = lambda i, n: F.array_join(F.slice(chars, i, n), "")
+    longest = lambda i: F.coalesce(*[F.when(word(i, n).isin(words) & (i + n - 1 <= F.size(chars)), F.lit(n)) for n in sorted(DICTIONARY_LENGTHS, reverse=True)], F.lit(0))
 
     def step(state: Column, i: Column) -> Column:
         end = F.greatest(state["end"], i + longest(i))
         return F.struct((state["covered"] + F.when(end > i, 1).otherwise(0)).alias("covered"), end.alias("end"))
 
     start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(low)), start, step, lambda s: s["covered"] / F.length(low))
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda s: s["covered"] / F.size(chars))
 
 
 def with_features(candidates: DataFrame, words: list[str], table: list[float]) -> DataFrame:
     """Add FEATURES, as doubles. A null path has depth 0."""
+    candidates, chars = candidates.withColumn("_chars", characters(F.col("value"))), F.col("_chars")
     value, before = F.col("value"), F.col("before")
     path = F.coalesce(F.col("path"), F.lit(""))
     share = lambda chars: F.length(F.regexp_replace(value, f"[^{chars}]", "")) / F.length(value)
@@ -95,9 +111,9 @@ def with_features(candidates: DataFrame, words: list[str], table: list[float]) -
         "n_chars": F.length(value),
         "share_digits": share("0-9"),
         "share_upper": share("A-Z"),
-        "n_distinct": F.size(F.array_distinct(F.split(value, ""))),
-        "transitions": mean_transition(value, table),
-        "coverage": dictionary_coverage(value, words),
+        "n_distinct": F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))),
+        "transitions": mean_transition(chars, table),
+        "coverage": dictionary_coverage(chars, words),
         "path_depth": F.size(F.split(path, "/")) - 1,
         "path_test": path.rlike(r"(?i)(^|[/_.-])(tests?|examples?|docs?|mocks?|fixtures?)([/_.-]|$)"),
         "near_credential": before.rlike(CREDENTIAL + r"[^\n]{0,12}$"),
@@ -106,53 +122,63 @@ def with_features(candidates: DataFrame, words: list[str], table: list[float]) -
         "near_placeholder": (F.concat_ws(" ", before, value, "after")).rlike(PLACEHOLDER),
         "n_words_before": F.size(F.split(F.trim(before), r"\s+")),
     }
-    return candidates.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()})
+    return candidates.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()}).drop("_chars")
 
 
 def weak_labels(findings: DataFrame) -> DataFrame:
-    """(doc_id, place, value, label) where the case is plain, for tables that come without labelled findings.
+    """(doc_id, place, value_sha256, label) where the context is plain, for tables that come without labelled findings.
 
-    1: letters and digits, assigned in quotes to a credential's name. 0: no digit, or no letter at all.
+    1: assigned in quotes to a credential's name. 0: none of these signs. The value, the path and the other words are not
+    looked at, so that what a forest learns of them from these labels holds where there is no such context.
     """
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    named = F.col("before").rlike(CREDENTIAL + r"\s*[=:]\s*[\"']$")
-    label = F.when(mixed & named, 1).when(~mixed, 0)
-    return findings.select("doc_id", "place", "value", label.alias("label")).filter("label is not null")
+    signs = sum((F.col(c) for c in CONTEXT_SIGNS), F.lit(0.0))
+    label = F.when(signs == len(CONTEXT_SIGNS), 1).when(signs == 0, 0)
+    return findings.select("doc_id", "place", "value_sha256", label.alias("label")).filter("label is not null")
 
 
-def train_forest(findings: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 1) -> PipelineModel | None:
-    """A forest on FEATURES, fitted on `sample` labelled findings at most of either label, those of least hash.
+def train_forest(findings: DataFrame, labels: DataFrame, features: list[str], sample: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 1) -> PipelineModel | None:
+    """A forest on these features, fitted on `sample` labelled findings at most of either label, those of least hash.
 
-    labels has doc_id, place, value and label (0, 1). Null when there is just one label, or none.
+    labels has doc_id, place, value_sha256 and label (0, 1). Null when there is just one label, or none.
     """
-    rows = findings.join(labels.select("doc_id", "place", "value", F.col("label").cast("double").alias("label")).distinct(), ["doc_id", "place", "value"])
-    place = F.xxhash64(F.lit("train"), "doc_id", "place", "value")
-    parts = [rows.filter(F.col("label") == x).orderBy(place, *FEATURES).limit(sample) for x in (0.0, 1.0)]
-    chosen = saved(parts[0].unionByName(parts[1]).select("label", *FEATURES), "labelled-findings")
+    keys = ["doc_id", "place", "value_sha256"]
+    rows = findings.join(labels.select(*keys, F.col("label").cast("double").alias("label")).distinct(), keys)
+    place = F.xxhash64(F.lit("train"), *keys)
+    parts = [rows.filter(F.col("label") == x).orderBy(place, *features).limit(sample) for x in (0.0, 1.0)]
+    chosen = saved(parts[0].unionByName(parts[1]).select("label", *features), "labelled-findings")
     if chosen.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(chosen)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(chosen)
+
+
+def digest(value: Column) -> Column:
+    return F.sha2(value.cast("binary"), 256)
 
 
 def scan_secrets(documents: DataFrame, path: str = "source", labels: DataFrame | None = None, dictionary: int = 2000, threshold: float = 0.5, **options) -> DataFrame:
-    """doc_id, place, n_chars, value_sha256, FEATURES, score, secret of every candidate in every text.
+    """doc_id, place, start, n_chars, value_sha256, FEATURES, score, secret of every candidate in every text.
 
     Candidates come from all texts, and so do vocabulary, dictionary (its `dictionary` commonest words) and
     transitions. score is the share of the forest's vote for a secret, secret whether it reaches threshold; the rest
-    are the false positives to drop. The value itself isn't returned. Without labels, weak_labels of these
-    candidates are used; if they don't have both labels, score is null and every candidate stays a secret.
+    are the false positives to drop. labels are labelled findings (doc_id, place, value, label) on which the forest has
+    all FEATURES. Without them, weak_labels of these candidates are used, and the forest has the FEATURES that they
+    aren't made of; if they don't have both labels, score is null and every candidate stays a secret. No value is
+    returned or written anywhere, only its hash.
 
     Null texts have no candidates; a null path is an empty one; rows that repeat a doc_id are scanned each; a null
     doc_id can't be labelled. Other columns of documents are not read.
     """
     words = vocabulary(documents)
     found = with_features(find_candidates(documents, path), common_words(words, dictionary), transition_table(words))
-    found = saved(found, "findings")
-    model = train_forest(found, weak_labels(found) if labels is None else labels, **options)
+    found = saved(found.select("doc_id", "place", "start", digest(F.col("value")).alias("value_sha256"), *FEATURES), "findings")
+    if labels is None:
+        model = train_forest(found, weak_labels(found), [f for f in FEATURES if f not in HIDDEN], **options)
+    else:
+        model = train_forest(found, labels.withColumn("value_sha256", digest(F.col("value"))), FEATURES, **options)
     if model is None:
         scored = found.withColumn("score", F.lit(None).cast("double"))
     else:
         scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     secret = F.coalesce(F.col("score") >= threshold, F.lit(True))
-    return scored.select("doc_id", "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), *FEATURES, "score", secret.alias("secret"))
+    return scored.select("doc_id", "place", "start", "value_sha256", *FEATURES, "score", secret.alias("secret"))
