@@ -118,9 +118,10 @@ def test_chunks(spark):
     changes = [r.change for r in corpus.diff_chunks(corpus.chunk_entities(edited), old).collect()]
     assert (changes.count("add"), changes.count("remove")) == (1, 1)
     words = "word " * 900
-    pieces = corpus.cut_text("  " + words)
+    cut = lambda t: one(spark, corpus.cut_text(F.col("x")), x=t)
+    pieces = cut("  " + words)
     assert "".join(pieces).replace(" ", "") == words.replace(" ", "") and all(1800 < len(p) <= 2000 for p in pieces[:-1])
-    assert corpus.cut_text("x" * 4100) == ["x" * 2000, "x" * 2000, "x" * 100] and corpus.cut_text(" \n ") == [] and corpus.cut_text(None) == []
+    assert cut("x" * 4100) == ["x" * 2000, "x" * 2000, "x" * 100] and cut(" \n ") == []
 
 
 def test_sweep(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnscale.functions.filters import glob_to_regex, opted_in
-from turnscale.functions.text import detect_language, file_name, file_suffix, looks_binary, stable_hash, tokens_code, tokens_min1
+from turnscale.functions.text import SPACE_CLASS, detect_language, file_name, file_suffix, looks_binary, stable_hash, strip, tokens_code, tokens_min1
 
 # Folders and files that are never indexed, folders that a project may add, and limits.
 HARD_DENY = [
@@ -62,8 +62,7 @@ def index_decision(path: Column, size: Column, added: Column | None = None, excl
 def decide_files(files: DataFrame, opt_in: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """files (project_id, path, length, content) with `indexed` and `reason`.
 
-    opt_in has user_added_dirs and user_excluded_dirs of a project_id, rules its ignore rules (project_id, rule); a rule
-    that begins with ! is left out.
+    opt_in has user_added_dirs and user_excluded_dirs of a project_id, rules its ignore rules as in rule_patterns.
     """
     rows, added, excluded, ignored = files, None, None, None
     if opt_in is not None:
@@ -71,28 +70,38 @@ def decide_files(files: DataFrame, opt_in: DataFrame | None = None, rules: DataF
         added, excluded = F.col("user_added_dirs"), F.col("user_excluded_dirs")
     if rules is not None:
         rows = rows.join(rule_patterns(rules), "project_id", "left")
-        ignored = F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.regexp_like(F.col("path"), p))
+        ignored = last_rule_ignores(F.col("path"))
     content = F.col("content").cast("binary")
     decided = rows.withColumn("_d", index_decision(F.col("path"), F.col("length"), added, excluded, ignored, looks_binary(content)))
     return decided.select(*files.columns, "_d.indexed", "_d.reason")
 
 
 def rule_patterns(rules: DataFrame) -> DataFrame:
-    """(project_id, patterns): regular expressions of each project's ignore rules, comments left out."""
+    """(project_id, patterns): each project's ignore rules as structs (at, negated, pattern), in order; comments left out.
+
+    rules: (project_id, rule) and, where the order counts, `position`. A rule that begins with ! takes files back that a
+    rule before it ignores; without positions all such rules come last.
+    """
 
     @F.pandas_udf("string")
     def pattern(rule: pd.Series) -> pd.Series:
-        return rule.map(lambda r: None if not isinstance(r, str) or r.startswith("!") else glob_to_regex(r))
+        return rule.map(lambda r: glob_to_regex(r) if isinstance(r, str) else None)
+
+    negated = F.startswith("rule", F.lit("!"))
+    at = F.col("position").cast("long") if "position" in rules.columns else negated.cast("long")
+    rows = rules.select("project_id", at.alias("at"), negated.alias("negated"), pattern(F.regexp_replace("rule", "^!", "")).alias("pattern")).filter("pattern is not null")
+    return rows.groupBy("project_id").agg(F.sort_array(F.collect_set(F.struct("at", "negated", "pattern"))).alias("patterns"))
+
 
-    rows = rules.select("project_id", pattern("rule").alias("p")).filter("p is not null")
-    return rows.groupBy("project_id").agg(F.collect_set("p").alias("patterns"))
+def last_rule_ignores(path: Column) -> Column:
+    """Whether the last of the `patterns` that the path matches isn't one that takes it back."""
+    rules = F.coalesce("patterns", F.array().cast("array<struct<at:bigint,negated:boolean,pattern:string>>"))
+    return F.aggregate(rules, F.lit(False), lambda ignored, r: F.when(F.regexp_like(path, r["pattern"]), ~r["negated"]).otherwise(ignored))
 
 
 def ignored_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The files that no ignore rule of their project matches."""
-    rows = files.join(rule_patterns(rules), "project_id", "left")
-    hit = F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.regexp_like(F.col("path"), p))
-    return rows.filter(~hit).select(*files.columns)
+    """The files that the ignore rules of their project leave."""
+    return files.join(rule_patterns(rules), "project_id", "left").filter(~last_rule_ignores(F.col("path"))).select(*files.columns)
 
 
 def gate_opted_in(rows: DataFrame, opt_in: DataFrame) -> DataFrame:
@@ -151,26 +160,20 @@ def skip_known_hashes(new: DataFrame, old: DataFrame) -> DataFrame:
     return rows.join(old.select("project_id", "stable_hash"), ["project_id", "stable_hash"], "left_anti").dropDuplicates(["project_id", "file_path", "line_start", "line_end"])
 
 
-def cut_text(text: str | None, chars: int = CHUNK_CHARS, back: int = WALK_BACK) -> list[str]:
-    """Pieces of `chars` characters, cut at white space within the last `back` of each, or hard; stripped, none empty."""
-    rest, pieces, at = (text or "").strip(), [], 0
-    while at < len(rest):
-        end = min(at + chars, len(rest))
-        if end < len(rest):
-            end = next((i for i in range(end, max(end - back, at), -1) if rest[i].isspace()), end)
-        pieces.append(rest[at:end].strip())
-        at = end
-    return [p for p in pieces if p]
+def cut_text(text: Column, chars: int = CHUNK_CHARS, back: int = WALK_BACK) -> Column:
+    """Pieces of `chars` characters, cut at white space within the last `back` of each, or hard; stripped, none empty.
+
+    A piece is what is left, or as many characters as stand before white space, or the full number of them.
+    """
+    piece = rf"(?s).{{1,{chars}}}\z|.{{{chars - back + 1},{chars}}}(?=[{SPACE_CLASS}])|.{{{chars}}}"
+    pieces = F.transform(F.regexp_extract_all(strip(F.coalesce(text, F.lit(""))), F.lit(piece), F.lit(0)), strip)
+    return F.filter(pieces, lambda p: p != "")
 
 
 def chunk_documents(files: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
     """(project_id, path, chunk_idx, text, token_count): pieces of each file's content, from 0."""
-
-    @F.pandas_udf("array<string>")
-    def pieces(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: cut_text(t, chars))
-
-    rows = files.select("project_id", "path", F.posexplode(pieces(F.col("content").cast("string"))).alias("chunk_idx", "text"))
+    pieces = cut_text(F.col("content").cast("string"), chars)
+    rows = files.select("project_id", "path", F.posexplode(pieces).alias("chunk_idx", "text"))
     return rows.withColumn("token_count", tokens_min1(F.col("text")))
 
 

@@ -79,28 +79,26 @@ def keep_unseen(hashes: list[int], size: int, recent: list[int] | None = None) -
 def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = DEDUP_SIZE) -> DataFrame:
     """Turns without those whose text's djb2 is among the client's last `size` different ones; empty texts always stay.
 
-    The rows of a client go through in order of time, in pieces: only the last hashes are carried on, so a client of any
-    length takes little memory. Whole clients share a task.
+    Ids and hashes of a client go through in order of time, in pieces: only the last hashes are carried on, so a client of
+    any length takes little memory. A client's hashes share a task, as each depends on those before it; its rows don't.
     """
-    columns = turns.columns
-    rows = turns.withColumn("_h", djb2(F.coalesce("text", F.lit(""))))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "recorded_at", "id")
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+    marks = turns.filter("text != ''").select(F.col(key).alias("k"), "recorded_at", "id", djb2(F.col("text")).alias("h"))
+    marks = marks.repartition("k").sortWithinPartitions("k", "recorded_at", "id").select("k", "id", "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, recent = object(), []
         for batch in batches:
             keep = []
-            for k, h, text in zip(batch[key], batch["_h"], batch["text"], strict=True):
+            for k, h in zip(batch["k"], batch["h"], strict=True):
                 if k != client:
                     client, recent = k, []
-                if not text:
-                    keep.append(True)
-                    continue
                 (kept,), recent = keep_unseen([h], size, recent)
                 keep.append(kept)
-            yield batch[keep][columns]
+            yield batch[[not kept for kept in keep]][["k", "id"]]
 
-    return rows.mapInPandas(run, turns.schema)
+    repeats = marks.mapInPandas(run, f"k {kinds[key]}, id {kinds['id']}").withColumnsRenamed({"k": "_k", "id": "_id"})
+    return turns.join(repeats, turns[key].eqNullSafe(repeats["_k"]) & (turns["id"] == repeats["_id"]), "left_anti")
 
 
 def debounce(events: DataFrame, gap: str = "500 milliseconds", keys: tuple[str, ...] = ("project_id", "path")) -> DataFrame:
@@ -151,16 +149,19 @@ def word_diff_segments(original: str, rewritten: str) -> list[tuple[str, str]]:
         return [("added", rewritten)] if b else [("removed", original)] if a else []
     ids: dict[str, int] = {}
     x, y = (np.array([ids.setdefault(t, len(ids)) for t in s]) for s in (a, b))
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    # Of the table of best lengths only a row is kept, and for each cell a bit: whether the left cell has no less than the upper.
+    row, left = np.zeros(len(b) + 1, np.int32), [np.zeros(0, np.uint8)]
     for i in range(len(a)):
         # A row's values rise by 0 or 1, so that its running maximum fills the cells that extend to the right.
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(y == x[i], best[i, :-1] + 1, 0)))
+        below = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], np.where(y == x[i], row[:-1] + 1, 0)))]).astype(np.int32)
+        left.append(np.packbits(below[:-1] >= row[1:], bitorder="little"))
+        row = below
     ops, i, j = [], len(a), len(b)
     while i or j:
         if i and j and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
             ops.append(("unchanged", a[i]))
-        elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
+        elif j and (not i or left[i][(j - 1) >> 3] >> ((j - 1) & 7) & 1):
             j -= 1
             ops.append(("added", b[j]))
         else:

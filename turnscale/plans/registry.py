@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, scalar_queries, state_queries, turn_queries
+from . import composite_queries, corpus_queries, scalar_queries, state_queries, turn_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**turn_queries.QUERIES, **corpus_queries.QUERIES, **state_queries.QUERIES, **scalar_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**turn_queries.ORACLE, **corpus_queries.ORACLE, **state_queries.ORACLE, **scalar_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**turn_queries.QUERIES, **corpus_queries.QUERIES, **state_queries.QUERIES, **scalar_queries.QUERIES, **composite_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**turn_queries.ORACLE, **corpus_queries.ORACLE, **state_queries.ORACLE, **scalar_queries.ORACLE, **composite_queries.ORACLE}

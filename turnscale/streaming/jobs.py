@@ -6,6 +6,7 @@ spark.sql.streaming.stateStore.providerClass = org.apache.spark.sql.execution.st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from turnscale.functions.text import djb2
 from turnscale.operators import rollups, signals, state
 from turnscale.operators.embedding import Embedder, embed
-from turnscale.sources.writers import write_change_feed, write_table
+from turnscale.sources.writers import write_change_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,18 +31,62 @@ def debounce(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 s
     return signals.debounce(rows, gap)
 
 
-def upsert_turns_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges arrivals into the turn table at path. A batch that comes again changes nothing:
-    its arrivals are already there with the same arrival_seq."""
+def replace_parts(spark: SparkSession, path: str, parts: list[int], rows: DataFrame) -> None:
+    """Put rows (with their `part`) in the place of these parts of the table at path; its other parts aren't touched.
+
+    The new parts are written beside the table first, as they may be made from the old ones. A part is replaced by itself:
+    a failed batch leaves old and new ones, and coming again makes all of them new.
+    """
+    staged = f"{path}.new-{uuid.uuid4().hex}"
+    rows.write.partitionBy("part").parquet(staged)
+    files = spark._jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    place = lambda where, n: spark._jvm.org.apache.hadoop.fs.Path(f"{where}/part={n}")
+    for n in parts:
+        files.delete(place(path, n), True)
+        if files.exists(place(staged, n)):
+            files.mkdirs(place(path, n).getParent())
+            if not files.rename(place(staged, n), place(path, n)):
+                raise OSError(f"can't move part {n} of {path}")
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def read_parts(spark: SparkSession, path: str, schema: StructType, parts: list[int] | None = None) -> DataFrame:
+    """The rows of these parts of a table that replace_parts wrote, or of all; none where there is no table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).parquet(path)
+    return (rows if parts is None else rows.filter(F.col("part").isin(parts))).drop("part")
+
+
+def with_part(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+
+
+def touched_parts(rows: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, list[int]]:
+    """rows with their part by hash of the keys, and the numbers of the parts they have: `parts` at most."""
+    rows = with_part(rows, keys, parts)
+    return rows, sorted(r[0] for r in rows.select("part").distinct().collect())
+
+
+def upsert_turns_sink(spark: SparkSession, path: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges arrivals into the turn table at path, which has `parts` by hash of the session:
+    a batch rewrites those of its sessions. A batch that comes again changes nothing: its arrivals are already there with
+    the same arrival_seq."""
 
     def on_batch(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        target = session._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(session._jsc.hadoopConfiguration()).exists(target):
-            old = session.read.parquet(path)
+        batch = batch.persist()
+        try:
+            _, touched = touched_parts(batch, ["session_id"], parts)
+            if not touched:
+                return
+            old = read_parts(session, path, batch.schema, touched)
             unnamed = batch.filter("message_id is null or message_id = ''").join(old.select("id"), "id", "left_anti")
-            batch = old.unionByName(batch.filter("message_id is not null and message_id != ''")).unionByName(unnamed)
-        write_table(state.upsert_turns(batch), path)
+            merged = old.unionByName(batch.filter("message_id is not null and message_id != ''")).unionByName(unnamed)
+            replace_parts(session, path, touched, with_part(state.upsert_turns(merged), ["session_id"], parts))
+        finally:
+            batch.unpersist()
 
     return on_batch
 
@@ -262,17 +307,27 @@ def blackouts(events: DataFrame, window: str = "1 hour", late: str = "1 minute",
     return rows.filter((seconds >= least_seconds) & (F.col("mutations") >= least_mutations) & ~F.col("detected")).select("host", "session", seconds.alias("seconds"), "mutations")
 
 
-def incremental_corpus_sink(read_current: Callable[[], DataFrame], chunk: Callable[[DataFrame], DataFrame], chunks_path: str) -> Callable[[DataFrame, int], None]:
+def incremental_corpus_sink(read_files: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame], path: str, schema: StructType, parts: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over debounced file events: the files of the batch are read and chunked again, and take the
-    place of their old chunks; files that are gone lose them."""
+    place of their old chunks; files that are gone lose them.
+
+    read_files gives the files (project_id, path, ...) of the (project_id, path) it gets, so that it can read those
+    alone. The chunk table at path, of this schema, has `parts` by hash of the file: a batch rewrites those of its files.
+    """
+    keys = ["project_id", "file_path"]
 
     def on_batch(events: DataFrame, _: int) -> None:
         session = events.sparkSession
-        touched = events.select("project_id", "path").distinct()
-        changed = read_current().join(touched, ["project_id", "path"], "left_semi")
-        old = session.read.parquet(chunks_path)
-        kept = old.join(touched.withColumnRenamed("path", "file_path"), ["project_id", "file_path"], "left_anti")
-        write_table(kept.unionByName(chunk(changed)), chunks_path)
+        files = events.select("project_id", "path").distinct().persist()
+        try:
+            named, touched = touched_parts(files.withColumnRenamed("path", "file_path"), keys, parts)
+            if not touched:
+                return
+            kept = read_parts(session, path, schema, touched).join(named, keys, "left_anti")
+            fresh = chunk(read_files(files)).select(*schema.names)
+            replace_parts(session, path, touched, with_part(kept.unionByName(fresh), keys, parts))
+        finally:
+            files.unpersist()
 
     return on_batch
 
