@@ -66,6 +66,18 @@ def test_rotation_is_orthogonal_and_learns():
     assert loss(turn) < loss(np.eye(16))
 
 
+def test_every_length_is_searched_by_itself(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8 if i % 3 else 5).tolist()) for i in range(60)] + [(100, [1.0])]
+    found = vector_search.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=3).collect()
+    for q in range(0, 60, 10):
+        mine = np.array(rows[q][1])
+        scores = sorted((-float(np.dot(v, mine) / np.linalg.norm(v) / np.linalg.norm(mine)), i) for i, v in rows[:60] if i != q and len(v) == len(mine))
+        got = sorted((x.rank, x.vec_id) for x in found if x.query_id == q)
+        assert len(got) == 3 and len({i for _, i in got} & {i for _, i in scores[:3]}) >= 2
+    assert not [x for x in found if x.query_id == 100], "no other vector has its length"
+
+
 TEXTS = ["", " ", "  a  b ", "plain words here", "<s> </s> <0x0A> ▁ x", "\n\n\tx \n y", "日本語🙂 ñ é", "a" * 3000 + " b", "tail ", "one\ntwo three\n", "\u0000  "]
 
 
