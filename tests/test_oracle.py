@@ -1,11 +1,14 @@
-"""Every registered query with SQL gives the same rows in Spark and in DuckDB."""
+"""Every registered query with SQL gives the same rows in Spark and in DuckDB; the one without is held against brute force."""
 
 import math
 import os
+import re
+from collections import Counter
 
 import pytest
 
-from turnscale.plans import registry
+from turnscale.operators import signals
+from turnscale.plans import registry, scalar_queries
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -46,6 +49,31 @@ def test_query(spark, con, name):
     assert mine == want
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.ORACLE_SQL])
-def test_query_without_sql(spark, con, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_all_have_sql():
+    assert [n for n in registry.QUERIES if n not in registry.ORACLE_SQL] == ["word_diffs"]
+
+
+def common_words(a, b):
+    """The length of the longest common subsequence, white space being words too."""
+    a, b = ([t for t in re.split(r"(\s+)", s) if t] for s in (a, b))
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before, best = best, [0]
+        for j, y in enumerate(b):
+            best.append(before[j] + 1 if x == y else max(before[j + 1], best[j]))
+    return best[-1]
+
+
+def test_word_diffs(spark, con):
+    """The segments make both texts, keep as many words as any diff can, and add up to the query's characters."""
+    sizes = Counter()
+    for row in signals.word_diff(scalar_queries.word_pairs(spark, SF)).collect():
+        made = lambda *kinds: "".join(s["text"] for s in row["diff"] if s["type"] in kinds)  # noqa: B023, E731
+        assert made("unchanged", "removed") == row["original"] and made("unchanged", "added") == row["rewritten"]
+        kept = sum(len([t for t in re.split(r"(\s+)", s["text"]) if t]) for s in row["diff"] if s["type"] == "unchanged")
+        assert kept == common_words(row["original"], row["rewritten"])
+        for kind in ("added", "removed", "unchanged"):
+            sizes[row["provider"], kind] += len(made(kind))
+    found = registry.QUERIES["word_diffs"](spark, SF).collect()
+    got = {(r["provider"], kind): r[f"chars_{kind}"] for r in found for kind in ("added", "removed", "unchanged")}
+    assert got == dict(sizes)

@@ -228,9 +228,9 @@ def per_token_to_per_million(value: Column) -> Column:
 
 
 def project_id_from_path(path: Column) -> Column:
-    """ts:<name>:<8 hex digits>, the digits being a stable hash of the path."""
+    """ts:<name>:<8 hex digits>, the digits being the first of the path's SHA-256."""
     name = file_name(F.regexp_replace(path, r"/+$", ""))
-    return F.concat(F.lit("ts:"), name, F.lit(":"), F.substring(F.lower(F.lpad(F.hex(F.xxhash64(path)), 16, "0")), 1, 8))
+    return F.concat(F.lit("ts:"), name, F.lit(":"), F.substring(F.sha2(path.cast("binary"), 256), 1, 8))
 
 
 def display_cost(context: Column, compressed: Column) -> Column:

@@ -63,18 +63,23 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.diff_snapshots(corpus.content_hashes(files(spark, sf_dir)), corpus.content_hashes(view(spark, sf_dir, "v_files_prev")))
 
 
+#: SQL of a text's hash without its layout, and of its tokens as code.
+STABLE_HASH = r"""sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\t\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+(\n|$)', '\1', 'g'), '^\n+', ''), '\n+$', ''))"""
+CODE_TOKENS = "CAST(greatest(1, floor(length(text) / 3.5)) AS BIGINT)"
+
+
 def lines(source: str, small: int, window: int) -> str:
     """SQL of chunk_windows over a view of files."""
     return f"""(WITH l AS (SELECT project_id, path AS file_path, string_split(content, chr(10)) AS l FROM {source}),
       w AS (SELECT *, unnest(CASE WHEN len(l) <= {small} THEN [CAST(0 AS BIGINT)] ELSE range(0, len(l), {window}) END) AS s FROM l),
       c AS (SELECT project_id, file_path, s, CAST(s + 1 AS INT) AS line_start, CAST(CASE WHEN len(l) <= {small} THEN len(l) ELSE least(s + {window}, len(l)) END AS INT) AS line_end,
         array_to_string(CASE WHEN len(l) <= {small} THEN l ELSE l[s + 1 : s + {window}] END, chr(10)) AS text, len(l) <= {small} AS whole FROM w)
-      SELECT *, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\\t\\v\\f\\r\\x1c-\\x1f \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '')) AS stable_hash
+      SELECT *, {STABLE_HASH} AS stable_hash
       FROM c WHERE regexp_matches(text, '\\S'))"""
 
 
 @register(f"""SELECT project_id, file_path, line_start, line_end, stable_hash, CASE WHEN whole THEN 'file' ELSE 'file_window' END AS entity_kind,
-    CASE WHEN NOT whole THEN 'window_' || CAST(s // 5 AS STRING) END AS entity_name, CAST(greatest(1, floor(length(text) / 3.5)) AS BIGINT) AS token_estimate FROM {lines('{v_files}', 8, 5)}""")
+    CASE WHEN NOT whole THEN 'window_' || CAST(s // 5 AS STRING) END AS entity_name, {CODE_TOKENS} AS token_estimate FROM {lines('{v_files}', 8, 5)}""")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.chunk_windows(files(spark, sf_dir), 8, 5)
     return rows.select("project_id", "file_path", "line_start", "line_end", "stable_hash", "entity_kind", "entity_name", "token_estimate")
@@ -98,14 +103,36 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_documents(files(spark, sf_dir)).select("project_id", "path", "chunk_idx", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
-@register()
+@register(f"""WITH b AS (SELECT project_id, path, regexp_replace(content, '[''\\\\]', '', 'g') AS t FROM {{v_files}}),
+    bodies AS (SELECT project_id, path, 'import os' || chr(10) || chr(10) || 'def first():' || chr(10) || '    ''''''' || t || '''''''' || chr(10) || chr(10) || 'class Second:' || chr(10)
+        || '    def third(self):' || chr(10) || '        return 1' || chr(10) AS content, CAST(length(t) - length(replace(t, chr(10), '')) AS INT) AS n FROM b),
+    split AS (SELECT *, string_split(content, chr(10)) AS l FROM bodies WHERE path LIKE '%.py'),
+    entities AS (SELECT project_id, path AS file_path, 3 AS line_start, 4 + n AS line_end, l, 'function' AS entity_kind, 'first' AS entity_name FROM split
+      UNION ALL SELECT project_id, path, 6 + n, 8 + n, l, 'class', 'Second' FROM split UNION ALL SELECT project_id, path, 7 + n, 8 + n, l, 'method', 'third' FROM split),
+    chunks AS (SELECT project_id, file_path, line_start, line_end, entity_kind, entity_name, array_to_string(l[line_start : line_end], chr(10)) AS text FROM entities)
+    SELECT project_id, file_path, line_start, line_end, entity_kind, entity_name, {STABLE_HASH} AS stable_hash, {CODE_TOKENS} AS token_estimate FROM chunks
+    UNION ALL SELECT project_id, file_path, line_start, line_end, CASE WHEN whole THEN 'file' ELSE 'file_window' END, CASE WHEN NOT whole THEN 'window_' || CAST(s // 100 AS STRING) END, stable_hash, {CODE_TOKENS}
+    FROM {lines("(SELECT project_id, path, content FROM bodies WHERE path NOT LIKE '%.py')", 50, 100)}""")
 def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stand in the body of a function, so that Python files have entities."""
     body = F.concat(F.lit("import os\n\ndef first():\n    '''"), F.regexp_replace("content", r"['\\]", ""), F.lit("'''\n\nclass Second:\n    def third(self):\n        return 1\n"))
     return corpus.chunk_entities(files(spark, sf_dir).withColumn("content", body)).select("project_id", "file_path", "line_start", "line_end", "entity_kind", "entity_name", "stable_hash", "token_estimate")
 
 
-@register()
+INDEXED = "NOT regexp_matches(path, '(^|/)(node_modules|data)/|[.]png$') AND length BETWEEN 1 AND 1000000"
+
+
+@register(f"""WITH diff AS (SELECT project_id, path, CASE WHEN p.content IS NULL THEN 'new' WHEN c.content IS NULL THEN 'deleted' WHEN p.content = c.content THEN 'unchanged' ELSE 'modified' END AS change
+      FROM {{v_files}} c FULL JOIN {{v_files_prev}} p USING (project_id, path)),
+    after AS (SELECT * FROM {{v_files}} WHERE {INDEXED} AND (project_id, path) IN (SELECT (project_id, path) FROM diff WHERE change <> 'unchanged')),
+    before AS (SELECT * FROM {{v_files_prev}} WHERE {INDEXED} AND (project_id, path) IN (SELECT (project_id, path) FROM diff WHERE change <> 'unchanged')),
+    n AS (SELECT DISTINCT project_id, file_path, stable_hash, true AS n FROM {lines('after', 50, 100)}), o AS (SELECT DISTINCT project_id, file_path, stable_hash, true AS o FROM {lines('before', 50, 100)}),
+    chunks AS (SELECT project_id, count(*) FILTER (o IS NULL) AS chunks_added, count(*) FILTER (n IS NULL) AS chunks_removed, count(*) FILTER (n AND o) AS chunks_unchanged
+      FROM n FULL JOIN o USING (project_id, file_path, stable_hash) GROUP BY project_id),
+    files AS (SELECT project_id, count(*) FILTER (change = 'new') AS files_new, count(*) FILTER (change = 'modified') AS files_modified, count(*) FILTER (change = 'deleted') AS files_deleted,
+      count(*) FILTER (change = 'unchanged') AS files_unchanged FROM diff GROUP BY project_id)
+    SELECT project_id, files_new, files_modified, files_deleted, files_unchanged, coalesce(chunks_added, 0) AS chunks_added, coalesce(chunks_removed, 0) AS chunks_removed, coalesce(chunks_unchanged, 0) AS chunks_unchanged
+    FROM files LEFT JOIN chunks USING (project_id)""")
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     previous = view(spark, sf_dir, "v_files_prev").drop("doc_id")
     old = corpus.chunk_entities(corpus.decide_files(previous).filter("indexed").select(*previous.columns))
@@ -131,16 +158,18 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.corpus_rollup(corpus_files(spark, sf_dir))
 
 
-RANKED = f"""ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, is_docs ORDER BY token_count DESC, path) AS rank
-    FROM (SELECT *, regexp_matches(lower(path), '[.](md|rst|txt)$') AS is_docs FROM ({FILES}))) WHERE rank <= CASE WHEN is_docs THEN 20 ELSE 40 END)"""
+def ranked(files: str) -> str:
+    return f"""ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, is_docs ORDER BY token_count DESC, path) AS rank
+    FROM (SELECT *, regexp_matches(lower(path), '[.](md|rst|txt)$') AS is_docs FROM ({files}))) WHERE rank <= CASE WHEN is_docs THEN 20 ELSE 40 END)"""
 
 
-@register(f"WITH {RANKED} SELECT project_id, path, is_docs, rank FROM ranked")
+@register(f"WITH {ranked(FILES)} SELECT project_id, path, is_docs, rank FROM ranked")
 def file_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.rank_files(corpus_files(spark, sf_dir)).select("project_id", "path", "is_docs", "rank")
 
 
-SELECTED = f"""{RANKED},
+def selected(files: str) -> str:
+    return f"""{ranked(files)},
     items AS (SELECT project_id, list({{'d': is_docs, 'e': least(token_count, 1000), 'p': path}} ORDER BY NOT is_docs, rank) AS x FROM ranked GROUP BY 1),
     picked AS (SELECT project_id, list_reduce(list_prepend({{'docs': CAST(0 AS BIGINT), 'total': CAST(0 AS BIGINT), 'd': false, 'e': CAST(0 AS BIGINT), 'p': '', 'taken': CAST([] AS STRUCT(p STRING, e BIGINT)[])}},
         list_transform(x, lambda i: {{'docs': CAST(0 AS BIGINT), 'total': CAST(0 AS BIGINT), 'd': i['d'], 'e': i['e'], 'p': i['p'], 'taken': CAST([] AS STRUCT(p STRING, e BIGINT)[])}})),
@@ -149,6 +178,9 @@ SELECTED = f"""{RANKED},
     selected AS (SELECT project_id, unnest(range(len(t))) AS place, unnest(t) AS f FROM picked)"""
 
 
+SELECTED = selected(FILES)
+
+
 @register(f"WITH {SELECTED} SELECT project_id, CAST(place AS INT) AS place, f.p AS path, f.e AS eff FROM selected")
 def pack_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.select_files(packs.rank_files(corpus_files(spark, sf_dir)))
@@ -168,7 +200,18 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.context_pack_files(corpus_files(spark, sf_dir), chunks)
 
 
-@register()
+@register(f"""WITH chunks AS (SELECT project_id, file_path AS path, line_start, stable_hash, text, {CODE_TOKENS} AS cost FROM {lines('{v_files}', 50, 100)}),
+    {selected('SELECT project_id, path, CAST(sum(cost) AS BIGINT) AS token_count FROM chunks GROUP BY 1, 2')},
+    summed AS (SELECT project_id, path, place, f.e AS eff, line_start, stable_hash, text, sum(cost) OVER (PARTITION BY project_id, path ORDER BY line_start) <= f.e OR row_number() OVER (PARTITION BY project_id, path ORDER BY line_start) = 1 AS kept
+      FROM selected JOIN chunks USING (project_id) WHERE f.p = path),
+    bodies AS (SELECT project_id, place, eff, '<file path="' || path || '">' || chr(10) || string_agg(text, chr(10) ORDER BY line_start) FILTER (kept)
+        || CASE WHEN bool_and(kept) THEN '' ELSE chr(10) || '# ... (file truncated to fit context budget)' END || chr(10) || '</file>' || chr(10) AS part FROM summed GROUP BY project_id, place, path, eff),
+    parts AS (SELECT project_id, string_agg(part, chr(10) ORDER BY place) AS body, count(*) AS files, CAST(sum(eff) AS BIGINT) AS used FROM bodies GROUP BY 1),
+    marks AS (SELECT project_id, sha1(project_id || string_agg('|' || stable_hash, '' ORDER BY place, line_start)) AS block_hash FROM summed WHERE kept GROUP BY project_id),
+    totals AS (SELECT project_id, count(DISTINCT path) AS n, CAST(sum(cost) AS BIGINT) AS t FROM chunks GROUP BY 1)
+    SELECT project_id, rtrim('# Project context: ' || project_id || chr(10) || '# Files included: ' || files || ' of ' || n || ' (~' || used || ' tokens)' || chr(10) || chr(10) || body, ' ' || chr(10)) || chr(10) AS block_text,
+      block_hash, used AS token_count, 3600 AS expiry_hint_s, t AS raw_codebase_tokens FROM parts JOIN marks USING (project_id) JOIN totals USING (project_id)
+    UNION ALL SELECT project_id, '', 'empty', 0, 60, t FROM totals WHERE project_id NOT IN (SELECT project_id FROM parts)""")
 def context_pack_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.context_pack_chunks(corpus.chunk_windows(files(spark, sf_dir)))
 

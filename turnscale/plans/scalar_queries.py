@@ -179,7 +179,7 @@ def per_million(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "part").select("p_partkey", text.per_token_to_per_million(price).alias("per_m"))
 
 
-@register()
+@register("""SELECT path, 'ts:' || project_id || ':' || substr(sha256('/w/' || project_id), 1, 8) AS project FROM {v_files}""")
 def project_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("path", text.project_id_from_path(F.concat(F.lit("/w/"), F.col("project_id"))).alias("project"))
 
@@ -254,8 +254,12 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job", "is_paused", F.round("files_pct", 6).alias("files_pct"), F.round("eta_seconds", 6).alias("eta"))
 
 
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewritten = F.concat(text.compress_context(F.col("text"), 300), F.lit(" end"))
+    return turns(spark, sf_dir).select("id", "provider", F.col("text").alias("original"), rewritten.alias("rewritten"))
+
+
 @register()
 def word_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against its cleaned text with one word more, and characters per provider."""
-    pairs = turns(spark, sf_dir).select("id", "provider", F.col("text").alias("original"), F.concat(text.compress_context(F.col("text"), 300), F.lit(" end")).alias("rewritten"))
-    return signals.diff_sizes(signals.word_diff(pairs), "provider")
+    return signals.diff_sizes(signals.word_diff(word_pairs(spark, sf_dir)), "provider")
