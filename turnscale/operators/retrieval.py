@@ -25,12 +25,15 @@ def final_score(similarity: Column, ts: Column, now: Column, alpha: float = ALPH
 def topk_similar(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, k: int = CANDIDATES, draft_keys: tuple[str, ...] = ("chat_session_id", "provider"), least_chars: int = 50) -> DataFrame:
     """The k turns nearest to each draft by cosine, among those of its session and provider with a vector and enough text.
 
-    drafts: draft_id, query_embedding and the keys. All drafts are answered by one join on the keys.
+    drafts: draft_id, query_embedding and the keys. All drafts are answered by one join on the keys, of ids and vectors
+    alone; the k kept meet the turns' other columns after it. An id is a turn of its session once.
     """
-    rows = turns.filter(not_chitchat(F.col("text"), least_chars)).join(vectors, turns["id"] == vectors["timeline_id"])
-    wanted = drafts.filter("query_embedding is not null").select("draft_id", "query_embedding", *draft_keys)
-    both = rows.join(wanted, list(draft_keys)).withColumn("distance", cosine_distance(F.col("embedding"), F.col("query_embedding")))
-    return top_per_key(both.filter("distance is not null").drop("embedding", "query_embedding"), ["draft_id"], [F.col("distance"), F.col("id")], k)
+    keys = list(draft_keys)
+    rows = turns.filter(not_chitchat(F.col("text"), least_chars)).select("id", *keys).join(vectors.select(F.col("timeline_id").alias("id"), "embedding"), "id")
+    wanted = drafts.filter("query_embedding is not null").select("draft_id", "query_embedding", *keys)
+    both = rows.join(wanted, keys).select("draft_id", *keys, "id", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance"))
+    nearest = top_per_key(both.filter("distance is not null"), ["draft_id"], [F.col("distance"), F.col("id")], k)
+    return turns.join(nearest, ["id", *keys])
 
 
 def budget_lists(scored: DataFrame, key: str = "draft_id", budget: str = "token_budget") -> DataFrame:
