@@ -217,6 +217,39 @@ def test_candidates_and_features_match_brute_force(spark):
         assert got[k] == pytest.approx(v), k
 
 
+def test_short_passwords_and_unquoted_keys(spark):
+    """Where a credential's name is assigned a value, candidates are found from 8 characters on; a run ends at its `=`."""
+    short = {
+        'password = "hunter2!x"': ["hunter2!x"],
+        "PASSWORD: p@ss.w0rd.\nnext line": ["p@ss.w0rd"],
+        "db_password_2='S3cret:pw9'": ["S3cret:pw9"],
+        'env["api_key"] = "k3y-0123456"': ["k3y-0123456"],
+        "token = short7": [],
+        "the password is hunter2!x": [],
+        "name = hunter2!x": [],
+        "API_TOKEN=" + "a1" * 12: ["a1" * 12],
+        "LONG_NAME_OF_A_SETTING_HERE=" + "b2" * 12 + "==": ["LONG_NAME_OF_A_SETTING_HERE=", "b2" * 12 + "=="],
+        "secret=abcd1234 token=efgh5678,password=ijkl9012": ["abcd1234", "efgh5678", "ijkl9012"],
+        "password = " + "c3" * 9 + "!" + "d4" * 30: ["c3" * 9 + "!" + "d4" * 30],
+    }
+    texts = list(short)
+    rows = [(i, "é " + t + " tail", None) for i, t in enumerate(texts)]
+    r = random.Random(11)
+    for i in range(100, 300):
+        value = "".join(r.choice("0123456789abcdef") for _ in range(40)) if i % 2 else "".join(r.choice(WORDS) for _ in range(8))
+        rows.append((i, sentence(r, 12) + (f' token = "{value}" ' if i % 2 else f" {value} ") + sentence(r, 6), "src/a.py"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found, given = {}, {i: t for i, t, _ in rows}
+    for x in secret_scan.find_candidates(docs.filter("doc_id < 100"), "source").orderBy("doc_id", "place").collect():
+        assert given[x.doc_id][x.start : x.start + len(x.value)] == x.value
+        found.setdefault(x.doc_id, []).append(x.value)
+    assert {i: found.get(i, []) for i in range(len(texts))} == dict(enumerate(short.values()))
+    scanned = secret_scan.scan_secrets(docs)
+    assert scanned.count() == 200 + sum(map(len, short.values())) and scanned.filter("score is null").count() == 0
+    labelled = secret_scan.weak_labels(scanned).join(scanned, ["doc_id", "place", "value_sha256"])
+    assert labelled.filter("n_chars < 20").count() == 0 < labelled.count()
+
+
 def test_a_megabyte_in_one_run(spark):
     docs = spark.createDataFrame([(1, "data " + "aGVsbG8gd29ybGQx" * 62_500, "p"), (2, 'token = "' + "0f" * 20 + '"', "p")], "doc_id long, text string, source string")
     start = time.monotonic()

@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: A candidate: a whole run of 20 or more of the characters that keys are made of.
-RUN = "A-Za-z0-9_+/=-"
-CANDIDATE = f"(?<![{RUN}])[{RUN}]{{20,}}"
+#: A candidate: a whole run of 20 or more of the characters that keys are made of; `=` only ends one, as padding.
+RUN = "A-Za-z0-9_+/-"
+LONG = 20
+CANDIDATE = f"(?<![{RUN}])[{RUN}]{{{LONG},}}={{0,2}}"
 #: Characters of context on either side.
 CONTEXT = 64
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0_"
 DICTIONARY_LENGTHS = (3, 4, 5, 6)
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|secret|token|api_?key|access_?key|private_?key|auth|credential|bearer)"
+#: A candidate, too: 8 or more characters of a password where a credential's name is assigned a value. What leads to one is
+#: looked for from the nearest sign back, so that most places are done with after a character or two.
+SHORT = rf"(?<=[=:]\s{{0,2}}[\"']?)(?<={CREDENTIAL}[\w.-]{{0,4}}[\"']?\]?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[\w+/@!#$%^&*.:~?-]{{7,}}[\w+/@!#$%^&*~?-]"
+ANY_CANDIDATE = f"{CANDIDATE}|{SHORT}"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"
 #: What tells of a candidate's context that it is a secret. Weak labels come from these signs, so that a forest on such labels
 #: must not see them, nor the number of words before, in which an assignment counts.
@@ -34,10 +39,10 @@ FEATURES = ["n_chars", "share_digits", "share_upper", "n_distinct", "transitions
 
 def find_candidates(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, path, place, start, value, before, after) for every candidate of the whole text; place counts from 0, start
-    is the candidate's first character in the text, from 0."""
+    is the candidate's first character in the text, from 0. The value is as long as n_chars says."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.transform(F.split(text, CANDIDATE), lambda p: F.struct(F.right(p, F.lit(CONTEXT)).alias("end"), F.left(p, F.lit(CONTEXT)).alias("start"), F.length(p).alias("chars")))
-    rows = documents.select("doc_id", F.col(f"`{path}`").cast("string").alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), pieces.alias("pieces"))
+    pieces = F.transform(F.split(text, ANY_CANDIDATE), lambda p: F.struct(F.right(p, F.lit(CONTEXT)).alias("end"), F.left(p, F.lit(CONTEXT)).alias("start"), F.length(p).alias("chars")))
+    rows = documents.select("doc_id", F.col(f"`{path}`").cast("string").alias("path"), F.regexp_extract_all(text, F.lit(ANY_CANDIDATE), F.lit(0)).alias("values"), pieces.alias("pieces"))
     rows = rows.filter(F.size("values") > 0)
     # What comes before each candidate is the pieces and values before it.
     lengths = F.zip_with("pieces", "values", lambda p, v: p["chars"] + F.coalesce(F.length(v), F.lit(0)))
@@ -51,9 +56,9 @@ def find_candidates(documents: DataFrame, path: str) -> DataFrame:
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """(word, n): the lower-case ASCII words of all texts, shorter than a candidate, with their counts; saved."""
+    """(word, n): the lower-case ASCII words of all texts, shorter than a long candidate, with their counts; saved."""
     words = documents.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    return saved(words.filter(F.length("word").between(2, 19)).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
+    return saved(words.filter(F.length("word").between(2, LONG - 1)).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
 
 
 def common_words(words: DataFrame, size: int) -> list[str]:
@@ -129,10 +134,12 @@ def weak_labels(findings: DataFrame) -> DataFrame:
     """(doc_id, place, value_sha256, label) where the context is plain, for tables that come without labelled findings.
 
     1: assigned in quotes to a credential's name. 0: none of these signs. The value, the path and the other words are not
-    looked at, so that what a forest learns of them from these labels holds where there is no such context.
+    looked at, so that what a forest learns of them from these labels holds where there is no such context. Candidates
+    of fewer than LONG characters have no weak label: they are only found where there are such signs.
     """
     signs = sum((F.col(c) for c in CONTEXT_SIGNS), F.lit(0.0))
     label = F.when(signs == len(CONTEXT_SIGNS), 1).when(signs == 0, 0)
+    findings = findings.filter(F.col("n_chars") >= LONG)
     return findings.select("doc_id", "place", "value_sha256", label.alias("label")).filter("label is not null")
 
 
