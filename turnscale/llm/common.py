@@ -46,16 +46,36 @@ def clear_scratch(spark: SparkSession) -> int:
     """
     count = len(_GIVEN)
     while _GIVEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _GIVEN[-1])
     return count
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; this cuts its lineage."""
+    return saved_at(df, name)[0]
+
+
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As saved, and the path, for `delete` when a later table has taken its place."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _GIVEN:
+        _GIVEN.remove(path)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A name that no column of df has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def bound_batches(df: DataFrame) -> DataFrame:

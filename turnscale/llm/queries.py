@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnscale.plans.views import view
 
-from . import line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_search, warc
+from . import fill_in_middle, line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_search, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_passage_attention": op9_passage_attention,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -157,4 +162,26 @@ ORACLE_SQL: dict[str, str] = {
             FROM docs d LEFT JOIN duplicates u USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN gone g USING (r)),
         judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
         SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_removed_words <= 0.5 * n_words AS kept FROM judged""",
+    "op11_fill_in_middle": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+            FROM documents),
+        drawn AS (
+            SELECT *, len(units) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) AS draws FROM docs),
+        cuts AS (
+            SELECT *, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS a, greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draws[3] % 100 >= 50 THEN 'plain'
+                        WHEN draws[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (
+            SELECT *, coalesce(array_to_string(units[1 : a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1 : b], ''), '') AS middle,
+                   coalesce(array_to_string(units[b + 1 :], ''), '') AS suffix
+            FROM cuts)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
 }
