@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnscale.plans.views import view
 
-from . import fill_in_middle, line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_search, warc
+from . import fill_in_middle, line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_codes, vector_search, warc
 from .common import table
 
 
@@ -61,6 +61,35 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes_digest(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain k-means over integers, a round after another."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+            SELECT r, x.p, min(list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + e) AS found
+            FROM cut x JOIN b{n} b ON x.p = b.p GROUP BY r, x.p)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (
+            SELECT p, e, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS c
+            FROM (SELECT p, found % {entries} AS e, i, sum(c[i]) AS total, count(*) AS n FROM a{n} JOIN cut USING (r, p), range(1, len(c) + 1) AS t(i) GROUP BY ALL) GROUP BY p, e),
+        b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS MATERIALIZED (SELECT r, CAST(p AS INT) AS p, q[p * len(q) // {parts} + 1 : (p + 1) * len(q) // {parts}] AS c FROM kept, range({parts}) AS t(p)),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS e, c FROM cut WHERE r <= {entries}),
+        {", ".join(steps)},
+        coded AS (
+            SELECT r, string_agg(printf('%02x', CAST(found % {entries} AS INT)), '' ORDER BY p) AS code, CAST(sum(found // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+        books AS (SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds}, range(1, len(c) + 1) AS t(i))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -73,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_passage_attention": op9_passage_attention,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -184,4 +214,5 @@ ORACLE_SQL: dict[str, str] = {
                       ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(text) AS restored_sha256
         FROM parts""",
+    "op13_vector_codes": _codes_sql(),
 }
