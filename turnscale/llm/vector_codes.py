@@ -161,7 +161,11 @@ def step(x: np.ndarray, entries: np.ndarray, moved: np.ndarray, code: np.ndarray
 
 
 # A row of the table between two rounds.
-STATE = T.StructType.fromDDL("code array<smallint>, before array<smallint>, upper array<double>, near array<smallint>, lower array<float>, outer array<double>, needed array<smallint>, error long")
+SHORTS, DOUBLES = T.ArrayType(T.ShortType()), T.ArrayType(T.DoubleType())
+STATE = (
+    T.StructType().add("code", SHORTS).add("before", SHORTS).add("upper", DOUBLES).add("near", SHORTS)
+    .add("lower", T.ArrayType(T.FloatType())).add("outer", DOUBLES).add("needed", SHORTS).add("error", "long")
+)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
