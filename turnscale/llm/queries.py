@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnscale.plans.views import view
 
-from . import fill_in_middle, line_dedup, mixing, passage_quality, pieces, quality_rules, secret_scan, sharding, simhash, vector_codes, vector_search, warc
+from . import fill_in_middle, line_dedup, mixing, passage_quality, personal_data, pieces, quality_rules, secret_scan, sharding, simhash, vector_codes, vector_search, warc
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes_digest(table(spark, sf_dir, "embeddings"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_passage_attention": op9_passage_attention,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 
