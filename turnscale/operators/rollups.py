@@ -191,6 +191,41 @@ def usage_stats(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+#: What usage sums are kept by: the money of a session can be a chat's or a coding tool's.
+USAGE_KEYS = ["chat_session_id", "counted"]
+USAGE_SUMS = ["turns", "input_tokens", "output_tokens", "injected", "cached"]
+SAVED = ["input", "cache", "output"]
+
+
+def usage_sums(turns: DataFrame) -> DataFrame:
+    """Sums of turns by chat session and by whether their savings count (no fixture session's do), of which usage_stats_of
+    makes what usage_stats makes of the turns. Sums of several tables of turns add up."""
+    counted = not_fixture_session(F.col("session_id")).alias("counted")
+    tokens = [total(f"actual_{kind}_tokens").alias(f"{kind}_tokens") for kind in ("input", "output")]
+    flags = [F.count_if("injected").alias("injected"), F.count_if("cache_hit_estimated").alias("cached")]
+    return turns.groupBy("chat_session_id", counted).agg(F.count("*").alias("turns"), *tokens, *flags, *[money(f"saved_{kind}_cost_usd").alias(kind) for kind in SAVED])
+
+
+def add_usage_sums(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(*USAGE_KEYS).agg(*[total(c).alias(c) for c in USAGE_SUMS], *[money(c).alias(c) for c in SAVED])
+
+
+def usage_stats_of(sums: DataFrame, sessions: DataFrame) -> DataFrame:
+    """usage_stats from usage_sums."""
+    here = linked(sums, sessions)
+    counts = here.agg(
+        F.count_distinct("chat_session_id").alias("sessions"), total("turns").alias("turns"), total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"),
+        total("injected").alias("injected_turns"), total("cached").alias("cache_hit_turns"),
+    )
+    saved = sums.filter("counted").agg(*[F.round(money(kind), 4).alias(kind) for kind in SAVED])
+    injected, cached, n = F.col("injected_turns"), F.col("cache_hit_turns"), F.col("turns")
+    row = counts.crossJoin(saved)  # of one row each
+    return row.select(
+        *counts.columns, pct(injected, n).alias("injection_rate_pct"), pct(cached, injected).alias("cache_hit_rate_pct"), pct(cached, n).alias("savings_pct"),
+        (F.col("input") + F.col("cache") + F.col("output")).cast("double").alias("total_saved_usd"),
+    )
+
+
 def list_chat_sessions(sessions: DataFrame, turns: DataFrame, most: int | None = 20) -> DataFrame:
     """Chat sessions with turns and one sum of dollars saved, newest first."""
     each = F.coalesce("saved_input_cost_usd", F.lit(0.0)).cast(MONEY) + F.coalesce("saved_cache_cost_usd", F.lit(0.0)).cast(MONEY) + F.coalesce("saved_output_cost_usd", F.lit(0.0)).cast(MONEY)

@@ -143,7 +143,7 @@ def apply_embed_results(attempts: DataFrame, results: DataFrame, dim: int) -> tu
     sized = F.size("embedding") == dim
     good = (F.col("status") == "ok") & F.coalesce(sized, F.lit(False))
     vectors = results.filter(good).select("timeline_id", "embedding")
-    reason = F.when(F.col("status") == "ok", "wrong_dim").when(F.col("status") == "unavailable", "unavailable").otherwise(F.substring("error", 1, ERROR_CHARS))
+    reason = F.when(F.col("status") == "ok", "wrong_dim").when(F.col("status").isin("wrong_dim", "unavailable"), F.col("status")).otherwise(F.substring("error", 1, ERROR_CHARS))
     outcome = results.select("timeline_id", (good | (F.col("status") == "blank")).alias("done"), F.when(~good & (F.col("status") != "blank"), reason).alias("last_error"))
     old = attempts.select("timeline_id", F.col("attempts").alias("_a"), F.col("completed").alias("_c"), F.col("last_error").alias("_e"))
     both = old.join(outcome, "timeline_id", "full")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscale.functions.text import looks_binary, tokens_min1
 from turnscale.operators import corpus, embedding, packs, rollups, signals, state
-from turnscale.sources import readers, writers
+from turnscale.sources import readers, versions, writers
 from turnscale.streaming import jobs
 
 from . import turn_queries
@@ -32,13 +35,18 @@ def register(sql: str | None = None, name: str | None = None):
     return add
 
 
+@functools.cache
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="turnscale-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares: spark.checkpoint.dir; in local mode a folder of our own will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="turnscale-")
+        base = local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -103,6 +111,19 @@ def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@register("""SELECT 'first' AS version, o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
+    SELECT 'last', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 ELSE o_custkey END FROM orders""")
+def write_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is overwritten from itself and added to; what was read before that still has the first version's rows."""
+    path, rows = scratch(spark, "versions"), view(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"))
+    versions.write_version(rows.filter("o_orderkey % 2 = 0"), path)
+    first = versions.read_version(spark, path)
+    versions.write_version(first.withColumn("o_custkey", F.col("o_custkey") + 1), path)
+    versions.write_version(rows.filter("o_orderkey % 2 = 1"), path, "append")
+    named = lambda df, name: df.select(F.lit(name).alias("version"), "o_orderkey", "o_custkey")
+    return named(first, "first").unionByName(named(versions.read_version(spark, path), "last"))
+
+
 @register("SELECT CAST(2 AS INT) AS parts, count(*) AS orders FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT CAST(1 AS INT), count(*) FROM orders")
 def write_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of four snapshots of the orders, the second and the fourth are what was emitted before them."""
@@ -289,10 +310,13 @@ def rolling_dedup_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: a given table arrives as files, and what the job has put out when it has read all of them is the result.
 
 
-def arrivals(spark: SparkSession, rows: DataFrame, per_batch: int = 1000) -> DataFrame:
+def arrivals(spark: SparkSession, rows: DataFrame, files: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """rows as a stream of so many files in no order of time, one a batch; `last` comes after them and sets the watermark on."""
     path = scratch(spark, "arrivals")
-    rows.write.parquet(path)
-    return jobs.with_schema(spark, path, rows.schema, per_batch)
+    rows.repartition(files).write.parquet(path)
+    if last is not None:
+        last.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
+    return jobs.with_schema(spark, path, rows.schema, 1)
 
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -317,40 +341,50 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_mutations").select("node", "ts_ms", F.col("chars_added"), "event_id", "event_type", "user_id")
 
 
-#: Far after all events: a row of this time makes the watermark pass them.
-LATER = 4_102_444_800_000
+#: Far after all events: a row of this time makes the watermark pass them, though files bring rows in any order.
+LATER, LATE, NEVER = 4_102_444_800_000, "3650 days", 10**15
+
+
+def later(rows: DataFrame, **values: Column) -> DataFrame:
+    """One row with these values, none of which a result has."""
+    return rows.limit(1).withColumns(values)
 
 
 @register(turn_queries.ORACLE["debounce"])
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mutations(spark, sf_dir).select(F.lit("p").alias("project_id"), F.col("node").alias("path"), F.timestamp_millis("ts_ms").alias("ts"))
-    last = rows.limit(1).select("project_id", F.lit("last").alias("path"), F.timestamp_millis(F.lit(LATER)).alias("ts"))
-    out = drained(spark, jobs.debounce(arrivals(spark, rows.unionByName(last)), "6 hours"))
+    last = later(rows, path=F.lit("last"), ts=F.timestamp_millis(F.lit(LATER)))
+    out = drained(spark, jobs.debounce(arrivals(spark, rows, last=last), "6 hours", LATE))
     return out.select(F.col("path").alias("node"), F.unix_millis("first_event").alias("first_ms"), F.unix_millis("last_event").alias("last_ms"), "events")
 
 
 @register(turn_queries.ORACLE["blackouts"])
 def stream_blackouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mutations(spark, sf_dir).select(F.col("node").alias("host"), F.expr("CAST(ts_ms DIV 86400000 AS STRING)").alias("session"), F.timestamp_millis("ts_ms").alias("ts"), F.col("chars_added").alias("mutations"), (F.col("event_type") == "error").alias("detected"))
-    last = rows.limit(1).withColumns({"host": F.lit("last"), "ts": F.timestamp_millis(F.lit(LATER))})
-    return drained(spark, jobs.blackouts(arrivals(spark, rows.unionByName(last)), "25 hours", least_seconds=300, least_mutations=3))
+    last = later(rows, host=F.lit("last"), ts=F.timestamp_millis(F.lit(LATER)))
+    return drained(spark, jobs.blackouts(arrivals(spark, rows, last=last), "25 hours", LATE, least_seconds=300, least_mutations=3))
 
 
 @register(turn_queries.ORACLE["velocity"])
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(spark, jobs.velocity(arrivals(spark, mutations(spark, sf_dir)), 48 * HOURS, HOURS, 0.00004, 3, 1.0))
+    rows = mutations(spark, sf_dir)
+    stream = arrivals(spark, rows, last=later(rows, node=F.lit("last"), ts_ms=F.lit(LATER)))
+    return drained(spark, jobs.velocity(stream, 48 * HOURS, HOURS, 0.00004, 3, 1.0, LATE, NEVER))
 
 
 @register(turn_queries.ORACLE["roots_diff"])
 def stream_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = lambda n: F.concat(F.lit("file:///r"), (F.col("event_id") % n).cast("string"))
     rows = mutations(spark, sf_dir).select(F.col("user_id").alias("client_id"), F.col("event_id").alias("ts"), F.array(root(3), root(5), F.lit("https://x")).alias("roots"))
-    return drained(spark, jobs.roots(arrivals(spark, rows)))
+    last = later(rows, client_id=F.lit(-1).cast(rows.schema["client_id"].dataType), ts=F.lit(LATER))
+    return drained(spark, jobs.roots(arrivals(spark, rows, last=last), LATE, NEVER))
 
 
 @register(FOLD)
 def stream_rolling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(spark, jobs.rolling_dedup(arrivals(spark, resent(spark, sf_dir)), "session_id", 3)).select("id")
+    rows = resent(spark, sf_dir)
+    last = later(rows, session_id=F.lit("last"), recorded_at=F.timestamp_millis(F.lit(LATER)))
+    return drained(spark, jobs.rolling_dedup(arrivals(spark, rows, last=last), "session_id", 3, LATE, NEVER)).select("id")
 
 
 DETECTORS = {"aria_live": "a", "semantic_attr": "b", "velocity": "c", "structural": "d"}
@@ -360,7 +394,9 @@ LATEST = ", ".join(f"coalesce(last_value(CASE WHEN detector = '{d}' THEN confide
 @register(f"""WITH e AS (SELECT node, ts_ms, {LATEST} FROM {{v_candidates}} WINDOW w AS (PARTITION BY node ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING))
     SELECT node, min(ts_ms) AS ts_ms FROM e WHERE round(greatest(1 - (1 - a) * (1 - b) * (1 - c) * (1 - d), a, b, c, d), 9) >= 0.7 GROUP BY node""")
 def stream_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(spark, jobs.vote(arrivals(spark, view(spark, sf_dir, "v_candidates")))).select("node", "ts_ms")
+    rows = view(spark, sf_dir, "v_candidates")
+    stream = arrivals(spark, rows, last=later(rows, node=F.lit("last"), ts_ms=F.lit(LATER)))
+    return drained(spark, jobs.vote(stream, 0.7, LATE, NEVER)).select("node", "ts_ms")
 
 
 @register("""SELECT node, CASE WHEN user_id % 2 = 0 THEN ts + 300 ELSE ts + 1500 END AS completed_ms, CASE WHEN user_id % 2 = 0 THEN 'sse_interceptor' ELSE 'debounce' END AS source
@@ -370,34 +406,105 @@ def stream_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = mutations(spark, sf_dir).groupBy("node", "user_id").agg(F.min("ts_ms").alias("ts_ms"))
     kinds = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("mutation"), F.lit("sse_end"))).otherwise(F.array(F.lit("mutation")))
     rows = first.select("node", F.timestamp_millis("ts_ms").alias("ts"), F.explode(kinds).alias("kind"), F.lit(1500).cast("long").alias("debounce_ms"))
-    last = rows.limit(1).withColumns({"node": F.lit("last"), "ts": F.timestamp_millis(F.lit(LATER)), "kind": F.lit("mutation")})
-    return drained(spark, jobs.completion(arrivals(spark, rows.unionByName(last))))
+    last = later(rows, node=F.lit("last"), ts=F.timestamp_millis(F.lit(LATER)), kind=F.lit("mutation"))
+    return drained(spark, jobs.completion(arrivals(spark, rows, last=last), late=LATE))
+
+
+@register("""WITH e AS (SELECT node || '-' || CAST(ts_ms // 86400000 AS VARCHAR) AS node, ts_ms, event_type FROM {v_mutations}),
+    m AS (SELECT node, ts_ms, lead(ts_ms) OVER (PARTITION BY node ORDER BY ts_ms) AS nxt FROM e WHERE event_type <> 'error'),
+    ends AS (SELECT node, ts_ms + 7200000 AS end_ms, 4 AS n FROM m WHERE nxt IS NULL OR nxt >= ts_ms + 7200000
+        UNION ALL SELECT node, ts_ms + 300, 1 FROM e WHERE event_type = 'click' UNION ALL SELECT node, ts_ms + 300, 2 FROM e WHERE event_type = 'view'
+        UNION ALL SELECT node, ts_ms, 3 FROM e WHERE event_type = 'error'),
+    f AS (SELECT node, end_ms, n, row_number() OVER (PARTITION BY node ORDER BY end_ms, n) AS k FROM ends)
+    SELECT node, end_ms AS completed_ms, CASE n WHEN 1 THEN 'sse_interceptor' WHEN 2 THEN 'stop_button' WHEN 3 THEN 'flatline' ELSE 'debounce' END AS source FROM f WHERE k = 1""")
+def stream_completions_of_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's day ends by a click or a view, after settling, by an error at once, or two hours after its last other event;
+    clicks and views are mutations, too, so that ends are put off and others come after the first."""
+    node, kind = F.concat_ws("-", "node", F.expr("CAST(ts_ms DIV 86400000 AS STRING)")), F.col("event_type")
+    kinds = F.when(kind == "click", F.array(F.lit("mutation"), F.lit("sse_end"))).when(kind == "view", F.array(F.lit("mutation"), F.lit("stop_gone"))).when(kind == "error", F.array(F.lit("flatline"))).otherwise(F.array(F.lit("mutation")))
+    rows = mutations(spark, sf_dir).select(node.alias("node"), F.timestamp_millis("ts_ms").alias("ts"), F.explode(kinds).alias("kind"), F.lit(7_200_000).cast("long").alias("debounce_ms"))
+    last = later(rows, node=F.lit("last"), ts=F.timestamp_millis(F.lit(LATER)), kind=F.lit("mutation"))
+    return drained(spark, jobs.completion(arrivals(spark, rows, last=last), late=LATE))
+
+
+class Stopped(RuntimeError):
+    pass
+
+
+def through_a_stop(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """The stream stops after the sink is done with batch 1 and before that is noted, so that the batch comes again."""
+
+    def stops(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        if number == 1:
+            raise Stopped
+
+    with contextlib.suppress(StreamingQueryException):
+        into(stream, stops, checkpoint)
+    into(stream, sink, checkpoint)
 
 
 @register(turn_queries.ORACLE["upsert_turns"])
 def stream_upsert_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = scratch(spark, "turns"), view(spark, sf_dir, "v_resends").drop("recorded_s", "recorded_at").repartition(4)
-    stream = arrivals(spark, rows, per_batch=2)
-    into(stream, jobs.upsert_turns_sink(spark, path, 8), f"{path}-checkpoint")
+    path, rows = scratch(spark, "turns"), view(spark, sf_dir, "v_resends").drop("recorded_s", "recorded_at")
+    stream = arrivals(spark, rows)
+    through_a_stop(stream, jobs.upsert_turns_sink(spark, path, 8), f"{path}-checkpoint")
     return jobs.read_parts(spark, path, stream.schema)
 
 
 @register("SELECT id AS timeline_id, CASE WHEN trim(text) = '' THEN 'blank' ELSE 'ok' END AS status FROM {v_turns}")
 def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "vectors")
-    into(arrivals(spark, view(spark, sf_dir, "v_turns").select("id", "text").repartition(4), per_batch=2), jobs.embed_sink(path, embedding.hash_embedder(8), 8), f"{path}-checkpoint")
+    through_a_stop(arrivals(spark, view(spark, sf_dir, "v_turns").select("id", "text")), jobs.embed_sink(path, embedding.hash_embedder(8), 8), f"{path}-checkpoint")
     return spark.read.parquet(f"{path}/results").select("timeline_id", "status")
 
 
+@register("""WITH e AS (SELECT id, id % 4 AS batch, id % 16 // 4 AS fails FROM {v_turns} WHERE trim(text) <> '')
+    SELECT id AS timeline_id, CAST(least(fails, 4 - batch, 3) AS INT) AS attempts, CASE fails WHEN 1 THEN 'wrong_dim' WHEN 2 THEN 'unavailable' ELSE 'broken' END AS last_error FROM e
+    WHERE fails > 0 AND NOT (fails = 1 AND batch < 3) AND NOT (fails = 2 AND batch < 2)""")
+def stream_embed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still to be embedded after four batches. Of sixteen ids four fail once, four twice and four always; a turn
+    of an early batch is tried again with each later one, three times at most."""
+    path, rows = scratch(spark, "attempts"), view(spark, sf_dir, "v_turns").filter("trim(text) != ''").select("id", F.col("id").cast("string").alias("text"))
+
+    def embedder(number: int) -> embedding.Embedder:
+        def of(texts: Sequence[str]) -> list[list[float]]:
+            n = int(texts[0])
+            fails, tries = n % 16 // 4, number - n % 4 + 1
+            if fails == 1 and tries < 2:
+                return [[0.5] * 4]
+            if fails == 2 and tries < 3:
+                raise ConnectionError("away")
+            if fails == 3:
+                raise ValueError("broken")
+            return embedding.hash_embedder(8)(texts)
+
+        return of
+
+    for number in range(4):
+        jobs.embed_sink(path, embedder(number), 8, batch=1)(rows.filter(F.col("id") % 4 == number), number)
+    return jobs.read_embed_queue(spark, path).select("timeline_id", "attempts", "last_error")
+
+
 @register(turn_queries.ORACLE["usage_stats"])
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's row is emitted at the first batch, and not again by the others, as it stays what it is."""
     path, turns, sessions = scratch(spark, "metrics"), view(spark, sf_dir, "v_turns"), view(spark, sf_dir, "v_sessions")
     sink = jobs.metrics_sink(lambda: turns, lambda: sessions, lambda row: row.write.mode("append").parquet(path))
-    into(arrivals(spark, turns.select("id").repartition(3), per_batch=1), sink, f"{path}-checkpoint")
+    into(arrivals(spark, turns.select("id")), sink, f"{path}-checkpoint")
     return spark.read.parquet(path).select(rollups.usage_stats(turns, sessions).columns)
 
 
+@register(turn_queries.ORACLE["usage_stats"])
+def stream_live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row after turns have come in three batches, one of them twice, with sums alone kept between them."""
+    path, turns, sessions = scratch(spark, "live"), view(spark, sf_dir, "v_turns"), view(spark, sf_dir, "v_sessions")
+    shown: list[DataFrame] = []
+    sink = jobs.live_metrics_sink(path, lambda: sessions, lambda row: shown.append(spark.createDataFrame(row.collect(), row.schema)), 4)
+    through_a_stop(arrivals(spark, turns.drop("recorded_at")), sink, f"{path}-checkpoint")
+    return shown[-1]
+
+
 @register(f"""SELECT project_id, file_path, line_start, stable_hash FROM {lines('{v_files_prev}', 8, 5)} WHERE (project_id, file_path) NOT IN (SELECT (project_id, path) FROM {{v_files}} WHERE doc_id % 3 = 0)
     UNION ALL SELECT project_id, file_path, line_start, stable_hash FROM {lines('(SELECT * FROM {v_files} WHERE doc_id % 3 = 0)', 8, 5)}""")
 def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,5 +514,5 @@ def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.replace_parts(spark, path, list(range(8)), jobs.with_part(old, ["project_id", "file_path"], 8))
     read = lambda files: now.join(files, ["project_id", "path"], "left_semi")
     sink = jobs.incremental_corpus_sink(read, lambda rows: corpus.chunk_windows(rows, 8, 5), path, old.schema, 8)
-    into(arrivals(spark, now.filter("doc_id % 3 = 0").select("project_id", "path").repartition(2), per_batch=1), sink, f"{path}-checkpoint")
+    through_a_stop(arrivals(spark, now.filter("doc_id % 3 = 0").select("project_id", "path"), 2), sink, f"{path}-checkpoint")
     return jobs.read_parts(spark, path, old.schema)

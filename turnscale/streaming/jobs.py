@@ -6,20 +6,21 @@ spark.sql.streaming.stateStore.providerClass = org.apache.spark.sql.execution.st
 
 from __future__ import annotations
 
-import uuid
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from turnscale.functions.text import djb2
 from turnscale.operators import rollups, signals, state
-from turnscale.operators.embedding import Embedder, embed
-from turnscale.sources.writers import write_change_feed
+from turnscale.operators.embedding import BATCH, Embedder, embed
+from turnscale.sources import versions
+from turnscale.sources.writers import fingerprint, write_change_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,32 +32,21 @@ def debounce(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 s
     return signals.debounce(rows, gap)
 
 
-def replace_parts(spark: SparkSession, path: str, parts: list[int], rows: DataFrame) -> None:
+def replace_parts(spark: SparkSession, path: str, parts: list[int], rows: DataFrame, keep_seconds: float = 0.0, marks: dict[str, object] | None = None) -> None:
     """Put rows (with their `part`) in the place of these parts of the table at path; its other parts aren't touched.
 
-    The new parts are written beside the table first, as they may be made from the old ones. A part is replaced by itself:
-    a failed batch leaves old and new ones, and coming again makes all of them new.
+    A version of the table (see turnscale.sources.versions): stopped anywhere, the table is what it was before, or what it
+    is to be. The old parts can be read for keep_seconds more.
     """
-    staged = f"{path}.new-{uuid.uuid4().hex}"
-    rows.write.partitionBy("part").parquet(staged)
-    files = spark._jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    place = lambda where, n: spark._jvm.org.apache.hadoop.fs.Path(f"{where}/part={n}")
-    for n in parts:
-        files.delete(place(path, n), True)
-        if files.exists(place(staged, n)):
-            files.mkdirs(place(path, n).getParent())
-            if not files.rename(place(staged, n), place(path, n)):
-                raise OSError(f"can't move part {n} of {path}")
-    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+    versions.replace_pieces(spark, path, [str(n) for n in parts], rows, "part", marks, keep_seconds)
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType, parts: list[int] | None = None) -> DataFrame:
     """The rows of these parts of a table that replace_parts wrote, or of all; none where there is no table."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    version = versions.current(spark, path)
+    if version is None:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).parquet(path)
-    return (rows if parts is None else rows.filter(F.col("part").isin(parts))).drop("part")
+    return versions.rows_of(spark, path, version, None if parts is None else [str(n) for n in parts])
 
 
 def with_part(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
@@ -69,10 +59,10 @@ def touched_parts(rows: DataFrame, keys: list[str], parts: int) -> tuple[DataFra
     return rows, sorted(r[0] for r in rows.select("part").distinct().collect())
 
 
-def upsert_turns_sink(spark: SparkSession, path: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
+def upsert_turns_sink(spark: SparkSession, path: str, parts: int = 64, keep_seconds: float = 0.0) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges arrivals into the turn table at path, which has `parts` by hash of the session:
     a batch rewrites those of its sessions. A batch that comes again changes nothing: its arrivals are already there with
-    the same arrival_seq."""
+    the same arrival_seq. `read_parts` reads the table; give keep_seconds the time that a read takes while the stream runs."""
 
     def on_batch(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
@@ -84,82 +74,254 @@ def upsert_turns_sink(spark: SparkSession, path: str, parts: int = 64) -> Callab
             old = read_parts(session, path, batch.schema, touched)
             unnamed = batch.filter("message_id is null or message_id = ''").join(old.select("id"), "id", "left_anti")
             merged = old.unionByName(batch.filter("message_id is not null and message_id != ''")).unionByName(unnamed)
-            replace_parts(session, path, touched, with_part(state.upsert_turns(merged), ["session_id"], parts))
+            replace_parts(session, path, touched, with_part(state.upsert_turns(merged), ["session_id"], parts), keep_seconds)
         finally:
             batch.unpersist()
 
     return on_batch
 
 
-def embed_sink(path: str, embedder: Embedder, dim: int = 768) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that embeds a batch's turns and appends vectors and failures under path, by batch id, so
-    that a batch that comes again replaces its own files."""
+def batch_mark(batch: DataFrame, number: int, key: str) -> list[int]:
+    """What tells a batch that comes again after a stop from another one of the same number: its rows' number and ids."""
+    count, ids = batch.agg(F.count("*"), F.sum(F.xxhash64(key).cast("decimal(38,0)"))).head()
+    return [number, count, str(ids)]
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        results = embed(batch.withColumnRenamed("id", "timeline_id"), embedder, dim=dim)
-        results.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+
+def embed_sink(path: str, embedder: Embedder, dim: int = 768, most: int = state.MOST_ATTEMPTS, batch: int = BATCH) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that embeds a batch's turns (id, text), and those that have failed before.
+
+    Under path: results of each batch by its number, and `queue`, a versioned table of the turns that have failed
+    (timeline_id, text, attempts, completed, last_error): each batch tries those of fewer than `most` attempts again; what
+    succeeds leaves it, what has failed `most` times stays, closed. A batch that comes again after its queue was
+    committed is left out, before that it does the same again. The queue has failures alone, so it is rewritten whole.
+    """
+    shape = "timeline_id {}, text string, attempts int, completed boolean, last_error string"
+
+    def on_batch(turns: DataFrame, number: int) -> None:
+        spark = turns.sparkSession
+        rows = turns.select(F.col("id").alias("timeline_id"), "text").persist()
+        try:
+            mark, old = batch_mark(rows, number, "timeline_id"), versions.current(spark, f"{path}/queue")
+            if old and old.marks.get("batch") == mark:
+                return
+            queue = versions.rows_of(spark, f"{path}/queue", old) if old else spark.createDataFrame([], shape.format(rows.schema["timeline_id"].dataType.simpleString()))
+            again = queue.filter(F.col("attempts") < most)
+            due = again.select("timeline_id", "text").unionByName(rows.join(queue.select("timeline_id"), "timeline_id", "left_anti")).dropDuplicates(["timeline_id"])
+            folder = f"{path}/results/batch={number}"
+            embed(due, embedder, dim=dim, batch=batch).write.mode("overwrite").parquet(folder)
+            results = spark.read.parquet(folder)
+            _, tried = state.apply_embed_results(queue.select("timeline_id", "attempts", "completed", "last_error"), results, dim)
+            texts = queue.select("timeline_id", "text").unionByName(due).dropDuplicates(["timeline_id"])
+            left = tried.filter("not completed").join(texts, "timeline_id").select(*queue.columns)
+            versions.write_version(left, f"{path}/queue", marks={"batch": mark})
+        finally:
+            rows.unpersist()
 
     return on_batch
 
 
+def read_embed_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The turns of an embed_sink that have failed so far; closed ones have as many attempts as it makes."""
+    return versions.read_version(spark, f"{path}/queue")
+
+
 def metrics_sink(turns: Callable[[], DataFrame], sessions: Callable[[], DataFrame], emit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that emits the dashboard's row when it has changed."""
+    """A foreachBatch function that emits the dashboard's row when it has changed, for tables that change in any way: it
+    reads all turns for each batch. live_metrics_sink reads new turns alone."""
     return write_change_feed(lambda: rollups.usage_stats(turns(), sessions()), emit)
 
 
-class RollingDedup(StatefulProcessor):
-    """Turns of a client whose hash isn't among its last different ones."""
+def live_metrics_sink(path: str, sessions: Callable[[], DataFrame], emit: Callable[[DataFrame], None], parts: int = 16, keep_seconds: float = 0.0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over turns as they arrive, each once: it emits the dashboard's row when it has changed.
+
+    The table at path keeps sums by session, in parts by hash: a batch adds its own sums to the parts that it touches, and
+    the row is made of the sums. Which batch was added last and what was emitted last are marks of the table, set together
+    with it: after a stop a batch is not added twice, and a row that was emitted is emitted again only if the stop came
+    before its mark.
+    """
+    keys = rollups.USAGE_KEYS
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            mark, old = batch_mark(batch, number, "id"), versions.current(spark, path)
+            if not old or old.marks.get("batch") != mark:
+                new, touched = touched_parts(rollups.usage_sums(batch), keys, parts)
+                kept = read_parts(spark, path, new.drop("part").schema, touched)
+                merged = rollups.add_usage_sums(kept.unionByName(new.drop("part")))
+                replace_parts(spark, path, touched, with_part(merged, keys, parts), keep_seconds, {"batch": mark})
+            version = versions.current(spark, path)
+            row = rollups.usage_stats_of(versions.rows_of(spark, path, version), sessions()).persist()
+            if version.marks.get("emitted") != (print_ := fingerprint(row)):
+                emit(row)
+                versions.mark(spark, path, {"emitted": print_}, keep_seconds)
+            row.unpersist()
+        finally:
+            batch.unpersist()
+
+    return on_batch
+
 
-    def __init__(self, columns: list[str], size: int = signals.DEDUP_SIZE):
-        self.columns, self.size = columns, size
+#: How late rows may be, and how long a key may be silent before its state is dropped, unless told otherwise.
+LATE, FORGET_MS = "0 seconds", 86_400_000
+EARLIEST = -(1 << 62)
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key wait in state until the watermark has passed them, and go on in order of time, whatever batch brought
+    them. A key that has been silent for forget_ms of event time loses all its state; one that comes back starts anew.
+
+    `ts` is the event time; rows without one go first. A key has one timer: for its earliest row that waits, or for the
+    end of its silence.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], out: list[str], forget_ms: int):
+        self.columns, self.order, self.out, self.forget_ms = columns, order, out, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "hash long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, row binary")
+        self.clock = handle.getValueState("clock", "due long, latest long")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Make the job's own state."""
+
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
+        """What the next rows of a key bring out, in order; changes the job's own state."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Drop the job's own state."""
+        raise NotImplementedError
+
+    def due_alone(self) -> int | None:
+        """A time in ms at which something comes out without a row, and what it is: see `expire`."""
+        return None
+
+    def expire(self, key: Any) -> list[tuple]:
+        return []
+
+    def _timer(self, before: int | None, due: int) -> None:
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        frame = pd.concat(list(rows)).sort_values(["recorded_at", "id"])
-        keep = []
-        for hash_, text in zip(frame["text_djb2"], frame["text"], strict=True):
-            if not text:
-                keep.append(True)
-                continue
-            (kept,), recent = signals.keep_unseen([int(hash_)], self.size, recent)
-            keep.append(kept)
-        if recent:
-            self.recent.put([(h,) for h in recent])
-        yield frame[keep][self.columns]
+        earliest, latest, new = None, EARLIEST, []
+        for frame in rows:
+            times = pd.to_datetime(frame["ts"])
+            known = times.notna().tolist()
+            stamps = times.to_numpy("datetime64[us]").astype("int64").tolist()
+            for there, us, row in zip(known, stamps, frame[self.columns].itertuples(index=False, name=None), strict=True):
+                new.append((us if there else EARLIEST, pickle.dumps(row)))
+        self.waiting.appendList(new)
+        earliest, latest = min(us for us, _ in new), max(us for us, _ in new)
+        due, before_latest = self.clock.get() if self.clock.exists() else (None, EARLIEST)
+        soon = max(-(-earliest // 1000), 0)
+        at = soon if due is None else min(due, soon)
+        self._timer(due, at)
+        self.clock.update((at, max(before_latest, latest)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due, latest = self.clock.get()
+        waiting = [(us, bytes(row)) for us, row in self.waiting.get()] if self.waiting.exists() else []
+        ready = [x for x in waiting if x[0] <= now * 1000]
+        rest = [x for x in waiting if x[0] > now * 1000]
+        out: list[tuple] = []
+        if ready:
+            frame = pd.DataFrame([pickle.loads(row) for _, row in ready], columns=self.columns)  # noqa: S301  our own state
+            frame = frame.assign(_us=[us for us, _ in ready]).sort_values(["_us", *self.order], kind="stable").drop(columns="_us")
+            out += self.advance(key, frame)
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        alone = self.due_alone()
+        if alone is not None and alone <= now and not (rest and min(us for us, _ in rest) <= alone * 1000):
+            out += self.expire(key)
+            alone = self.due_alone()
+        silent = max(latest, 0) // 1000 + self.forget_ms
+        if not rest and alone is None and now >= silent:
+            self.forget()
+            self.clock.clear()
+        else:
+            options = [max(-(-min(us for us, _ in rest) // 1000), 0)] if rest else []
+            options += [alone] if alone is not None else []
+            nxt = min(options) if options else silent
+            self.handle.registerTimer(nxt)
+            self.clock.update((nxt, latest))
+        if out:
+            yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
-def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = signals.DEDUP_SIZE) -> DataFrame:
-    rows = turns.withColumn("text_djb2", djb2(F.coalesce("text", F.lit(""))))
-    return rows.groupBy(key).transformWithStateInPandas(RollingDedup(turns.columns, size), turns.schema, "Append", "None")
+def from_ms(ms: str) -> Column:
+    """Event time of a clock in ms. It is set on by a day, as such a clock may count from 0, where the first watermark is."""
+    return F.timestamp_millis(F.col(ms) + 86_400_000).alias("ts")
+
+
+def in_order(rows: DataFrame, key: str, processor: InOrder, schema: Any, late: str) -> DataFrame:
+    """The processor over rows (key, ts and others); rows that come `late` after the newest are left out."""
+    return rows.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class RollingDedup(InOrder):
+    """Turns of a client whose hash isn't among its last different ones."""
+
+    def __init__(self, columns: list[str], size: int, forget_ms: int):
+        super().__init__([*columns, "text_djb2"], ["id"] if "id" in columns else [], columns, forget_ms)
+        self.size = size
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "hash long")
 
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
+        recent, out = [r[0] for r in self.recent.get()] if self.recent.exists() else [], []
+        for hash_, text, row in zip(rows["text_djb2"], rows["text"], rows[self.out].itertuples(index=False, name=None), strict=True):
+            kept = True
+            if text:
+                (kept,), recent = signals.keep_unseen([int(hash_)], self.size, recent)
+            if kept:
+                out.append(row)
+        if recent:
+            self.recent.put([(h,) for h in recent])
+        return out
 
-class Velocity(StatefulProcessor):
+    def forget(self) -> None:
+        self.recent.clear()
+
+
+def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = signals.DEDUP_SIZE, late: str = LATE, forget_ms: int = 30 * FORGET_MS) -> DataFrame:
+    rows = turns.withColumns({"text_djb2": djb2(F.coalesce("text", F.lit(""))), "ts": F.col("recorded_at")})
+    return in_order(rows, key, RollingDedup(turns.columns, size, forget_ms), turns.schema, late)
+
+
+class Velocity(InOrder):
     """The first moment at which a node's text streams; as signals.velocity_candidates, incrementally."""
 
-    def __init__(self, window_ms: int, span_ms: int, rate: float, samples: int, chars: float):
+    def __init__(self, window_ms: int, span_ms: int, rate: float, samples: int, chars: float, forget_ms: int):
+        super().__init__(["ts_ms", "chars_added"], ["ts_ms"], ["node", "ts_ms", "detector", "confidence"], forget_ms)
         self.limits = (window_ms, span_ms, rate, samples, chars)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "ts long, chars long")
         self.node = handle.getValueState("node", "first long, fired boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
         window, span, rate, samples, chars = self.limits
         first, fired = self.node.get() if self.node.exists() else (None, False)
         recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        frame = pd.concat(list(rows)).sort_values("ts_ms")
         hits = []
-        for ts, n in zip(frame["ts_ms"].tolist(), frame["chars_added"].tolist(), strict=True):
-            if n <= 0 or fired:
-                continue
+        for ts, same in rows[rows["chars_added"] > 0].groupby("ts_ms"):  # rows of one moment count together
+            if fired:
+                break
+            ts, added = int(ts), [int(n) for n in same["chars_added"]]
             first = ts if first is None else first
-            recent = [r for r in recent if ts - r[0] < window] + [(ts, n)]
+            recent = [r for r in recent if ts - r[0] < window] + [(ts, n) for n in added]
             gone = ts - first
             if len(recent) >= samples and gone >= span and gone and len(recent) * 1000 / gone >= rate and sum(r[1] for r in recent) / len(recent) >= chars:
                 fired = True
@@ -170,132 +332,154 @@ class Velocity(StatefulProcessor):
             self.recent.clear()
         elif recent:
             self.recent.put(recent)
-        yield pd.DataFrame(hits, columns=["node", "ts_ms", "detector", "confidence"])
+        return hits
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.recent.clear()
+        self.node.clear()
 
 
-def velocity(mutations: DataFrame, window_ms: int = signals.WINDOW_MS, span_ms: int = signals.LEAST_SPAN, rate: float = signals.LEAST_RATE, samples: int = signals.LEAST_SAMPLES, chars: float = signals.LEAST_CHARS) -> DataFrame:
-    rows = mutations.select("node", "ts_ms", "chars_added")
-    processor = Velocity(window_ms, span_ms, rate, samples, chars)
-    return rows.groupBy("node").transformWithStateInPandas(processor, "node string, ts_ms long, detector string, confidence double", "Append", "None")
+def velocity(
+    mutations: DataFrame, window_ms: int = signals.WINDOW_MS, span_ms: int = signals.LEAST_SPAN, rate: float = signals.LEAST_RATE, samples: int = signals.LEAST_SAMPLES,
+    chars: float = signals.LEAST_CHARS, late: str = LATE, forget_ms: int = FORGET_MS,
+) -> DataFrame:
+    rows = mutations.select("node", "ts_ms", "chars_added", from_ms("ts_ms"))
+    processor = Velocity(window_ms, span_ms, rate, samples, chars, forget_ms)
+    return in_order(rows, "node", processor, "node string, ts_ms long, detector string, confidence double", late)
 
 
-class Vote(StatefulProcessor):
+class Vote(InOrder):
     """Promotes a node once its detectors together are confident enough."""
 
-    def __init__(self, least: float):
+    def __init__(self, least: float, tie: list[str], forget_ms: int):
+        super().__init__(["detector", "confidence", "ts_ms", *tie], ["ts_ms", *tie], ["node", "ts_ms", "confidence"], forget_ms)
         self.least = least
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getMapState("latest", "detector string", "ts long, confidence double")
         self.fired = handle.getValueState("fired", "fired boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts_ms")
-        out = []
-        fired = self.fired.exists()
-        for detector, confidence, ts in zip(frame["detector"], frame["confidence"], frame["ts_ms"], strict=True):
-            if fired:
-                break
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
+        if self.fired.exists():
+            return []
+        latest = {k[0]: v[1] for k, v in self.latest.iterator()} if self.latest.exists() else {}
+        for detector, confidence, ts in zip(rows["detector"], rows["confidence"], rows["ts_ms"], strict=True):
+            latest[detector] = float(confidence)
             self.latest.updateValue((detector,), (int(ts), float(confidence)))
-            values = [v[1] for _, v in self.latest.iterator()]
             miss = 1.0
-            for c in values:
+            for c in latest.values():
                 miss *= 1 - c
-            score = max(1 - miss, *values)
-            if round(score, 9) >= self.least:
-                fired = True
+            score = round(max(1 - miss, *latest.values()), 9)
+            if score >= self.least:
                 self.fired.update((True,))
-                out.append((key[0], int(ts), round(score, 9)))
-        yield pd.DataFrame(out, columns=["node", "ts_ms", "confidence"])
-
-    def close(self) -> None:
-        pass
+                self.latest.clear()
+                return [(key[0], int(ts), score)]
+        return []
 
+    def forget(self) -> None:
+        self.latest.clear()
+        self.fired.clear()
 
-def vote(candidates: DataFrame, least: float = 0.7) -> DataFrame:
-    rows = candidates.select("node", "detector", "confidence", "ts_ms")
-    return rows.groupBy("node").transformWithStateInPandas(Vote(least), "node string, ts_ms long, confidence double", "Append", "None")
 
+def vote(candidates: DataFrame, least: float = 0.7, late: str = LATE, forget_ms: int = FORGET_MS) -> DataFrame:
+    """Of equal times the later row by event_id, if there is one, counts after the other."""
+    tie = [c for c in ("event_id",) if c in candidates.columns]
+    rows = candidates.select("node", "detector", "confidence", "ts_ms", *tie, from_ms("ts_ms"))
+    return in_order(rows, "node", Vote(least, tie, forget_ms), "node string, ts_ms long, confidence double", late)
 
-class Completion(StatefulProcessor):
-    """The end of a node's answer: an event that ends it, after settling, or silence; the first to come wins."""
 
-    def __init__(self, settle_ms: int):
-        self.settle = settle_ms
+#: Events that end an answer, in order of precedence at one moment: kind, source, and whether it settles first.
+ENDINGS = [("sse_end", "sse_interceptor", True), ("stop_gone", "stop_button", True), ("flatline", "flatline", False)]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "at long, source string")
-        self.done = handle.getValueState("done", "done boolean")
 
-    def _arm(self, at: int, source: str) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.due.update((at, source))
-        self.handle.registerTimer(at)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            frame = pd.concat(list(rows)).sort_values("ts_ms")
-            at, source = self.due.get() if self.due.exists() else (None, None)
-            for ts, kind, wait in zip(frame["ts_ms"].tolist(), frame["kind"], frame["debounce_ms"].tolist(), strict=True):
-                if at is not None and ts >= at:
-                    break  # it has ended before
-                if kind == "mutation":
-                    if source in (None, "debounce"):
-                        at, source = ts + wait, "debounce"
-                elif at is None or ts + self.settle < at:
-                    at, source = ts + self.settle, {"sse_end": "sse_interceptor", "stop_gone": "stop_button"}.get(kind, kind)
-            if at is not None:
-                self._arm(int(at), source)
-        yield pd.DataFrame({"node": [], "completed_ms": [], "source": []}).astype({"node": object, "completed_ms": "int64", "source": object})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at, source = self.due.get()
-        self.done.update((True,))
-        yield pd.DataFrame([(key[0], int(at), source)], columns=["node", "completed_ms", "source"])
-
-    def close(self) -> None:
-        pass
+class Completion(InOrder):
+    """The end of a node's answer: the first of an event that ends it, after settling, and silence after its mutations."""
 
+    def __init__(self, settle_ms: int, forget_ms: int):
+        super().__init__(["ts_ms", "kind", "debounce_ms"], ["ts_ms"], ["node", "completed_ms", "source"], forget_ms)
+        self.settle = settle_ms
 
-def completion(events: DataFrame, settle_ms: int = 300, late: str = "1 second") -> DataFrame:
-    """(node, completed_ms, source) of events (node, ts, kind, debounce_ms): kind is mutation, sse_end, stop_gone or flatline."""
-    rows = events.withColumn("ts_ms", F.unix_millis("ts")).withWatermark("ts", late).select("node", "ts", "ts_ms", "kind", "debounce_ms")
-    return rows.groupBy("node").transformWithStateInPandas(Completion(settle_ms), "node string, completed_ms long, source string", "Append", "EventTime")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        # The end by silence, which mutations put off, and the end by an event, which nothing does, with its precedence.
+        self.ends = handle.getValueState("ends", "silence long, event long, rank int, done boolean")
+
+    def _first(self, silence: int | None, event: int | None) -> int | None:
+        return min((x for x in (silence, event) if x is not None), default=None)
+
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
+        silence, event, rank, done = self.ends.get() if self.ends.exists() else (None, None, None, False)
+        if done:
+            return []
+        ranks = {kind: n for n, (kind, _, _) in enumerate(ENDINGS)}
+        for ts, kind, wait in zip(rows["ts_ms"].tolist(), rows["kind"], rows["debounce_ms"].tolist(), strict=True):
+            end = self._first(silence, event)
+            if end is not None and ts >= end:
+                break
+            if kind == "mutation":
+                silence = int(ts + wait)
+            elif kind in ranks:
+                at = int(ts + self.settle * ENDINGS[ranks[kind]][2])
+                if event is None or (at, ranks[kind]) < (event, rank):
+                    event, rank = at, ranks[kind]
+        if silence is not None or event is not None:
+            self.ends.update((silence, event, rank, False))
+        return []
+
+    def due_alone(self) -> int | None:
+        silence, event, _, done = self.ends.get() if self.ends.exists() else (None, None, None, True)
+        return None if done else self._first(silence, event)
+
+    def expire(self, key: Any) -> list[tuple]:
+        silence, event, rank, _ = self.ends.get()
+        self.ends.update((silence, event, rank, True))
+        by_event = event is not None and (silence is None or event <= silence)
+        return [(key[0], event, ENDINGS[rank][1]) if by_event else (key[0], silence, "debounce")]
+
+    def forget(self) -> None:
+        self.ends.clear()
+
+
+def completion(events: DataFrame, settle_ms: int = 300, late: str = "1 second", forget_ms: int = FORGET_MS) -> DataFrame:
+    """(node, completed_ms, source) of events (node, ts, kind, debounce_ms): kind is mutation, sse_end, stop_gone or flatline.
+
+    A flatline ends at once, as it was quiet for long enough when it was seen. A node that has ended is remembered for
+    forget_ms after its last event, and what comes for it in that time is ignored.
+    """
+    rows = events.select("node", "ts", F.unix_millis("ts").alias("ts_ms"), "kind", "debounce_ms")
+    return in_order(rows, "node", Completion(settle_ms, forget_ms), "node string, completed_ms long, source string", late)
 
 
-class Roots(StatefulProcessor):
+class Roots(InOrder):
     """Changes of a client's workspace roots from list to list."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def __init__(self, forget_ms: int):
+        super().__init__(["at", "roots"], ["at"], ["client_id", "ts", "change", "root"], forget_ms)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.roots = handle.getMapState("roots", "root string", "since long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts")
+    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
         before = {k[0] for k in self.roots.keys()} if self.roots.exists() else set()
         out = []
-        for ts, roots in zip(frame["ts"].tolist(), frame["roots"], strict=True):
-            now = {r for r in (roots if roots is not None else []) if r.startswith("file://")}
+        for ts, roots in zip(rows["at"].tolist(), rows["roots"], strict=True):
+            now = {r for r in (roots if roots is not None else []) if r and r.startswith("file://")}
             out += [(key[0], ts, "added", r) for r in sorted(now - before)] + [(key[0], ts, "removed", r) for r in sorted(before - now)]
             for r in now - before:
                 self.roots.updateValue((r,), (int(ts),))
             for r in before - now:
                 self.roots.removeKey((r,))
             before = now
-        yield pd.DataFrame(out, columns=["client_id", "ts", "change", "root"])
+        return out
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.roots.clear()
 
 
-def roots(snapshots: DataFrame) -> DataFrame:
-    rows = snapshots.select("client_id", "ts", "roots")
+def roots(snapshots: DataFrame, late: str = LATE, forget_ms: int = 30 * FORGET_MS) -> DataFrame:
+    """Changes of (client_id, ts, roots), ts in ms. A client that was silent for forget_ms counts as without roots."""
+    rows = snapshots.select("client_id", F.col("ts").alias("at"), "roots", from_ms("ts"))
     kind = rows.schema["client_id"].dataType.simpleString()
-    return rows.groupBy("client_id").transformWithStateInPandas(Roots(), f"client_id {kind}, ts long, change string, root string", "Append", "None")
+    return in_order(rows, "client_id", Roots(forget_ms), f"client_id {kind}, ts long, change string, root string", late)
 
 
 def blackouts(events: DataFrame, window: str = "1 hour", late: str = "1 minute", least_seconds: int = 300, least_mutations: int = 50) -> DataFrame:
@@ -307,12 +491,13 @@ def blackouts(events: DataFrame, window: str = "1 hour", late: str = "1 minute",
     return rows.filter((seconds >= least_seconds) & (F.col("mutations") >= least_mutations) & ~F.col("detected")).select("host", "session", seconds.alias("seconds"), "mutations")
 
 
-def incremental_corpus_sink(read_files: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame], path: str, schema: StructType, parts: int = 64) -> Callable[[DataFrame, int], None]:
+def incremental_corpus_sink(read_files: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame], path: str, schema: StructType, parts: int = 64, keep_seconds: float = 0.0) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over debounced file events: the files of the batch are read and chunked again, and take the
     place of their old chunks; files that are gone lose them.
 
     read_files gives the files (project_id, path, ...) of the (project_id, path) it gets, so that it can read those
     alone. The chunk table at path, of this schema, has `parts` by hash of the file: a batch rewrites those of its files.
+    `read_parts` reads it; give keep_seconds the time that a read takes while the stream runs.
     """
     keys = ["project_id", "file_path"]
 
@@ -325,7 +510,7 @@ def incremental_corpus_sink(read_files: Callable[[DataFrame], DataFrame], chunk:
                 return
             kept = read_parts(session, path, schema, touched).join(named, keys, "left_anti")
             fresh = chunk(read_files(files)).select(*schema.names)
-            replace_parts(session, path, touched, with_part(kept.unionByName(fresh), keys, parts))
+            replace_parts(session, path, touched, with_part(kept.unionByName(fresh), keys, parts), keep_seconds)
         finally:
             files.unpersist()
 
