@@ -22,6 +22,26 @@ def final_score(similarity: Column, ts: Column, now: Column, alpha: float = ALPH
     return F.lit(alpha) * similarity + F.lit(1 - alpha) * recency(ts, now)
 
 
+#: Turns of a session that one task compares with a draft; more are dealt out.
+SALT_TURNS = 50_000
+
+
+def nearest_ids(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(draft_id, keys, id, distance) of the k turns (id, keys) of each draft's keys with the nearest vectors.
+
+    The turns of keys that have more than SALT_TURNS are dealt out by a hash of their ids, and the drafts of these keys go
+    to every part; each part keeps its k nearest of a draft, and of those the k nearest stay.
+    """
+    rows = turns.join(vectors.select(F.col("timeline_id").alias("id"), "embedding"), "id")
+    salts = turns.groupBy(*keys).agg(F.ceil(F.count("*") / SALT_TURNS).cast("int").alias("salts")).filter("salts > 1")
+    salted = rows.join(salts, keys, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    wanted = drafts.filter("query_embedding is not null").select("draft_id", "query_embedding", *keys)
+    everywhere = wanted.join(salts, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = salted.join(everywhere, [*keys, "salt"]).select("draft_id", "salt", *keys, "id", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance"))
+    near = top_per_key(both.filter("distance is not null"), ["draft_id", "salt"], [F.col("distance"), F.col("id")], k)
+    return top_per_key(near.drop("salt"), ["draft_id"], [F.col("distance"), F.col("id")], k)
+
+
 def topk_similar(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, k: int = CANDIDATES, draft_keys: tuple[str, ...] = ("chat_session_id", "provider"), least_chars: int = 50) -> DataFrame:
     """The k turns nearest to each draft by cosine, among those of its session and provider with a vector and enough text.
 
@@ -29,11 +49,8 @@ def topk_similar(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, k: int
     alone; the k kept meet the turns' other columns after it. An id is a turn of its session once.
     """
     keys = list(draft_keys)
-    rows = turns.filter(not_chitchat(F.col("text"), least_chars)).select("id", *keys).join(vectors.select(F.col("timeline_id").alias("id"), "embedding"), "id")
-    wanted = drafts.filter("query_embedding is not null").select("draft_id", "query_embedding", *keys)
-    both = rows.join(wanted, keys).select("draft_id", *keys, "id", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance"))
-    nearest = top_per_key(both.filter("distance is not null"), ["draft_id"], [F.col("distance"), F.col("id")], k)
-    return turns.join(nearest, ["id", *keys])
+    rows = turns.filter(not_chitchat(F.col("text"), least_chars)).select("id", *keys)
+    return turns.join(nearest_ids(drafts, rows, vectors, k, keys), ["id", *keys])
 
 
 def budget_lists(scored: DataFrame, key: str = "draft_id", budget: str = "token_budget") -> DataFrame:
@@ -71,24 +88,28 @@ def rewrite_context(drafts: DataFrame, turns: DataFrame, vectors: DataFrame, ses
     """
     known = sessions.filter("external_session_id is not null").groupBy("external_session_id", "provider_id").agg(F.min("id").alias("resolved"))
     rows = drafts.join(known, ["external_session_id", "provider_id"], "left").withColumn("session", F.coalesce("chat_session_id", "resolved")).drop("chat_session_id", "resolved")
+    # What is asked of a text is a flag before any shuffle; texts themselves are joined once, with the turns that stay.
+    named = turns.withColumnsRenamed({"chat_session_id": "session", "provider": "turn_provider"}).filter("session is not null")
+    slim = named.select("session", "id", "recorded_at", has_text(F.trim("text")).alias("has_text"), not_chitchat(F.col("text")).alias("said"))
     done = vectors.select(F.col("timeline_id").alias("id"), F.lit(True).alias("done"))
-    complete = F.coalesce("done", F.lit(False)) | ~has_text(F.trim("text"))
-    stats = turns.filter("chat_session_id is not null").join(done, "id", "left").groupBy(F.col("chat_session_id").alias("session")).agg(
-        F.count("*").alias("total_turns"), F.count_if(complete).alias("with_embeddings")
-    )
+    complete = F.coalesce("done", F.lit(False)) | ~F.col("has_text")
+    stats = slim.select("session", "id", "has_text").join(done, "id", "left").groupBy("session").agg(F.count("*").alias("total_turns"), F.count_if(complete).alias("with_embeddings"))
     rows = rows.join(stats, "session", "left").withColumns({"total_turns": F.coalesce("total_turns", F.lit(0)), "with_embeddings": F.coalesce("with_embeddings", F.lit(0))})
     reason = (
         F.when(F.col("session").isNull(), "no_history").when(~draft_usable(F.col("draft_prompt")), "draft_too_short").when(F.col("total_turns") == 0, "no_history")
         .when(F.col("query_embedding").isNull() | (F.col("with_embeddings") == 0), "embeddings_pending")
     )
     rows = rows.withColumn("reason", reason)
-    named = turns.withColumnsRenamed({"chat_session_id": "session", "provider": "turn_provider"})
-    pending = named.select("session", "id", "role", "text", "recorded_at").filter(not_chitchat(F.col("text"))).join(rows.filter("reason = 'embeddings_pending'").select("draft_id", "session", "token_budget"), "session")
+    said = slim.filter("said").select("session", "id", "recorded_at")
+    pending = said.join(rows.filter("reason = 'embeddings_pending'").select("draft_id", "session", "token_budget"), "session")
     pending = top_per_key(pending, ["draft_id"], [F.desc("recorded_at"), F.desc("id")], k)
     normal = rows.filter("reason is null").select("draft_id", "session", F.col("provider_id"), "query_embedding", "token_budget")
-    of_provider = named.join(sessions.select(F.col("id").alias("session"), "provider_id"), "session")
-    near = topk_similar(normal, of_provider.select("session", "provider_id", "id", "role", "text", "recorded_at"), vectors, k, ("session", "provider_id"))
-    near = near.join(normal.select("draft_id", "token_budget"), "draft_id")
+    of_provider = said.select("session", "id").join(sessions.select(F.col("id").alias("session"), "provider_id"), "session")
+    near = nearest_ids(normal, of_provider, vectors, k, ["session", "provider_id"]).join(normal.select("draft_id", "token_budget"), "draft_id")
+    picked = ["draft_id", "session", "id", "token_budget"]
+    chosen = near.select(*picked, "distance").unionByName(pending.select(*picked, F.lit(None).cast("double").alias("distance")))
+    texts = chosen.join(named.select("session", "id", "role", "text", "recorded_at"), ["session", "id"])
+    near, pending = texts.filter("distance is not null"), texts.filter("distance is null")
     similarity = F.lit(1.0) - F.col("distance")
     scored = near.withColumn("final_score", F.round(final_score(similarity, F.col("recorded_at"), now), 4)).withColumn("cost", tokens_floor4(F.col("text")))
     scores = {"similarity": F.round(similarity, 4), "recency": F.round(recency(F.col("recorded_at"), now), 4)}

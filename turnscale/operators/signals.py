@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import itertools
+import math
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from turnscale.functions.text import djb2
 
@@ -26,37 +32,71 @@ def assign_turn_ids(turns: DataFrame) -> DataFrame:
     return turns.alias("t").join(numbered.drop("f").alias("n"), same, "left").select("t.*", "n.turn_no")
 
 
-def velocity_candidates(mutations: DataFrame, window_ms: int = WINDOW_MS, span_ms: int = LEAST_SPAN, rate_per_s: float = LEAST_RATE, samples: int = LEAST_SAMPLES, chars: float = LEAST_CHARS) -> DataFrame:
+#: Windows of a slice: what a slice takes from the one before it is one window.
+SLICE_WINDOWS = 64
+
+
+def moments(mutations: DataFrame, chars: Column, window_ms: int, slice_ms: int | None) -> tuple[DataFrame, int]:
+    """(node, ts_ms, slice, n, chars): each node's moments with the number and characters of their mutations, in slices of
+    time. Rows of one moment are summed before they are shuffled, so that a slice has slice_ms rows of a node at most."""
+    width = max(slice_ms or SLICE_WINDOWS * window_ms, window_ms)
+    sums = mutations.groupBy("node", "ts_ms").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
+    return sums.withColumn("slice", F.floor(F.col("ts_ms") / width).cast("long")), width
+
+
+def with_halo(rows: DataFrame, back_ms: int, width: int) -> DataFrame:
+    """rows, and those of the last back_ms of a slice in the next one, too, marked as its halo."""
+    near = F.col("ts_ms") >= (F.col("slice") + 1) * width - back_ms
+    places = F.when(near, F.array(F.struct(F.col("slice"), F.lit(False).alias("halo")), F.struct((F.col("slice") + 1).alias("slice"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("slice"), F.lit(False).alias("halo"))))
+    return rows.select("node", "ts_ms", "n", "chars", F.explode(places).alias("p")).select("node", "ts_ms", "n", "chars", "p.*")
+
+
+def velocity_candidates(
+    mutations: DataFrame, window_ms: int = WINDOW_MS, span_ms: int = LEAST_SPAN, rate_per_s: float = LEAST_RATE, samples: int = LEAST_SAMPLES, chars: float = LEAST_CHARS, slice_ms: int | None = None
+) -> DataFrame:
     """(node, ts_ms, detector, confidence): the first moment at which a node's text streams.
 
     Over the mutations with characters in the last window_ms: enough of them, a long enough time since the node's first,
-    enough a second over that time, and enough characters each.
+    enough a second over that time, and enough characters each. A node's time is cut into slices, each with a window of
+    the one before it, so that a node of any size is the work of many tasks.
     """
-    rows = mutations.filter("chars_added > 0")
-    node = Window.partitionBy("node").orderBy("ts_ms")
-    recent = node.rangeBetween(-(window_ms - 1), 0)
-    rows = rows.select(
-        "node", "ts_ms", F.count("*").over(recent).alias("n"), F.avg("chars_added").over(recent).alias("mean"), (F.col("ts_ms") - F.min("ts_ms").over(node.rangeBetween(Window.unboundedPreceding, 0))).alias("span")
-    )
-    fast = F.try_divide(F.col("n") * 1000.0, F.col("span")) >= rate_per_s
-    hits = rows.filter((F.col("n") >= samples) & (F.col("span") >= span_ms) & fast & (F.col("mean") >= chars))
+    rows, width = moments(mutations.filter("chars_added > 0"), F.col("chars_added"), window_ms, slice_ms)
+    first = rows.groupBy("node").agg(F.min("ts_ms").alias("first"))
+    recent = Window.partitionBy("node", "slice").orderBy("ts_ms").rangeBetween(-(window_ms - 1), 0)
+    rows = with_halo(rows, window_ms - 1, width).select("node", "ts_ms", "halo", F.sum("n").over(recent).alias("n"), F.sum("chars").over(recent).alias("chars"))
+    dense = rows.filter(~F.col("halo") & (F.col("n") >= samples) & (F.col("chars") / F.col("n") >= chars))
+    span = F.col("ts_ms") - F.col("first")
+    hits = dense.join(first, "node").filter((span >= span_ms) & (F.try_divide(F.col("n") * 1000.0, span) >= rate_per_s))
     return hits.groupBy("node").agg(F.min("ts_ms").alias("ts_ms")).select("node", "ts_ms", F.lit("velocity").alias("detector"), F.lit(VELOCITY_CONFIDENCE).alias("confidence"))
 
 
-def flatline_completion(mutations: DataFrame, window_ms: int = FLAT_WINDOW, quiet_ms: int = FLAT_QUIET, ratio: float = FLAT_RATIO) -> DataFrame:
+def before_slice(rows: DataFrame, combine: Callable[[Column], Column], value: Column) -> DataFrame:
+    """(node, slice, carried): what a node's slices before each come to, combined from one row of each; null before the first."""
+    parts = rows.groupBy("node", "slice").agg(combine(value).alias("part"))
+    earlier = Window.partitionBy("node").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("node", "slice", combine(F.col("part")).over(earlier).alias("carried"))
+
+
+def flatline_completion(mutations: DataFrame, window_ms: int = FLAT_WINDOW, quiet_ms: int = FLAT_QUIET, ratio: float = FLAT_RATIO, slice_ms: int | None = None) -> DataFrame:
     """(node, completed_ms): when a node's rate has been below ratio of its peak for quiet_ms.
 
     The rate at a mutation is the characters of the last window_ms, at 1 each at least, by the time since the first of
     them (1 ms at least); the peak is the highest so far. A flat stretch starts at its first flat mutation and ends with a
     rate that isn't flat. It completes at its first mutation quiet_ms or more after the start, or quiet_ms after the start
-    where nothing comes in between to end it.
+    where nothing comes in between to end it. Rates are made in slices of time with a window of the one before; the peak
+    and the number of rates that aren't flat go on from slice to slice by one row of each.
     """
-    node = Window.partitionBy("node").orderBy("ts_ms", "event_id")
-    recent = Window.partitionBy("node").orderBy("ts_ms").rangeBetween(-window_ms, 0)
-    chars = F.greatest("chars_added", F.lit(1))
-    rows = mutations.withColumn("rate", F.sum(chars).over(recent) / F.greatest(F.col("ts_ms") - F.min("ts_ms").over(recent), F.lit(1)))
-    rows = rows.withColumn("flat", F.col("rate") < F.lit(float(ratio)) * F.max("rate").over(node))
-    rows = rows.withColumn("stretch", F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(node))
+    rows, width = moments(mutations, F.greatest("chars_added", F.lit(1)), window_ms, slice_ms)
+    recent = Window.partitionBy("node", "slice").orderBy("ts_ms").rangeBetween(-window_ms, 0)
+    rate = F.sum("chars").over(recent) / F.greatest(F.col("ts_ms") - F.min("ts_ms").over(recent), F.lit(1))
+    rows = with_halo(rows, window_ms, width).select("node", "slice", "ts_ms", "halo", rate.alias("rate")).filter("not halo")
+    so_far = Window.partitionBy("node", "slice").orderBy("ts_ms")
+    peaks = before_slice(rows, F.max, F.col("rate"))
+    peak = F.greatest(F.max("rate").over(so_far), F.col("carried"))
+    rows = rows.join(peaks, ["node", "slice"]).select("node", "slice", "ts_ms", (F.col("rate") < F.lit(float(ratio)) * peak).alias("flat"))
+    busy = F.when(F.col("flat"), 0).otherwise(1)
+    counts = before_slice(rows, F.sum, busy)
+    rows = rows.join(counts, ["node", "slice"]).select("node", "ts_ms", "flat", (F.coalesce("carried", F.lit(0)) + F.sum(busy).over(so_far)).alias("stretch"))
     ends = rows.filter("not flat").groupBy("node", "stretch").agg(F.min("ts_ms").alias("from_ms"))
     flats = rows.filter("flat").groupBy("node", "stretch").agg(F.min("ts_ms").alias("start"))
     following = ends.select("node", (F.col("stretch") - 1).alias("stretch"), F.col("from_ms").alias("next_ms"))
@@ -76,29 +116,97 @@ def keep_unseen(hashes: list[int], size: int, recent: list[int] | None = None) -
     return kept, recent
 
 
-def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = DEDUP_SIZE) -> DataFrame:
+#: Rounds in which pieces of one client are run side by side, before what is left of it goes through in one.
+SIDE_BY_SIDE = 8
+#: Turns of a piece.
+PIECE_ROWS = 500_000
+
+
+def run_pieces(rows: pd.DataFrame, size: int, windows: dict[str, list[int]]) -> tuple[list[bool], dict[str, list[int]]]:
+    """Which of the rows (k, h), by client and time, repeat; and the clients' windows after them, from those given before."""
+    repeats, after = [], {}
+    for k, own in itertools.groupby(zip(rows["k"], rows["h"], strict=True), key=lambda r: r[0]):
+        kept, after[k] = keep_unseen([h for _, h in own], size, windows.get(k, []))
+        repeats += [not x for x in kept]
+    return repeats, after
+
+
+def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = DEDUP_SIZE, pieces: int | None = None) -> DataFrame:
     """Turns without those whose text's djb2 is among the client's last `size` different ones; empty texts always stay.
 
-    Ids and hashes of a client go through in order of time, in pieces: only the last hashes are carried on, so a client of
-    any length takes little memory. A client's hashes share a task, as each depends on those before it; its rows don't.
+    Ids and hashes are sorted by client and time into `pieces` of like size (as many as shuffle partitions, of PIECE_ROWS
+    at most), so that a client of any size is cut into several. Each piece runs with an empty window first, then again with the window that
+    the piece before it has come to, as long as that differs from what it has run with: mostly twice, as what was new
+    before a piece seldom changes what is new at its end. What still changes after SIDE_BY_SIDE rounds goes through in
+    order, a task for each client. A window for each piece comes to the driver.
     """
+    spark, client = turns.sparkSession, F.coalesce(F.col(key).cast("string"), F.lit("\0"))
+    pieces = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")), turns.count() // PIECE_ROWS + 1)
+    marks = turns.filter("text != ''").select(client.alias("k"), "recorded_at", "id", djb2(F.col("text")).alias("h"))
+    cut = marks.repartitionByRange(pieces, "k", "recorded_at", "id").withColumn("piece", F.spark_partition_id())
+    cut = cut.persist(StorageLevel.DISK_ONLY)
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    marks = turns.filter("text != ''").select(F.col(key).alias("k"), "recorded_at", "id", djb2(F.col("text")).alias("h"))
-    marks = marks.repartition("k").sortWithinPartitions("k", "recorded_at", "id").select("k", "id", "h")
+    shape = f"piece int, k string, id {kinds['id']}, repeat boolean, window array<long>, round int"
+
+    def ran(rows: DataFrame, windows: dict[tuple[int, str], list[int]], turn: int) -> DataFrame:
+        """(piece, k, id, repeat, window, round): the window after it is on the last row of each client of a piece."""
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(["k", "recorded_at", "id"], ignore_index=True)
+            n = int(group["piece"].iloc[0])
+            repeats, after = run_pieces(group, size, {k: w for (at, k), w in windows.items() if at == n})
+            last = group["k"] != group["k"].shift(-1)
+            ends = [after[k] if end else None for k, end in zip(group["k"], last, strict=True)]
+            return pd.DataFrame({"piece": n, "k": group["k"], "id": group["id"], "repeat": repeats, "window": pd.Series(ends, dtype=object), "round": turn})
+
+        return rows.groupBy("piece").applyInPandas(run, shape)
+
+    results = [ran(cut, {}, 0).persist(StorageLevel.DISK_ONLY)]
+    # Only the first client of a piece can have begun in another one, and only the last can go on.
+    edges = results[0].filter("window is not null").groupBy("piece").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max_by("window", "k").alias("window"), F.min_by("window", "k").alias("first_window"))
+    chain = {r["piece"]: r for r in edges.collect()}
+    order, before = sorted(chain), {}
+    for earlier, n in itertools.pairwise(order):
+        if chain[earlier]["last"] == chain[n]["first"]:
+            before[n] = earlier
+    after = {(n, k): list(w) for n, r in chain.items() for k, w in ((r["first"], r["first_window"]), (r["last"], r["window"]))}
+    used: dict[int, list[int]] = dict.fromkeys(before, [])
+    for turn in range(1, SIDE_BY_SIDE + 1):
+        given = {n: after[earlier, chain[n]["first"]] for n, earlier in before.items()}
+        stale = [n for n in before if given[n] != used[n]]
+        if not stale:
+            break
+        rows = cut.join(F.broadcast(spark.createDataFrame([(n, chain[n]["first"]) for n in stale], "piece int, k string")), ["piece", "k"])
+        if turn < SIDE_BY_SIDE:
+            results.append(ran(rows, {(n, chain[n]["first"]): given[n] for n in stale}, turn).persist(StorageLevel.DISK_ONLY))
+            for r in results[-1].filter("window is not null").select("piece", "k", "window").collect():
+                after[r["piece"], r["k"]] = list(r["window"])
+            used |= {n: given[n] for n in stale}
+        else:  # from each client's first stale piece on, in order
+            starts: dict[str, int] = {}
+            for n in stale:
+                starts.setdefault(chain[n]["first"], n)
+            late = [(n, k, starts[k]) for n in before if (k := chain[n]["first"]) in starts and n >= starts[k]]
+            rows = cut.join(F.broadcast(spark.createDataFrame(late, "piece int, k string, start int")), ["piece", "k"])
+            results.append(in_sequence(rows, size, {k: given[n] for k, n in starts.items()}, turn, shape))
+    every = functools.reduce(DataFrame.unionByName, results).select("piece", "k", "id", "repeat", "round")
+    if len(results) > 1:  # the last run of a client's piece counts
+        every = every.groupBy("piece", "k", "id").agg(F.max_by("repeat", "round").alias("repeat"))
+    repeats = every.filter("repeat").select(F.col("k").alias("_k"), F.col("id").alias("_id"))
+    return turns.join(repeats, (client == repeats["_k"]) & (turns["id"] == repeats["_id"]), "left_anti")
+
+
+def in_sequence(rows: DataFrame, size: int, windows: dict[str, list[int]], turn: int, shape: str) -> DataFrame:
+    """The rows (piece, k, recorded_at, id, h) of some clients, each client's in order through one task with its window alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, recent = object(), []
+        recent: dict[str, list[int]] = {}
         for batch in batches:
-            keep = []
-            for k, h in zip(batch["k"], batch["h"], strict=True):
-                if k != client:
-                    client, recent = k, []
-                (kept,), recent = keep_unseen([h], size, recent)
-                keep.append(kept)
-            yield batch[[not kept for kept in keep]][["k", "id"]]
+            repeats, after = run_pieces(batch, size, windows | recent)
+            recent |= after
+            yield pd.DataFrame({"piece": batch["piece"], "k": batch["k"], "id": batch["id"], "repeat": repeats, "window": None, "round": turn})
 
-    repeats = marks.mapInPandas(run, f"k {kinds[key]}, id {kinds['id']}").withColumnsRenamed({"k": "_k", "id": "_id"})
-    return turns.join(repeats, turns[key].eqNullSafe(repeats["_k"]) & (turns["id"] == repeats["_id"]), "left_anti")
+    return rows.repartition("k").sortWithinPartitions("k", "recorded_at", "id").select("piece", "k", "id", "h").mapInPandas(run, shape)
 
 
 def debounce(events: DataFrame, gap: str = "500 milliseconds", keys: tuple[str, ...] = ("project_id", "path")) -> DataFrame:
@@ -138,42 +246,86 @@ def connected_clients(events: DataFrame) -> DataFrame:
     return rows.filter(F.col("connected_at").isNotNull() & (F.col("disconnected_at").isNull() | (F.col("connected_at") > F.col("disconnected_at"))))
 
 
+#: Bits of words' places that are kept at once.
+PLACE_BITS = 1 << 29
+
+
+class Places:
+    """For each word of a text, a number whose bits are its places; made when asked for, and kept while there is room."""
+
+    def __init__(self, words: list[str]):
+        self.at: dict[str, list[int]] = {}
+        for n, word in enumerate(words):
+            self.at.setdefault(word, []).append(n)
+        self.made: dict[str, int] = {}
+        self.room = PLACE_BITS // max(len(words), 1)
+
+    def __getitem__(self, word: str) -> int:
+        bits = self.made.get(word)
+        if bits is None:
+            own = self.at.get(word, ())
+            if len(own) < 9:
+                return sum(1 << n for n in own)
+            marks = np.zeros(own[-1] + 1, np.uint8)
+            marks[own] = 1
+            bits = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+            if len(self.made) < self.room:
+                self.made[word] = bits
+        return bits
+
+
+def common_lengths(a: list[str], places: Places, level: int, full: int) -> Iterator[int]:
+    """After each word of a, where the length of the longest common subsequence with the first words of b does not rise: bit
+    j is set if b's word j adds nothing. One addition of long numbers makes a row of the usual table (Hyyrö 2004)."""
+    for word in a:
+        same = level & places[word]
+        level = ((level + same) | (level - same)) & full
+        yield level
+
+
+def edits(a: list[str], b: list[str]) -> Iterator[str]:
+    """From the end, whether a longest common subsequence keeps, adds or removes a word; where it can, it keeps, and where
+    words can be added or removed first, those added come last.
+
+    Of the table's rows, every sqrt(n)-th is kept; those between are made again from it when they are come to.
+    """
+    places, full = Places(b), (1 << len(b)) - 1
+    every = max(math.isqrt(len(a)), 1)
+    kept = [full]
+    for n, level in enumerate(common_lengths(a, places, full, full), 1):
+        if n % every == 0:
+            kept.append(level)
+    j = len(b)
+    for block in range(len(kept) - 1, -1, -1):
+        words = a[block * every : (block + 1) * every]
+        levels = list(common_lengths(words, places, kept.pop(), full))
+        for word, level in zip(reversed(words), reversed(levels), strict=True):
+            while j and b[j - 1] != word and level >> (j - 1) & 1:
+                yield "added"
+                j -= 1
+            if j and b[j - 1] == word:
+                yield "unchanged"
+                j -= 1
+            else:
+                yield "removed"
+    yield from itertools.repeat("added", j)
+
+
 def word_diff_segments(original: str, rewritten: str) -> list[tuple[str, str]]:
     """(kind, text) segments of a word diff by a longest common subsequence, white space being words too."""
-    import re
-
-    import numpy as np
-
-    a, b = ([t for t in re.split(r"(\s+)", s or "") if t] for s in (original, rewritten))
-    if not a or not b:
-        return [("added", rewritten)] if b else [("removed", original)] if a else []
-    ids: dict[str, int] = {}
-    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s]) for s in (a, b))
-    # Of the table of best lengths only a row is kept, and for each cell a bit: whether the left cell has no less than the upper.
-    row, left = np.zeros(len(b) + 1, np.int32), [np.zeros(0, np.uint8)]
-    for i in range(len(a)):
-        # A row's values rise by 0 or 1, so that its running maximum fills the cells that extend to the right.
-        below = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], np.where(y == x[i], row[:-1] + 1, 0)))]).astype(np.int32)
-        left.append(np.packbits(below[:-1] >= row[1:], bitorder="little"))
-        row = below
-    ops, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            ops.append(("unchanged", a[i]))
-        elif j and (not i or left[i][(j - 1) >> 3] >> ((j - 1) & 7) & 1):
-            j -= 1
-            ops.append(("added", b[j]))
-        else:
-            i -= 1
-            ops.append(("removed", a[i]))
-    merged: list[tuple[str, str]] = []
-    for kind, text in reversed(ops):
-        if merged and merged[-1][0] == kind:
-            merged[-1] = (kind, merged[-1][1] + text)
-        else:
-            merged.append((kind, text))
-    return merged
+    a, b = (re.findall(r"\s+|\S+", s or "") for s in (original, rewritten))
+    kinds = list(edits(a, b))[::-1]
+    old, new, out = iter(a), iter(b), []
+    for kind, run in itertools.groupby(kinds):
+        words = []
+        for _ in run:
+            if kind != "removed":
+                words.append(next(new))
+            if kind != "added":
+                word = next(old)
+                words += [word] if kind == "removed" else []
+        out.append((kind, "".join(words)))
+    return out
 
 
 def word_diff(pairs: DataFrame, original: str = "original", rewritten: str = "rewritten") -> DataFrame:

@@ -460,7 +460,7 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH e AS (SELECT id, id % 4 AS batch, id % 16 // 4 AS fails FROM {v_turns} WHERE trim(text) <> '')
-    SELECT id AS timeline_id, CAST(least(fails, 4 - batch, 3) AS INT) AS attempts, CASE fails WHEN 1 THEN 'wrong_dim' WHEN 2 THEN 'unavailable' ELSE 'broken' END AS last_error FROM e
+    SELECT id AS timeline_id, CAST(least(fails, 4 - batch, 3) AS INT) AS attempts, CASE fails WHEN 1 THEN '4 values' WHEN 2 THEN 'unavailable' ELSE 'broken' END AS last_error FROM e
     WHERE fails > 0 AND NOT (fails = 1 AND batch < 3) AND NOT (fails = 2 AND batch < 2)""")
 def stream_embed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still to be embedded after four batches. Of sixteen ids four fail once, four twice and four always; a turn
