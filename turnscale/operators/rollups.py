@@ -67,18 +67,17 @@ def savings_split(turns: DataFrame) -> DataFrame:
     return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns], *totals)
 
 
-def tokens_saved_est(group: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and tokens_saved_est: the mean overhead of a group's injected, uncached turns times its cache hits, cut to a
-    whole number."""
+def tokens_saved() -> Column:
+    """The mean overhead of a group's injected, uncached turns times its cache hits, cut to a whole number."""
     measured = F.col("injected") & ~F.col("cache_hit_estimated") & F.col("baseline_no_context").isNotNull()
     overhead = F.sum(F.when(measured, F.col("actual_input_tokens") - F.col("baseline_no_context"))).cast("double")
     mean = F.try_divide(overhead, F.count_if(measured).cast("double"))
-    return group.groupBy(*keys).agg(F.coalesce((mean * F.count_if("cache_hit_estimated")).cast("long"), F.lit(0)).cast("long").alias("tokens_saved_est"))
+    return F.coalesce((mean * F.count_if("cache_hit_estimated")).cast("long"), F.lit(0)).cast("long").alias("tokens_saved_est")
 
 
 def tokens_saved_total(turns: DataFrame) -> DataFrame:
     """One row: tokens_saved_est of every chat session, summed."""
-    each = tokens_saved_est(turns.filter("chat_session_id is not null"), ["chat_session_id"])
+    each = turns.filter("chat_session_id is not null").groupBy("chat_session_id").agg(tokens_saved())
     return each.agg(total("tokens_saved_est").alias("total_tokens_saved_est"))
 
 
@@ -103,10 +102,9 @@ def session_rollup(sessions: DataFrame, turns: DataFrame, most: int | None = 200
     The sums are grouped by session before they meet the sessions, so no turn is shuffled twice.
     """
     own = turns.filter("chat_session_id is not null")
-    sums = own.groupBy("chat_session_id").agg(F.count("*").alias("turn_count"), *metrics())
-    saved = tokens_saved_est(own, ["chat_session_id"])
-    rows = sessions.join(sums.join(saved, "chat_session_id"), sessions["id"] == F.col("chat_session_id"), "left")
-    zero = [F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in sums.join(saved, "chat_session_id").dtypes if c != "chat_session_id"]
+    sums = own.groupBy("chat_session_id").agg(F.count("*").alias("turn_count"), *metrics(), tokens_saved())
+    rows = sessions.join(sums, sessions["id"] == F.col("chat_session_id"), "left")
+    zero = [F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in sums.dtypes if c != "chat_session_id"]
     rows = rows.select(F.col("id").alias("session_key"), F.lit("chat").alias("source"), F.col("provider_id").alias("provider"), *zero, F.col("first_at").alias("first_seen"), F.col("last_at").alias("last_seen"))
     return newest(rows, [F.desc("last_seen"), F.col("session_key")], most)
 

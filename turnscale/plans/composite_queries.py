@@ -72,6 +72,18 @@ def read_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.split("path", "/")[0].alias("folder"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+@register("""WITH d AS (SELECT 'source=' || source || '/pack=' || CAST(doc_id // 100 AS VARCHAR) AS folder, (octet_length(encode(text)) + 1) * CASE WHEN doc_id // 100 % 8 = 0 THEN 40 ELSE 1 END AS b FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+    SELECT folder, CAST(sum(b) AS BIGINT) AS bytes FROM d GROUP BY folder HAVING sum(b) <= 1000000""")
+def read_source_tree_of_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each source's share of a hundred documents, so that there are more files of more documents. Every eighth has its
+    texts forty times, which puts most of these over a megabyte."""
+    path, pack = scratch(spark, "packs"), F.expr("doc_id DIV 100")
+    rows = view(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", pack.alias("pack"), F.explode(F.array_repeat("text", F.when(pack % 8 == 0, 40).otherwise(1))).alias("text"))
+    rows.repartition("source", "pack").write.partitionBy("source", "pack").text(path)
+    found = readers.read_source_tree(spark, path, "p")
+    return found.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 @register("""SELECT CAST(p_partkey % 7 AS STRING) AS provider, CAST(p_partkey % 50 AS STRING) AS model, CAST(max(p_partkey) AS DOUBLE) AS input_per_m, CAST(min(p_partkey) AS DOUBLE) AS output_per_m FROM part GROUP BY 1, 2""".replace("STRING", "VARCHAR"))
 def read_price_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest and lowest part of 350 models as the nested map of a price file."""
@@ -96,6 +108,18 @@ def read_provider_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_provider_hints(spark, path)
 
 
+@register("""SELECT 'h' || CAST(s_suppkey AS VARCHAR) || '.example' AS host, 'p' || CAST(s_nationkey AS VARCHAR) AS provider_id, CAST(NULL AS VARCHAR) AS url_session_pattern,
+    '/n' || CAST(s_nationkey AS VARCHAR) AS path_filter, CAST(s_suppkey % 9 * 100 AS INT) AS debounce_ms FROM supplier""")
+def read_provider_hints_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of hints for each nation, each in one value, read together."""
+    path, i, nation = scratch(spark, "nations"), F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    hint = F.struct(F.concat(F.lit("p"), nation).alias("provider_id"), F.concat(F.lit("/n"), nation).alias("path_filter"), (i % 9 * 100).cast("int").alias("debounce_ms"))
+    hosts = view(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("h"), i.cast("string"), F.lit(".example")).alias("host"), hint.alias("h"))
+    values = hosts.groupBy("s_nationkey").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("host", "h"))).alias("providers"))).alias("value"))
+    values.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return readers.read_provider_hints(spark, f"{path}/*")
+
+
 # Sinks and tables
 
 
@@ -222,6 +246,16 @@ def verify_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.verify_sample(chunks, chunks.select("stable_hash")).agg(F.count("*").alias("chunks"), F.count_if("has_text").alias("with_text"), F.count_if("has_vector").alias("with_vector"))
 
 
+@register(f"SELECT least(count(*), 10) AS chunks, least(count(*), 10) AS texts_right, least(count(*), 10) AS vectors_right FROM {lines('{v_files}', 8, 5)}")
+def verify_sample_of_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten chunks at random, of which about half have a vector, and about half a text: what is said of each must hold."""
+    chunks = corpus.chunk_windows(files(spark, sf_dir), 8, 5)
+    blank = F.substring("stable_hash", 2, 1) < "8"
+    sample = corpus.verify_sample(chunks.withColumn("text", F.when(~blank, F.col("text"))), chunks.filter("stable_hash < '8'").select("stable_hash"))
+    right = [F.count_if(F.col("has_text") == ~blank).alias("texts_right"), F.count_if(F.col("has_vector") == (F.col("stable_hash") < "8")).alias("vectors_right")]
+    return sample.agg(F.count("*").alias("chunks"), *right)
+
+
 @register("SELECT path, doc_id % 4 = 0 AS is_binary FROM {v_files}")
 def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A zero byte at the start of one file in four, and at the end of another, beyond what is looked at."""
@@ -249,6 +283,22 @@ ORACLE["chunk_documents"] = with_views(f"""WITH cut AS (
     FROM pieces WHERE text <> ''""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _ingested() -> str:
+    outer = with_views("""SELECT c.project_id, c.path, CASE WHEN p.content = c.content THEN 'skipped' ELSE 'ingested' END AS status,
+        CAST(CASE WHEN p.content = c.content THEN 0 ELSE coalesce(t.tokens, 0) END AS BIGINT) AS token_count, CAST(CASE WHEN p.content = c.content THEN 0 ELSE coalesce(t.n, 0) END AS BIGINT) AS chunks
+        FROM {v_files} c LEFT JOIN {v_files_prev} p USING (project_id, path) LEFT JOIN (SELECT project_id, path, sum(token_count) AS tokens, count(*) AS n FROM (CHUNKS) GROUP BY 1, 2) t USING (project_id, path)""")
+    return outer.replace("CHUNKS", ORACLE["chunk_documents"])
+
+
+@register(_ingested())
+def ingest_corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its status, its tokens, and the chunks that it has in the chunk table."""
+    known = corpus.content_hashes(view(spark, sf_dir, "v_files_prev")).select("project_id", "path", "sha1")
+    rows, chunks = corpus.ingest_corpus(files(spark, sf_dir), known)
+    counts = chunks.groupBy("project_id", "path").agg(F.count("*").alias("chunks"))
+    return rows.join(counts, ["project_id", "path"], "left").select("project_id", "path", "status", "token_count", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 @register(f"""WITH {SELECTED},
     l AS (SELECT project_id, path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM {{v_files}}),
     c AS (SELECT l.project_id, l.path, i, f.e, greatest(1, length(t) // 4) AS cost FROM l JOIN selected s ON s.project_id = l.project_id AND s.f.p = l.path),
