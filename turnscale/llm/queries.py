@@ -14,9 +14,9 @@ from .common import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a file of its project's tree, so that the path counts."""
+    """Every document is a file of its project's tree, so that the path counts. A value is judged by forests that haven't seen it."""
     files = view(spark, sf_dir, "v_files")
-    return secret_scan.scan_secrets(files.select("doc_id", F.col("content").alias("text"), "path"), "path")
+    return secret_scan.scan_secrets(files.select("doc_id", F.col("content").alias("text"), "path"), "path", folds=4)
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

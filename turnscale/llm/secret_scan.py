@@ -5,6 +5,7 @@ DataFrame and SQL functions and the DataFrame-based forest only; no Python runs
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -159,18 +160,41 @@ def train_forest(findings: DataFrame, labels: DataFrame, features: list[str], sa
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(chosen)
 
 
+def with_score(findings: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """findings with the share of the forest's vote for a secret; null without a forest."""
+    if model is None:
+        return findings.withColumn("score", F.lit(None).cast("double"))
+    return model.transform(findings).select(*findings.columns, vector_to_array("probability")[1].alias("score"))
+
+
+def out_of_fold(findings: DataFrame, labels: DataFrame, features: list[str], folds: int = 4, **options) -> DataFrame:
+    """findings with score, by a forest that was fitted without the labels of the same value's fold.
+
+    Folds go by the value's hash, so that copies of a finding share one. Where the other folds lack one of the labels,
+    the forest of all labels scores; where all do, score is null.
+    """
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "value_sha256"), F.lit(folds))
+    labels, everyone, parts = saved(labels.select("doc_id", "place", "value_sha256", "label"), "labels"), None, []
+    for n in range(folds):
+        model = train_forest(findings, labels.filter(fold != n), features, **options)
+        if model is None:
+            model = everyone = everyone or train_forest(findings, labels, features, **options)
+        parts.append(with_score(findings.filter(fold == n), model))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def digest(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
-def scan_secrets(documents: DataFrame, path: str = "source", labels: DataFrame | None = None, dictionary: int = 2000, threshold: float = 0.5, **options) -> DataFrame:
+def scan_secrets(documents: DataFrame, path: str = "source", labels: DataFrame | None = None, dictionary: int = 2000, threshold: float = 0.5, folds: int = 1, **options) -> DataFrame:
     """doc_id, place, start, n_chars, value_sha256, FEATURES, score, secret of every candidate in every text.
 
     Candidates come from all texts, and so do vocabulary, dictionary (its `dictionary` commonest words) and
     transitions. score is the share of the forest's vote for a secret, secret whether it reaches threshold; the rest
     are the false positives to drop. labels are labelled findings (doc_id, place, value, label) on which the forest has
     all FEATURES. Without them, weak_labels of these candidates are used, and the forest has the FEATURES that they
-    aren't made of; if they don't have both labels, score is null and every candidate stays a secret. No value is
+    aren't made of. With folds over 1, each value is scored by a forest that hasn't seen it (out_of_fold); if they don't have both labels, score is null and every candidate stays a secret. No value is
     returned or written anywhere, only its hash.
 
     Null texts have no candidates; a null path is an empty one; rows that repeat a doc_id are scanned each; a null
@@ -180,12 +204,9 @@ def scan_secrets(documents: DataFrame, path: str = "source", labels: DataFrame |
     found = with_features(find_candidates(documents, path), common_words(words, dictionary), transition_table(words))
     found = saved(found.select("doc_id", "place", "start", digest(F.col("value")).alias("value_sha256"), *FEATURES), "findings")
     if labels is None:
-        model = train_forest(found, weak_labels(found), [f for f in FEATURES if f not in HIDDEN], **options)
-    else:
-        model = train_forest(found, labels.withColumn("value_sha256", digest(F.col("value"))), FEATURES, **options)
-    if model is None:
-        scored = found.withColumn("score", F.lit(None).cast("double"))
+        given, features = weak_labels(found), [f for f in FEATURES if f not in HIDDEN]
     else:
-        scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
+        given, features = labels.withColumn("value_sha256", digest(F.col("value"))), FEATURES
+    scored = out_of_fold(found, given, features, folds, **options) if folds > 1 else with_score(found, train_forest(found, given, features, **options))
     secret = F.coalesce(F.col("score") >= threshold, F.lit(True))
     return scored.select("doc_id", "place", "start", "value_sha256", *FEATURES, "score", secret.alias("secret"))
