@@ -66,6 +66,37 @@ def test_rotation_is_orthogonal_and_learns():
     assert loss(turn) < loss(np.eye(16))
 
 
+def test_tiny_and_huge_components(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2.1e200]), (2, [5e-324, 0.0]), (3, [1.7e308, -1.7e308]), (4, [1.0, 2.0]), (5, [-1e-310, -2e-310]), (6, [0.0, 0.0]), (7, [1e308, None])]
+    found = vector_search.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=9).collect()
+    kept = {i: np.ldexp(np.array(v), -np.frexp(np.abs(v).max())[1]) for i, v in rows[:6]}
+    assert len(found) == 30 and all(np.isfinite(x.score) for x in found)
+    for q, own in kept.items():
+        got = [(x.vec_id, x.score) for x in sorted(found, key=lambda x: x.rank) if x.query_id == q]
+        want = sorted((-float(own @ v / np.linalg.norm(own) / np.linalg.norm(v)), i) for i, v in kept.items() if i != q)
+        assert [round(-s, 9) for s, _ in want] == [round(s, 9) for _, s in got]
+
+
+def test_radius_fits_the_vectors():
+    """On clustered vectors most codes are never looked at, and nearly all of the nearest are found."""
+    r = np.random.default_rng(4)
+    middles = r.normal(size=(200, 64))
+    x = middles[r.integers(0, 200, 6000)] + 0.15 * r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = vector_search.fit_rotation(x[:2000])
+    radius = vector_search.learn_radius(x[:2000], turn, 5)
+    index = vector_search.MultiIndex(vector_search.encode(x, turn))
+    found, looked = 0, 0
+    for q in range(100):
+        near = x @ x[q]
+        near[q] = -9
+        best = set(np.argsort(-near)[:5].tolist())
+        own = index.within(index.codes[q], radius)
+        found, looked = found + len(best & set(own.tolist())), looked + len(own)
+    assert found >= 0.95 * 500 and looked < 0.1 * 100 * 6000
+    assert vector_search.learn_radius(x[:1], turn, 5) == 64
+
+
 def test_every_length_is_searched_by_itself(spark):
     r = np.random.default_rng(2)
     rows = [(i, r.normal(size=8 if i % 3 else 5).tolist()) for i in range(60)] + [(100, [1.0])]
@@ -159,6 +190,26 @@ def test_own_models(kind, squeeze):
     assert list(codec.decode(ids)) == [codec.plain(t) for t in texts] == [other.decode(other.encode(t)) for t in texts]
 
 
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_texts_cannot_spell_control_pieces(kind, byte_fallback):
+    data = own_model(kind, byte_fallback=byte_fallback)
+    codec, other = pieces.PieceCodec(data), pieces.reference(data)
+    texts = ["a <s> b", "</s> x", "<unk> here", "x <0x41> y", "<s>", "<0x41><0x42>ab", "ab<unk>", " <s>", "a  </s>", "日<s>本", "xxab\u0000<0x0A>\n"]
+    ids = list(codec.encode(texts))
+    assert [x.tolist() for x in ids] == [other.encode(t) for t in texts]
+    assert not {1, 2} & {i for x in ids for i in x.tolist()}
+    assert list(codec.decode(ids)) == [other.decode(x.tolist()) for x in ids]
+    if byte_fallback:
+        assert list(codec.decode(ids)) == [codec.plain(t) for t in texts]
+
+
+def test_columns_with_the_names_of_steps(spark, model):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, 4)], "doc_id long, text string, _e int, encoded int, Encoded_ int, text_ int")
+    row = pieces.encode_documents(docs, model).head()
+    assert row.parity and (row["_e"], row["encoded"], row["Encoded_"]) == (1, 2, 3)
+
+
 def test_unsupported_models():
     with pytest.raises(ValueError):
         pieces.PieceModel.parse(own_model(3))

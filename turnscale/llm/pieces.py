@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, free_name
 
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -115,7 +115,9 @@ def build(model: PieceModel):
     from tokenizers import AddedToken, Tokenizer, decoders, models
 
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
+        # A text must not spell a control, unknown or byte piece: with a space before it, which no normal text has, none does.
+        # So bytes are put in by PieceCodec, which knows what was unknown.
+        core = models.Unigram([(p if kind in (NORMAL, USER_DEFINED) else " " + p, s) for p, s, kind in model.pieces], unk_id=model.unknown, byte_fallback=False)
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
         core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
@@ -141,10 +143,13 @@ class PieceCodec:
         plain = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)]
         self.simple = self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze
         apart = self.model.words_apart and MARK in plain and not any("\n" in p for p in plain)
-        self.by_word = self.simple and apart and not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
+        # Without byte pieces a run of unknown characters is one piece, and that can reach over a line end.
+        self.by_word = self.simple and apart and self.model.byte_fallback and not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.known: dict[str, bytes] = {}
         own = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
         self.bytes = [own.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.model.pieces]
+        found = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
+        self.of_byte = [found[b] for b in range(256)] if self.model.kind == UNIGRAM and self.model.byte_fallback and len(found) == 256 else None
         self.control = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         self.marked = {i for i, (p, _, kind) in enumerate(self.model.pieces) if kind not in own and p.startswith(MARK)}
 
@@ -154,8 +159,20 @@ class PieceCodec:
         return self.normaliser.normalize_str(text)
 
     def ids(self, normal: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False):
-            yield array("i", found.ids).tobytes()
+        for text, found in zip(normal, self.tokenizer.encode_batch_fast(normal, add_special_tokens=False), strict=True):
+            if self.of_byte and self.model.unknown in found.ids:
+                yield array("i", self.with_bytes(text)).tobytes()
+            else:
+                yield array("i", found.ids).tobytes()
+
+    def with_bytes(self, normal: str) -> Iterator[int]:
+        """The ids of a text, with the byte pieces of its unknown characters."""
+        found = self.tokenizer.encode(normal, add_special_tokens=False)
+        for i, (start, end) in zip(found.ids, found.offsets, strict=True):
+            if i == self.model.unknown:
+                yield from map(self.of_byte.__getitem__, normal[start:end].encode())
+            else:
+                yield i
 
     def words(self, text: str) -> list[str] | None:
         """A word is preceded by a space, or begins with the line end before it; None if the text isn't made of such."""
@@ -256,8 +273,9 @@ def encode_documents(documents: DataFrame, model: bytes, threads: int = 2, check
     added = ["n_tokens", "token_ids", "round_trip", "parity"]
     others = [F.col(f"`{c}`") for c in documents.columns if c not in ("text", *added)]
     found = encode(F.col("text"), F.pmod(F.xxhash64("text"), F.lit(check_one_in)) == 0)
-    rows = bound_batches(documents).select(*others, F.struct(F.col("text").isNotNull().alias("there"), found.alias("e")).alias("_e"))
-    return rows.select(*others, *[F.when(F.col("_e.there"), F.col(f"_e.e.{c}")).alias(c) for c in added])
+    name = free_name(documents, "encoded")
+    rows = bound_batches(documents).select(*others, F.struct(F.col("text").isNotNull().alias("there"), found.alias("e")).alias(name))
+    return rows.select(*others, *[F.when(F.col(f"{name}.there"), F.col(f"{name}.e.{c}")).alias(c) for c in added])
 
 
 def decode_tokens(tokens: DataFrame, model: bytes, ids: str = "token_ids", threads: int = 2) -> DataFrame:

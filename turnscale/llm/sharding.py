@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Rows that are numbered together; a shard has as many such buckets as it needs.
 BUCKET_ROWS = 20_000
 
@@ -45,13 +47,14 @@ def number_slots(df: DataFrame, group: str, order: Sequence[str], n_groups: int,
     and lifted by the count of the buckets before it. Rows equal in all order columns take their slots in any order.
     """
     n_buckets = max(1, math.ceil(df.count() / n_groups / bucket_rows))
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(n_buckets)))
-    counts = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(group, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = Window.partitionBy(group, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_rank", F.row_number().over(within)).join(offsets, [group, "_bucket"])
-    return numbered.withColumn("slot", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_before", "_rank")
+    bucket, earlier, rank = (free_name(df, c) for c in ("bucket", "earlier", "rank"))
+    rows = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(n_buckets)))
+    counts = rows.groupBy(group, bucket).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(group, bucket, F.coalesce(before, F.lit(0)).alias(earlier))
+    within = Window.partitionBy(group, bucket).orderBy(*order)
+    numbered = rows.withColumn(rank, F.row_number().over(within)).join(offsets, [group, bucket])
+    return numbered.withColumn("slot", F.col(earlier) + F.col(rank) - 1).drop(bucket, earlier, rank)
 
 
 def shard_documents(documents: DataFrame, n_shards: int = 24, weights: Sequence[float] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -44,6 +44,22 @@ def encode(unit: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return np.packbits(unit @ rotation >= 0, axis=1)
 
 
+def learn_radius(sample: np.ndarray, rotation: np.ndarray, k: int, queries: int = 400, recall: float = 0.99) -> int:
+    """The Hamming radius that has this share of the k nearest of the first `queries` unit vectors of the sample.
+
+    Nearest neighbours among more rows are nearer, and so are their codes, so that it is enough for all of them.
+    """
+    codes, some = encode(sample, rotation), sample[:queries]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return codes.shape[1] * SUBSTRING
+    near = some @ sample.T
+    near[np.arange(len(some)), np.arange(len(some))] = -np.inf
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    apart = np.bitwise_count(codes[:queries, None] ^ codes[best]).sum(axis=2, dtype=np.int64)
+    return int(np.quantile(apart, recall, method="higher"))
+
+
 def probe_order(radius: int) -> np.ndarray:
     """All values of a substring at distance radius or less from 0."""
     flips = itertools.chain.from_iterable(itertools.combinations(range(SUBSTRING), r) for r in range(min(radius, SUBSTRING) + 1))
@@ -85,14 +101,21 @@ def probe_order_cached(radius: int) -> np.ndarray:
     return _PROBES[radius]
 
 
+def scaled(vectors: list) -> np.ndarray:
+    """Vectors by powers of two, so that the largest component of each lies between 0.5 and 1: a cosine is the same bit for
+    bit, and no square under- or overflows."""
+    x = np.array(vectors, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def block_nearest(queries: pd.DataFrame, rows: pd.DataFrame, rotation: np.ndarray, radius: int, k: int) -> pd.DataFrame:
     """The k nearest rows of a block for each query of a block, by exact cosine over what the index retrieves."""
     out: list[pd.DataFrame] = []
     if len(queries) and len(rows):
-        vectors, ids = np.array(rows["v"].tolist(), np.float64), rows["vec_id"].to_numpy()
+        vectors, ids = scaled(rows["v"].tolist()), rows["vec_id"].to_numpy()
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         index = MultiIndex(encode(vectors / norms[:, None], rotation))
-        asked = np.array(queries["v"].tolist(), np.float64)
+        asked = scaled(queries["v"].tolist())
         asked_norms = np.sqrt((asked * asked).sum(axis=1))
         codes = encode(asked / asked_norms[:, None], rotation)
         for n, query_id in enumerate(queries["vec_id"].tolist()):
@@ -124,18 +147,19 @@ def search_blocks(queries: DataFrame, rows: DataFrame, n_rows: int, n_queries: i
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 5, radius_share: float = 0.47, sample: int = 10_000, block: int = 16_384, vector: str = "embedding"
+    vectors: DataFrame, queries: Column, k: int = 5, radius_share: float | None = None, sample: int = 10_000, block: int = 16_384, vector: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every row for which `queries` holds, by cosine.
 
     A rotation is learned on the `sample` vectors of least id hash; the signs of a rotated vector are its code, one bit
-    per dimension, cut into bytes with an index each. A query retrieves every code within radius_share of all bits and
-    its finds are ranked by the vectors in double precision. Rows and queries meet in blocks of `block`, each with an
+    per dimension, cut into bytes with an index each. A query retrieves every code within radius_share of all bits (by
+    default within learn_radius of the sample) and its finds are ranked by the vectors in double precision. Rows and queries meet in blocks of `block`, each with an
     index of its own, so that no task holds more than a block of either. Queries that find fewer than k rows are asked
     again with the whole code as radius, so that all have k, or all other rows if there are fewer.
 
-    The radius is wide on purpose: nearly isotropic vectors have their nearest at a cosine of 0.4, where over a third of
-    the bits differ; the recall is measured in the tests. Vectors that are null, zero, or hold null or non-finite
+    The radius fits the vectors: clustered ones have their nearest within a few bits, and most codes are never looked at;
+    nearly isotropic ones have them at a cosine of 0.4, where over a third of the bits differ. The recall is measured in
+    the tests. Vectors that are null, zero, or hold null or non-finite
     components take no part, null ids neither. Vectors of different lengths have no cosine: each length is searched by
     itself, with a rotation of its own. Rows that repeat an id are candidates each, but not of queries of their id. Ties
     go to the smaller id.
@@ -149,13 +173,15 @@ def nearest_neighbours(
     return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], schema)
 
 
-def search_length(rows: DataFrame, dims: int, n_rows: int, n_queries: int, k: int, radius_share: float, sample: int, block: int) -> DataFrame:
+def search_length(rows: DataFrame, dims: int, n_rows: int, n_queries: int, k: int, radius_share: float | None, sample: int, block: int) -> DataFrame:
     """nearest_neighbours of the `asked` of rows (vec_id, v, asked), all vectors having `dims` components."""
-    learn = np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").select("v").limit(sample).collect()], np.float64)
-    rotation = fit_rotation(learn / np.linalg.norm(learn, axis=1, keepdims=True))
+    learn = scaled([r[0] for r in rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").select("v").limit(sample).collect()])
+    learn /= np.linalg.norm(learn, axis=1, keepdims=True)
+    rotation = fit_rotation(learn)
+    radius = learn_radius(learn, rotation, k) if radius_share is None else round(radius_share * dims)
     asked = rows.filter("asked")
     search = lambda q, n, r: search_blocks(q.select("vec_id", "v"), rows.select("vec_id", "v"), n_rows, n, rotation, r, k, block)
-    first = saved(search(asked, n_queries, round(radius_share * dims)), "nearest")
+    first = saved(search(asked, n_queries, radius), "nearest")
     full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = saved(asked.join(full, "vec_id", "left_anti"), "short-queries")
     n_short = short.count()
