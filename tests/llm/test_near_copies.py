@@ -170,3 +170,25 @@ def test_parity_bits_never_differ_more_than_the_sets():
         long, half = near_copies.parity_bits(x, 32), near_copies.parity_bits(x, 16)
         assert near_copies.sketch_longs(len(x)) * 32 >= len(x) and not np.any(long[:16] ^ long[16:] ^ half)
         assert bits <= len(np.setxor1d(x, y)) and not np.any(near_copies.parity_bits(x) ^ near_copies.parity_bits(x.copy()))
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With hashes of a few values, different texts share one; they are told by the second hash."""
+    monkeypatch.setattr(near_copies, "node", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    r = random.Random(5)
+    texts = [sentence(r, 30 + i) for i in range(24)] + [None, "", " "]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(200, texts[3] + " end"), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, near_copies.drop_near_copies(docs).collect()))
+    assert kept == [(i, t) for i, t in enumerate(texts)]
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    from turnscale.llm import common
+
+    r = random.Random(6)
+    before = common.marked()
+    docs = spark.createDataFrame([(i, sentence(r, 40) if i % 3 else "the same text of some words here " * 5) for i in range(60)], "doc_id long, text string")
+    rows = near_copies.drop_near_copies(docs)
+    names = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._GIVEN[before:])
+    assert names == ["clashes", "groups", "roots", "stays"] and rows.count() == 41

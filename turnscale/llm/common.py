@@ -70,6 +70,20 @@ def delete(spark: SparkSession, path: str) -> None:
         _GIVEN.remove(path)
 
 
+def marked() -> int:
+    """How many paths there are now: what comes later is what `delete_since` deletes."""
+    return len(_GIVEN)
+
+
+def delete_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
+    """Delete the tables written since the mark, but for those that a frame of keep reads; nothing else may read one."""
+    read = [f for df in keep for f in df.inputFiles()]
+    for path in list(_GIVEN[mark:]):
+        plain = path.split(":", 1)[-1].replace("//", "/").rstrip("/")
+        if not any(f"{plain}/" in f.replace("//", "/") for f in read):
+            delete(spark, path)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A name that no column of df has, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, saved
+from .common import bound_batches, delete_since, free_name, marked, saved, wide_hash
 from .components import components
 from .simhash import covering_links, majority_bits, shingle_hashes
 
@@ -210,47 +210,95 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
     """(node, root) of the texts of (node, text) that are alike to another, through any number of others.
 
     First the pairs of texts whose SimHashes meet, and of every text with the hubs of each of its cells, are checked. Then the pairs of every cell whose texts these links don't yet join.
+    Tables on the way are deleted when the links are saved that they were made for.
     """
+    spark, start = texts.sparkSession, marked()
     firsts = prefix_table(texts, shingle, similarity)
     members = cells(firsts)
     first = hub_pairs(members).unionByName(print_pairs(firsts)).distinct()
     tried = saved(plausible(first, firsts, similarity), "candidates")
-    roots = components(saved(similar_pairs(tried, texts, shingle, similarity), "alike"))
+    before = marked()
+    alike = saved(similar_pairs(tried, texts, shingle, similarity), "alike")
+    delete_since(spark, before, [alike])
+    roots = components(alike)
     short = firsts.select("node", *[F.col("short")[k].alias(f"s{k}") for k in range(SHORT)])
     grouped = members.drop("hub", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(short, "node")
+    before = marked()
     more = cell_pairs(saved(grouped, "grouped-members"), lambda x, y: short_fits(x, y, similarity)).join(tried, ["a", "b"], "left_anti")
-    more = saved(similar_pairs(saved(plausible(more, firsts, similarity), "candidates-left"), texts, shingle, similarity), "alike-left")
+    left = saved(plausible(more, firsts, similarity), "candidates-left")
+    delete_since(spark, before, [left])
+    more = saved(similar_pairs(left, texts, shingle, similarity), "alike-left")
     for c in "ab":  # links of what the first groups are
         more = more.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
     tops = components(saved(more, "links-left"))
     merged = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     merged = merged.select("node", F.coalesce("top", "root").alias("root"))
-    return merged.unionByName(tops.join(roots, "node", "left_anti"))
+    out = saved(merged.unionByName(tops.join(roots, "node", "left_anti")), "roots")
+    delete_since(spark, start, [out])
+    return out
+
+
+def node(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def second(text: Column) -> Column:
+    return wide_hash(text)[1]
+
+
+def clashes(documents: DataFrame) -> DataFrame:
+    """(hash, first): hashes that different texts share, told by a second hash, of which `first` is the least; saved."""
+    each = documents.select(node(F.col("text")).alias("hash"), second(F.col("text")).alias("other"))
+    found = each.groupBy("hash").agg(F.min("other").alias("first"), F.max("other").alias("last"))
+    return saved(found.filter("first != last").select("hash", "first"), "clashes")
+
+
+def with_node(documents: DataFrame, shared: DataFrame, name: str) -> DataFrame:
+    """documents with a node of their text: its hash, or, where it shares that with another text, the second hash.
+
+    Two hashes together have 128 bits: of the texts of any corpus a few dozen share the first, and none both.
+    """
+    both = documents.withColumns({name: node(F.col("text")), f"{name}_other": second(F.col("text"))})
+    if shared.isEmpty():
+        return both.drop(f"{name}_other")
+    marked = shared.withColumnsRenamed({"hash": f"{name}_hash", "first": f"{name}_first"})
+    joined = both.join(marked, F.col(name) == F.col(f"{name}_hash"), "left")
+    own = F.when(F.col(f"{name}_other") != F.col(f"{name}_first"), F.col(f"{name}_other")).otherwise(F.col(name))
+    return joined.withColumn(name, own).drop(f"{name}_other", f"{name}_hash", f"{name}_first")
 
 
 def near_copy_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, root): the group of every row of documents, by a hash of its text.
+    """(doc_id, text_hash, root): the group of every row of documents, by a hash of its text (see with_node).
 
     Equal texts are one node. Wordless texts are alike only if they are equal.
     """
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    texts = bound_batches(documents).select(F.xxhash64("text").alias("node"), "text")
+    return grouped_rows(documents.select("doc_id", "text"), clashes(documents), shingle, similarity)
+
+
+def grouped_rows(documents: DataFrame, shared: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    named = with_node(documents, shared, "text_hash")
+    rows = named.select("doc_id", "text_hash")
+    texts = bound_batches(named).select(F.col("text_hash").alias("node"), "text")
     wordy = texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     roots = similar_groups(wordy, shingle, similarity)
     return rows.join(roots, rows["text_hash"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
 
 
-def drop_near_copies(documents: DataFrame, **options) -> DataFrame:
+def drop_near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with its columns; of rows that repeat it, one.
 
     Rows with a null id stay, as nothing can name them. Null texts are equal to each other.
     """
-    groups = saved(near_copy_groups(documents.filter("doc_id is not null"), **options), "groups")
+    named = documents.filter("doc_id is not null")
+    shared = clashes(named)
+    groups = saved(grouped_rows(named.select("doc_id", "text"), shared, shingle, similarity), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*")
     counts = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     stays = saved(first.join(counts, ["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "stays")
-    on = lambda s: (documents["doc_id"] == s["_id"]) & (F.xxhash64(documents["text"]) == s["_hash"])
+    name = free_name(documents, "node")
+    rows = with_node(named, shared, name)
+    on = lambda s: (rows["doc_id"] == s["_id"]) & (rows[name] == s["_hash"])
     single, repeated = stays.filter("n = 1"), stays.filter("n > 1")
-    once = documents.join(single, on(single), "left_semi")
-    again = documents.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = rows.join(single, on(single), "left_semi").drop(name)
+    again = rows.join(repeated, on(repeated), "left_semi").drop(name).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).unionByName(documents.filter("doc_id is null"))
