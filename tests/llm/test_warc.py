@@ -71,3 +71,24 @@ def test_broken_archives():
             warc.parse_record(bad)
     skippable = struct.pack("<II", 0x184D2A50, 3) + b"abc"
     assert len(list(warc.read_frames(io.BytesIO(data + skippable)))) == 20
+
+
+def test_frames_that_grow_too_large():
+    bomb = zstandard.ZstdCompressor(level=3).compress(b"a" * 50_000_000)
+    unknown = zstandard.ZstdCompressor(level=3, write_content_size=False).compressobj()
+    hidden = unknown.compress(b"a" * 50_000_000) + unknown.flush()
+    assert zstandard.frame_content_size(hidden) == -1
+    for data in (bomb, hidden):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_frames(io.BytesIO(data), most=1_000_000))
+        assert [len(x) for x in warc.read_frames(io.BytesIO(data + data))] == [50_000_000] * 2
+    many = b"".join([small.compress(os.urandom(5000)) + small.flush() for small in [zstandard.ZstdCompressor(write_content_size=False).compressobj() for _ in range(30)]])
+    assert [len(x) for x in warc.read_frames(io.BytesIO(many))] == [5000] * 30
+
+
+def test_an_empty_page_that_most_pages_have(spark):
+    rows = [(i, "u", None if i % 3 else "", "f", "s", "p") for i in range(500)] + [(7, "v", "other", "f", "s", "p")]
+    found = warc.archive_round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert Counter((r.record_type, r.refers_to) for r in found) == {("response", None): 2, ("revisit", 0): 499}
+    names = spark.createDataFrame([], SCHEMA + ", of string, digest string, refers_to string")
+    assert warc.archive_round_trip(names).count() == 0

@@ -119,10 +119,11 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0, le
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     slim = pages.filter("page_id is not null").select("page_id", F.sha1(payload).alias("same"), F.octet_length(payload).alias("n"))
     groups = slim.filter(F.col("n") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    groups = saved(groups.filter("copies > 1").select("same", "first"), "page-copies")
-    rows = bound_batches(pages).select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("same")).join(groups, "same", "left")
-    refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", refers_to.alias("refers_to"))
+    # Ids and digests alone meet the groups; a payload that many pages have is no key of the join that moves payloads.
+    copies = slim.join(groups.filter("copies > 1").select("same", "first"), "same").filter("page_id != first").select("page_id", "same", "first").distinct()
+    copies = saved(copies.select(F.col("page_id").alias("of"), F.col("same").alias("digest"), F.col("first").alias("refers_to")), "page-copies")
+    rows = bound_batches(pages).select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("same"))
+    rows = rows.join(copies, (F.col("page_id") == F.col("of")) & (F.col("same") == F.col("digest")), "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -156,10 +157,27 @@ def make_dir(path: str) -> None:
     files.create_dir(base, recursive=True)
 
 
-def read_frames(stream: BinaryIO) -> Iterator[bytes]:
-    """The content of every frame but skippable ones, which are passed over; the leading one may hold the dictionary."""
+#: Bytes of a record at most, unless told otherwise, and bytes of a frame of unknown size that are decoded at once.
+MOST_RECORD, PIECE = 1 << 30, 1 << 10
+
+
+def read_frames(stream: BinaryIO, most: int = MOST_RECORD) -> Iterator[bytes]:
+    """The content of every frame but skippable ones, which are passed over; the leading one may hold the dictionary.
+
+    A frame of over `most` bytes, or a dictionary of as many, raises WarcError before it takes that much memory.
+    """
     import zstandard
 
+    def checked(data: bytes) -> int:
+        """The size that a frame's head tells; -1 if it doesn't."""
+        try:
+            size = zstandard.frame_content_size(data)
+        except zstandard.ZstdError as error:
+            raise WarcError(f"a broken frame: {error}") from error
+        if size > most:
+            raise WarcError(f"a frame of {size} bytes; {most} are the most")
+        return size
+
     buffer = b""
 
     def need(n: int) -> bool:
@@ -179,20 +197,25 @@ def read_frames(stream: BinaryIO) -> Iterator[bytes]:
                 raise WarcError("the archive ends within a skippable frame")
             if first and buffer[:4] == DICTIONARY_MAGIC:
                 data = buffer[8 : 8 + size]
-                data = zstandard.ZstdDecompressor().decompress(data) if data[:4] == FRAME_MAGIC else data
+                data = zstandard.ZstdDecompressor().decompress(data, max_output_size=most) if data[:4] == FRAME_MAGIC and checked(data) else data
                 decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
             buffer = buffer[8 + size :]
         else:
-            frame, parts = decoder.decompressobj(), []
+            need(18)  # the longest head
+            frame, parts, size, known = decoder.decompressobj(), [], 0, checked(buffer) >= 0
             while True:
+                # A frame that tells its size can't give more; of others little is decoded before their size is looked at.
+                now, later = (buffer, b"") if known else (buffer[:PIECE], buffer[PIECE:])
                 try:
-                    parts.append(frame.decompress(buffer))
+                    parts.append(frame.decompress(now))
                 except zstandard.ZstdError as error:
                     raise WarcError(f"a broken frame: {error}") from error
+                if (size := size + len(parts[-1])) > most:
+                    raise WarcError(f"a frame of over {most} bytes")
                 if frame.eof:
-                    buffer = frame.unused_data
+                    buffer = frame.unused_data + later
                     break
-                if not (buffer := stream.read(CHUNK)):
+                if not (buffer := later or stream.read(CHUNK)):
                     raise WarcError("the archive ends within a frame")
             yield b"".join(parts)
         first = False
