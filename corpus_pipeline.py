@@ -49,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's result is written, and what it was made of is deleted, as the stage before it is."""
+    docs, start = common.table(spark, sf_dir, "documents"), common.marked()
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = common.saved(docs, name)
+            common.delete_since(spark, start, [docs])
     return docs
