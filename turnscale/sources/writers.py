@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
     """Write a Parquet table. An overwrite is written beside the table and then takes its place, so that a table may be
-    made from itself, and a failed write leaves the old one."""
+    made from itself, and a failed write leaves the old one. Between its two renames a reader finds no table:
+    turnscale.sources.versions.write_version makes tables that are always there."""
     if mode == "append":
         df.write.mode("append").partitionBy(*partition_by).parquet(path)
         return
