@@ -24,8 +24,9 @@ UNIGRAM, BPE = 1, 2
 MARK, UNKNOWN_TEXT = "▁", " \u2047 "
 # A byte that is of no character is one U+FFFD.
 codecs.register_error("a-mark-each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
-#: Characters handed to the library at once, and words of which the ids are kept.
-BATCH_CHARS, CACHE = 1 << 20, 300_000
+#: Characters handed to the library at once, words of which the ids are kept, words that go to it as one text, and ids
+#: whose bytes are put together at once.
+BATCH_CHARS, CACHE, JOINED, IDS_AT_ONCE = 1 << 20, 300_000, 100, 1 << 20
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -146,12 +147,19 @@ class PieceCodec:
         # Without byte pieces a run of unknown characters is one piece, and that can reach over a line end.
         self.by_word = self.simple and apart and self.model.byte_fallback and not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         own = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
         self.bytes = [own.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.model.pieces]
         found = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.of_byte = [found[b] for b in range(256)] if self.model.kind == UNIGRAM and self.model.byte_fallback and len(found) == 256 else None
         self.control = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
         self.marked = {i for i, (p, _, kind) in enumerate(self.model.pieces) if kind not in own and p.startswith(MARK)}
+        # The ids that begin a word, where texts go to the library by words; the pieces' bytes, one after the other.
+        self.begins = np.zeros(len(self.model.pieces), bool)
+        self.begins[[*self.marked, *([found[10]] if 10 in found else [])]] = True
+        self.ends = np.cumsum([len(b) for b in self.bytes], dtype=np.int64)
+        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.odd = np.array([kind in (CONTROL, UNKNOWN) for _, _, kind in self.model.pieces])
 
     def normal(self, text: str) -> str:
         if self.simple:  # the same, without a copy for the library
@@ -165,6 +173,18 @@ class PieceCodec:
             else:
                 yield array("i", found.ids).tobytes()
 
+    def word_ids(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word. No piece reaches over a word's start, so many words go as one text, and are told apart by it."""
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self.ids(["".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(found, np.int32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(group):
+                yield from self.ids(group)
+                continue
+            edges = [*(4 * starts).tolist(), len(found)]
+            yield from (found[a:b] for a, b in itertools.pairwise(edges))
+
     def with_bytes(self, normal: str) -> Iterator[int]:
         """The ids of a text, with the byte pieces of its unknown characters."""
         found = self.tokenizer.encode(normal, add_special_tokens=False)
@@ -184,10 +204,12 @@ class PieceCodec:
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         for group in grouped(texts):
             parts = [self.words(t) for t in group]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list(set().union(*(p for p in parts if p)) - self.known.keys())
-            self.known.update(zip(new, self.ids([w if w[0] == "\n" else MARK + w for w in new]), strict=True))
+            if len(self.known) > CACHE // 2:  # what isn't asked for until there are as many others again is forgotten
+                self.before, self.known = self.known, {}
+            asked = set().union(*(p for p in parts if p)) - self.known.keys()
+            self.known.update((w, self.before[w]) for w in asked & self.before.keys())
+            new = list(asked - self.before.keys())
+            self.known.update(zip(new, self.word_ids([w if w[0] == "\n" else MARK + w for w in new]), strict=True))
             whole = self.ids([self.normal(t) for t, p in zip(group, parts, strict=True) if p is None])
             for own in parts:
                 yield np.frombuffer(next(whole) if own is None else b"".join(map(self.known.__getitem__, own)), np.int32)
@@ -198,16 +220,32 @@ class PieceCodec:
         Control pieces have no text and part the bytes of a character, an unknown piece is UNKNOWN_TEXT, and a byte that
         is of no character U+FFFD.
         """
-        read = lambda part: b"".join(map(self.bytes.__getitem__, part)).decode("utf-8", "a-mark-each")
-        for own in ids:
-            own = own.tolist()
-            parts = [own]
-            if not self.control.isdisjoint(own):
-                parts = [list(part) for control, part in itertools.groupby(own, self.control.__contains__) if not control]
-            text = "".join(map(read, parts))
-            first = next((i for i in own if i not in self.control), None)
+        for own in map(np.asarray, ids):
+            if not len(own):
+                yield ""
+                continue
+            odd = self.odd[own].any()
+            text = "".join(map(self.read, self.parted(own))) if odd else self.read(own)
+            first = next((i for i in own.tolist() if i not in self.control), None) if odd else int(own[0])
             yield text[1:] if self.model.dummy_prefix and first in self.marked else text
 
+    def parted(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """The runs of ids between control pieces."""
+        for control, part in itertools.groupby(ids.tolist(), self.control.__contains__):
+            if not control:
+                yield np.array(list(part), np.int64)
+
+    def read(self, ids: np.ndarray) -> str:
+        """The text of the pieces' bytes, which are copied from where they stand one after the other."""
+        out = []
+        for at in range(0, len(ids), IDS_AT_ONCE):
+            some = ids[at : at + IDS_AT_ONCE]
+            ends = self.ends[some]
+            sizes = ends - np.where(some > 0, self.ends[some - 1], 0)
+            upto = np.cumsum(sizes)
+            out.append(self.joined[np.arange(upto[-1]) + np.repeat(ends - upto, sizes)].tobytes())
+        return b"".join(out).decode("utf-8", "a-mark-each")
+
     def plain(self, text: str) -> str:
         """What decoding gives back: the text after the model's normaliser."""
         return self.normal(text).replace(MARK, " ").removeprefix(" " if self.model.dummy_prefix else "")
