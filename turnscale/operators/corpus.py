@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from turnscale.functions.filters import glob_to_regex, opted_in
 from turnscale.functions.text import SPACE_CLASS, detect_language, file_name, file_suffix, looks_binary, stable_hash, strip, tokens_code, tokens_min1
 
+from .entities import braced_entities
+
 # Folders and files that are never indexed, folders that a project may add, and limits.
 HARD_DENY = [
     "node_modules", ".pnpm", ".yarn", "bower_components", "venv", ".venv", "env", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "site-packages",
@@ -216,22 +218,36 @@ def python_entities(source: str | None) -> list[tuple[str, str, int, int]] | Non
     return found or None
 
 
+#: Languages of which entities are read, and whether they have types.
+BRACED = {"javascript": False, "typescript": True, "tsx": True}
+
+
+def source_entities(language: str | None, source: str | None) -> list[tuple[str, str | None, int, int]] | None:
+    """(kind, name, first line, last line) of a source's entities; null where it has none or the language isn't read."""
+    if language == "python":
+        return python_entities(source)
+    return braced_entities(source, BRACED[language]) if language in BRACED else None
+
+
 def chunk_entities(files: DataFrame) -> DataFrame:
-    """A chunk for each function, class and method of Python files; windows for all that have none, and other languages."""
+    """A chunk for each top-level function, class or other declaration, and each method, of Python, JavaScript and
+    TypeScript files; windows for all that have none, or can't be read, and for other languages."""
 
     @F.pandas_udf("array<struct<kind:string,name:string,first:int,last:int>>")
-    def entities(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: None if (e := python_entities(t)) is None else [dict(zip(("kind", "name", "first", "last"), x, strict=True)) for x in e])
+    def entities(language: pd.Series, content: pd.Series) -> pd.Series:
+        found = [source_entities(a, b) for a, b in zip(language, content, strict=True)]
+        return pd.Series([None if e is None else [dict(zip(("kind", "name", "first", "last"), x, strict=True)) for x in e] for e in found], dtype=object)
 
     rows = files.withColumn("content", F.col("content").cast("string")).select("project_id", "path", "content", detect_language(F.col("path")).alias("language"))
-    python = rows.filter("language = 'python'").withColumn("entities", entities("content"))
+    readable = F.coalesce(F.col("language").isin("python", *BRACED), F.lit(False))
+    read = rows.filter(readable).withColumn("entities", entities("language", "content"))
     lines = F.split("content", "\n", -1)
-    found = python.filter("entities is not null").select("project_id", F.col("path").alias("file_path"), lines.alias("lines"), F.explode("entities").alias("e"))
+    found = read.filter("entities is not null").select("project_id", F.col("path").alias("file_path"), lines.alias("lines"), F.explode("entities").alias("e"))
     found = found.select(
         "project_id", "file_path", F.col("e.first").alias("line_start"), F.col("e.last").alias("line_end"),
         F.array_join(F.slice("lines", F.col("e.first"), F.col("e.last") - F.col("e.first") + 1), "\n").alias("text"), F.col("e.kind").alias("entity_kind"), F.col("e.name").alias("entity_name"),
     )
-    others = python.filter("entities is null").drop("entities").unionByName(rows.filter("language is null or language != 'python'"))
+    others = read.filter("entities is null").drop("entities").unionByName(rows.filter(~readable))
     return with_chunk_fields(found).unionByName(chunk_windows(others))
 
 
