@@ -43,6 +43,11 @@ def test_javascript():
     ]
 
 
+def test_templates_end_statements():
+    source = "const a = `x ${\n f(`${1}`)\n} y`\nconst b = `${'{'}`\nclass C {}\nlet d = `plain`\nfunction e() {}\n"
+    assert entities.braced_entities(source, False) == [("declaration", "a", 1, 3), ("declaration", "b", 4, 4), ("class", "C", 5, 5), ("declaration", "d", 6, 6), ("function", "e", 7, 7)]
+
+
 def test_typescript():
     source = """export interface Point<T> { x: T; at(): void }
 type Pair = {

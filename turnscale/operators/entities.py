@@ -76,6 +76,8 @@ def tokens(source: str) -> list[Token] | None:
         elif kind == "sign" and text == "}" and stack and stack[-1] == "${":
             stack.pop()
             end = template(end)
+            if end is not None and source[end - 1] == "`":
+                add("''", len(stack))  # what comes next stands behind a value
         elif kind == "sign" and text in OPENS:
             add(text, len(stack))
             stack.append(text)
@@ -105,7 +107,7 @@ def statement_end(found: list[Token], at: int, depth: int, last: int) -> int:
         if found[i].text == ";":
             return i
         following = found[i + 1] if i < last and found[i].text not in OPENS else None
-        if following and following.new_line and found[i].text not in GOES_ON_AFTER and following.text not in GOES_ON_BEFORE:
+        if following and following.depth <= depth and following.new_line and found[i].text not in GOES_ON_AFTER and following.text not in GOES_ON_BEFORE:
             return i
     return last
 

@@ -256,6 +256,19 @@ def verify_sample_of_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.agg(F.count("*").alias("chunks"), *right)
 
 
+@register("""WITH t AS (SELECT project_id, path AS file_path, len(string_split(replace(content, '*/', ''), chr(10))) AS n FROM {v_files} WHERE path LIKE '%.ts')
+    SELECT project_id, file_path, CAST(1 AS INT) AS line_start, CAST(5 AS INT) AS line_end, 'class' AS entity_kind, 'Shop' AS entity_name FROM t
+    UNION ALL SELECT project_id, file_path, 2, 4, 'method', 'first' FROM t UNION ALL SELECT project_id, file_path, CAST(n + 8 AS INT), CAST(n + 8 AS INT), 'declaration', 'last' FROM t
+    UNION ALL SELECT project_id, file_path, CAST(n + 9 AS INT), CAST(n + 11 AS INT), 'interface', 'Seen' FROM t""")
+def chunk_entities_braced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TypeScript files with their texts in a comment between a class and other declarations."""
+    body = F.concat(
+        F.lit("export class Shop {\n  first() {\n    return 1\n  }\n}\n/*\n"), F.replace("content", F.lit("*/"), F.lit("")), F.lit("\n*/\nconst last = `${'{'}`\nexport interface Seen {\n  at: number\n}\n")
+    )
+    rows = files(spark, sf_dir).filter(F.endswith("path", F.lit(".ts"))).withColumn("content", body)
+    return corpus.chunk_entities(rows).select("project_id", "file_path", "line_start", "line_end", "entity_kind", "entity_name")
+
+
 @register("SELECT path, doc_id % 4 = 0 AS is_binary FROM {v_files}")
 def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A zero byte at the start of one file in four, and at the end of another, beyond what is looked at."""
