@@ -308,3 +308,57 @@ def test_folds_leave_the_scored_values_out(spark):
     assert sum((r.score >= 0.5) == (r.want == 1) for r in right) > 390
     one = secret_scan.out_of_fold(findings, noise.withColumn("label", F.lit(1)), ["n_chars"], trees=5).collect()
     assert len(one) == 400 and {r.score for r in one} == {None}
+
+
+def plain_features(text):
+    """encode_passages, a passage and a word at a time."""
+    import zlib
+
+    data = (text or "").encode()
+    words = data.split()
+    if not words:
+        return [[0.0] * passage_quality.FEATURES]
+    passages = [words[i : i + passage_quality.PASSAGE] for i in range(0, len(words), passage_quality.PASSAGE)]
+    out = []
+    for n, own in enumerate(passages):
+        spaces = len(own) - (n == len(passages) - 1)
+        counts = [0.0] * passage_quality.N_CLASSES
+        for byte in b"".join(own) + b" " * spaces:
+            counts[next((k for k, kind in enumerate(passage_quality.CLASSES) if byte in kind), len(passage_quality.CLASSES))] += 1
+        counts[4] = data.count(b"\n") / len(passages)
+        lengths = [len(w) for w in own]
+        mean = sum(lengths) / len(own)
+        spread = math.sqrt(max(sum(x * x for x in lengths) / len(own) - mean**2, 0))
+        earlier = set(passages[n - 1]) if n else set()
+        capitals = sum(2 * sum(65 <= b <= 90 for b in w) > len(w) for w in own)
+        bags = [0.0] * passage_quality.BUCKETS
+        for w in own:
+            bags[zlib.crc32(w) % passage_quality.BUCKETS] += 4 / len(own)
+        rest = [mean / 10, spread / 10, len(set(own)) / len(own), sum(w in earlier for w in own) / len(own), capitals / len(own), math.log1p(len(own)) / 5]
+        out.append([4 * c / max(sum(counts), 1) for c in counts] + rest + bags)
+    return out
+
+
+def plain_score(model, bag):
+    """The score of one bag, a passage at a time: gated attention over tanh encodings, then a logistic one."""
+    p, encoded, weights = model.weights, [], []
+    for x in bag:
+        x = [min(max((v - c) / s, -6), 6) for v, c, s in zip(x, model.centre, model.scale, strict=True)]
+        h = [math.tanh(sum(a * b for a, b in zip(x, p["W"][:, k], strict=True)) + p["b"][k]) for k in range(len(p["b"]))]
+        gate = sum(w * math.tanh(sum(a * b for a, b in zip(h, p["V"][:, k], strict=True))) / (1 + math.exp(-sum(a * b for a, b in zip(h, p["U"][:, k], strict=True)))) for k, w in enumerate(p["w"]))
+        encoded.append(h)
+        weights.append(math.exp(gate))
+    z = [sum(w * h[k] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for k in range(len(p["b"]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + float(p["d"]))))
+
+
+def test_features_and_scores_match_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", " \n", "One", "THE end!\n\nof (it) @ 3 = 4", " ".join(sentence(r, 70) for _ in range(3)), "é ü 日本 " * 40, "A\tb\x0bc #tag\n" * 30, "same words " * 100]
+    for text in texts:
+        assert np.allclose(passage_quality.encode_passages(text), plain_features(text), atol=1e-5)
+    docs, labels = corpus(spark, 60)
+    model = passage_quality.train(docs, labels)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {x.doc_id: x.s for x in rows.select("doc_id", passage_quality.score_texts(F.col("text"), model).alias("s")).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx([plain_score(model, plain_features(t)) for t in texts], abs=1e-4)
