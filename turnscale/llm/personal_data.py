@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,13 @@ CUE_BYTES = 64
 SUPPORT, PRECISION, SURE, ROUNDS = 3, 0.5, 0.6, 3
 #: Patterns are looked up by so many hash buckets: this bounds what is sent to tasks, whatever the patterns.
 BUCKETS = 1 << 21
-#: Words that are counted at once.
-WORDS_AT_ONCE = 1 << 18
+#: Patterns of which a task remembers whether they are likely.
+MOST_KNOWN = 500_000
+#: Words that are counted at once, and bytes of a text whose words make one list.
+WORDS_AT_ONCE, LIST_BYTES = 1 << 18, 1 << 22
+
+#: What every pattern and shape has.
+DIGIT, AT = re.compile("[0-9]"), re.compile(r"[(\[{][aA][tT][)\]}]")
 
 Span = tuple[int, int]
 
@@ -118,10 +123,11 @@ def codes(text: str) -> Iterator[Span]:
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, str]]:
     """(start, end, shape) of what might be an identifier and isn't one by its pattern, none over another."""
-    found = [(a, b, 0, "number") for a, b in numbers(text)]
-    found += [(*m.span(), 1, "colons") for m in COLONS.finditer(text) if len(m.group()) > 6] if text.count(":") > 1 else []
-    found += [(a, b, 2, "spelt") for a, b in spelt(text)]
-    found += [(a, b, 3, "code") for a, b in codes(text)]
+    found = [(*m.span(), 1, "colons") for m in COLONS.finditer(text) if len(m.group()) > 6] if text.count(":") > 1 else []
+    if AT.search(text):
+        found += [(a, b, 2, "spelt") for a, b in spelt(text)]
+    if DIGIT.search(text):
+        found += [(a, b, 0, "number") for a, b in numbers(text)] + [(a, b, 3, "code") for a, b in codes(text)]
     kept, end, at = [], 0, 0
     for start, stop, _, shape in sorted(found, key=lambda c: (c[0], c[2])):
         while at < len(taken) and taken[at][1] <= start:
@@ -185,7 +191,10 @@ def identifiers(text: str | None) -> list[dict]:
     """Seeds with their kind, and what has a shape alone, of a whole text."""
     if not text:
         return []
-    seeds = [(a, b, kind) for kind, find in FINDERS.items() for a, b in find(text)]
+    digits = DIGIT.search(text) is not None
+    if not digits and "@" not in text and ":" not in text and AT.search(text) is None:
+        return []  # no pattern and no shape is without one of these
+    seeds = [(a, b, kind) for kind, find in FINDERS.items() if digits or kind == "email" for a, b in find(text)]
     taken, merged = sorted((a, b) for a, b, _ in seeds), []
     for a, b in taken:  # spans of several kinds can overlap
         if merged and a < merged[-1][1]:
@@ -211,24 +220,48 @@ def bucket(cue: bytes) -> int:
     return xxhash.xxh64_intdigest(cue, 42) % BUCKETS
 
 
-def places(texts: Iterable[str | None]) -> Iterator[tuple[bytes, int]]:
-    """(pattern, places) of texts: every word that another follows or precedes, and every two words before a third."""
+def word_lists(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in lists; one of more than CUE_BYTES is empty."""
+    data = lowered(text or "")
+    if len(data) <= LIST_BYTES:
+        words = data.split()  # bytes: ASCII white space alone
+        yield words if max(map(len, words), default=0) <= CUE_BYTES else [w if len(w) <= CUE_BYTES else b"" for w in words]
+        return
+    stream = (m.group() if m.end() - m.start() <= CUE_BYTES else b"" for m in re.finditer(WORD.encode(), data))
+    while words := list(itertools.islice(stream, WORDS_AT_ONCE)):
+        yield words
+
+
+def places(texts: Iterable[str | None], keep: Callable[[bytes], bool] = lambda cue: True) -> Iterator[tuple[bytes, int]]:
+    """(pattern, places) of texts: every word that another follows or precedes, and every two words before a third.
+
+    With keep, only patterns for which it holds; two words only if it holds for the second of them, too. Patterns come
+    several times, once for some WORDS_AT_ONCE words of any texts.
+    """
+
+    def counted(words: list[bytes | None]) -> Iterator[tuple[bytes, int]]:
+        # Each pattern is counted where the word is that takes its place; the first two words were there before. All are
+        # counted, and those taken off that have a text's end in their place.
+        ends = [i for i, w in enumerate(words) if w is None]
+        single, after = Counter(words[1:-1]), Counter(words[2:])
+        single.subtract(words[i - 1] for i in ends if i > 1)
+        after.subtract(words[i + 1] for i in ends if 0 < i < len(words) - 1)
+        trusted = {w for w, n in single.items() if w and n and keep(b"1 " + w)}
+        yield from ((b"1 " + w, single[w]) for w in trusted)
+        yield from ((cue, n) for w, n in after.items() if w and n and keep(cue := b"+ " + w))
+        double = Counter(itertools.compress(zip(words[:-2], words[1:-1], strict=True), map(trusted.__contains__, words[1:-1])))
+        double.subtract(pair for i in ends if i > 1 and (pair := (words[i - 2], words[i - 1]))[1] in trusted)
+        yield from ((cue, n) for (a, b), n in double.items() if a and n and keep(cue := b"2 " + a + b" " + b))
+
+    words: list[bytes | None] = [None, None]  # None parts texts
     for text in texts:
-        stream = (m.group() if m.end() - m.start() <= CUE_BYTES else b"" for m in re.finditer(WORD.encode(), lowered(text or "")))
-        last: list[bytes] = []
-        while words := list(itertools.islice(stream, WORDS_AT_ONCE)):
-            old, words = len(last), last + words
-            # Counted where the word that fills the place is in this turn.
-            first = max(old, 1)
-            for mark, own in ((b"1 ", words[first - 1 : -1]), (b"+ ", words[first:])):
-                for word, n in Counter(own).items():
-                    if word:
-                        yield mark + word, n
-            begin = max(old, 2)
-            for (a, b), n in Counter(zip(words[begin - 2 : -2], words[begin - 1 : -1], strict=True)).items():
-                if a and b:
-                    yield b"2 " + a + b" " + b, n
-            last = words[-2:]
+        for own in word_lists(text):
+            words += own
+            if len(words) > WORDS_AT_ONCE:
+                yield from counted(words)
+                words = words[-2:]
+        words.append(None)
+    yield from counted(words)
 
 
 def place_counts(texts: DataFrame, likely: DataFrame) -> DataFrame:
@@ -243,12 +276,20 @@ def place_counts(texts: DataFrame, likely: DataFrame) -> DataFrame:
     packed = np.packbits(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed).astype(bool)
+        wanted, known = np.unpackbits(packed).tobytes(), {}
+
+        def keep(cue: bytes) -> bool:
+            found = known.get(cue)
+            if found is None:
+                found = bool(wanted[bucket(cue)])
+                if cue[:1] != b"2" and len(known) < MOST_KNOWN:  # single words come again
+                    known[cue] = found
+            return found
+
         for batch in batches:
             sums: Counter = Counter()
-            for cue, n in places(batch.column(0).to_pylist()):
-                if cue in sums or wanted[bucket(cue)]:
-                    sums[cue] += n
+            for cue, n in places(batch.column(0).to_pylist(), keep):
+                sums[cue] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["cue", "places"])
 
     counted = texts.select("text").mapInArrow(run, "cue string, places long").groupBy("cue").agg(F.sum("places").alias("places"))
