@@ -104,6 +104,27 @@ def test_state_goes_with_silence(spark, tmp_path, job, stores):
         assert reader.count() <= 2, store
 
 
+@pytest.mark.parametrize("job", ["completion"])
+def test_keys_share_state(spark, tmp_path, monkeypatch, job):
+    """A thousand keys have as many states as there are buckets, and what comes out is right for each."""
+    monkeypatch.setattr(jobs, "BUCKETS", 4)
+    day, path = 86_400_000, str(tmp_path / "in")
+    times = F.explode(F.array(*[F.lit(n).cast("long") for n in (0, 100, 200, 300)]))
+    rows = spark.range(1000).select(F.format_string("n%04d", "id").alias("node"), "id", times.alias("ms"))
+    for part in (rows.filter("(id + ms / 100) % 2 = 0"), rows.filter("(id + ms / 100) % 2 = 1"), spark.range(1).select(F.lit("last").alias("node"), F.lit(0).cast("long").alias("id"), F.lit(9 * day).alias("ms"))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.with_schema(spark, path, rows.schema, 1)
+    late = {"late": "1 day", "forget_ms": NEVER}
+    if job == "completion":
+        events = stream.select("node", F.timestamp_millis(F.col("ms") + day).alias("ts"), F.when(F.col("id") % 2 == 0, "mutation").otherwise("flatline").alias("kind"), F.lit(150).cast("long").alias("debounce_ms"))
+        out, store = jobs.completion(events, **late), "ends"
+        want = [(f"n{n:04}", day + 450, "debounce") if n % 2 == 0 else (f"n{n:04}", day, "flatline") for n in range(1000)]
+    found = run(spark, out, f"shared_{job}", tmp_path / "c")
+    assert found == sorted(want, key=str)
+    for name in (store, "clock"):
+        assert 0 < spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "c")).count() <= 4
+
+
 def test_embedding_attempts(spark, tmp_path):
     path, rows = str(tmp_path / "e"), spark.createDataFrame([(1, "good"), (2, "bad"), (3, " ")], "id long, text string")
 

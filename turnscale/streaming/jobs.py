@@ -6,7 +6,10 @@ spark.sql.streaming.stateStore.providerClass = org.apache.spark.sql.execution.st
 
 from __future__ import annotations
 
+import itertools
 import pickle
+import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -166,92 +169,138 @@ def live_metrics_sink(path: str, sessions: Callable[[], DataFrame], emit: Callab
 #: How late rows may be, and how long a key may be silent before its state is dropped, unless told otherwise.
 LATE, FORGET_MS = "0 seconds", 86_400_000
 EARLIEST = -(1 << 62)
+#: A call of the state costs about a millisecond, so the keys of a bucket by hash share one state. A stream with far more live
+#: keys can have more buckets: what a bucket has is in memory at once, and is written again when a row of it is due.
+BUCKETS, BUCKET = 1024, "_bucket"
+
+
+def packed(value: Any) -> tuple[bytes]:
+    return (zlib.compress(pickle.dumps(value), 1),)
+
+
+def unpacked(state: tuple) -> Any:
+    return pickle.loads(zlib.decompress(bytes(state[-1])))  # noqa: S301  our own state
+
+
+def plain_values(column: pd.Series) -> list:
+    """The values of a column, None where pandas has NaN for a null."""
+    values = column.tolist()
+    return values if column.dtype.kind in "iub" else [None if x is pd.NaT or isinstance(x, float) and x != x else x for x in values]
 
 
 class InOrder(StatefulProcessor):
     """Rows of a key wait in state until the watermark has passed them, and go on in order of time, whatever batch brought
     them. A key that has been silent for forget_ms of event time loses all its state; one that comes back starts anew.
 
-    `ts` is the event time; rows without one go first. A key has one timer: for its earliest row that waits, or for the
-    end of its silence.
+    `ts` is the event time; rows without one go first. The group is a bucket of keys; it has one timer: for the earliest row
+    that waits in it, or the next end of one of its keys' silence. What a job knows of keys is in its `stores`, each a dict by
+    key: `kept` has them by name.
     """
 
+    stores: tuple[str, ...] = ()
+
     def __init__(self, columns: list[str], order: list[str], out: list[str], forget_ms: int):
         self.columns, self.order, self.out, self.forget_ms = columns, order, out, forget_ms
+        self.key = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, row binary")
-        self.clock = handle.getValueState("clock", "due long, latest long")
-        self.open(handle)
+        self.waiting = handle.getListState("waiting", "us long, rows binary")
+        self.timer = handle.getValueState("timer", "due long")
+        self.clock = handle.getValueState("clock", "latest binary")
+        self.states = {name: handle.getValueState(name, "nodes binary") for name in self.stores}
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        """Make the job's own state."""
-
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
-        """What the next rows of a key bring out, in order; changes the job's own state."""
-        raise NotImplementedError
-
-    def forget(self) -> None:
-        """Drop the job's own state."""
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
+        """What the next rows of a key bring out, in order; changes what is kept of it."""
         raise NotImplementedError
 
-    def due_alone(self) -> int | None:
+    def due_alone(self, key: Any, kept: dict[str, dict]) -> int | None:
         """A time in ms at which something comes out without a row, and what it is: see `expire`."""
         return None
 
-    def expire(self, key: Any) -> list[tuple]:
+    def expire(self, key: Any, kept: dict[str, dict]) -> list[tuple]:
         return []
 
-    def _timer(self, before: int | None, due: int) -> None:
+    def _set_timer(self, before: int | None, due: int) -> None:
         if before != due:
             if before is not None:
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        earliest, latest, new = None, EARLIEST, []
+        earliest = None
         for frame in rows:
             times = pd.to_datetime(frame["ts"])
-            known = times.notna().tolist()
             stamps = times.to_numpy("datetime64[us]").astype("int64").tolist()
-            for there, us, row in zip(known, stamps, frame[self.columns].itertuples(index=False, name=None), strict=True):
-                new.append((us if there else EARLIEST, pickle.dumps(row)))
-        self.waiting.appendList(new)
-        earliest, latest = min(us for us, _ in new), max(us for us, _ in new)
-        due, before_latest = self.clock.get() if self.clock.exists() else (None, EARLIEST)
+            stamps = [us if there else EARLIEST for there, us in zip(times.notna().tolist(), stamps, strict=True)]
+            least = min(stamps)
+            self.waiting.appendValue((least, *packed([stamps, plain_values(frame[self.key]), [plain_values(frame[c]) for c in self.columns]])))
+            earliest = least if earliest is None else min(earliest, least)
+        before = self.timer.get()
         soon = max(-(-earliest // 1000), 0)
-        at = soon if due is None else min(due, soon)
-        self._timer(due, at)
-        self.clock.update((at, max(before_latest, latest)))
+        self._set_timer(before and before[0], min(before[0], soon) if before else soon)
         return iter(())
 
+    def _due_rows(self, now: int) -> tuple[dict[Any, list[tuple]], dict[Any, int]]:
+        """The rows until now by key, as (us, row), and the earliest time of those that a key has later; these go on waiting."""
+        ready: dict[Any, list[tuple]] = {}
+        later: dict[Any, int] = {}
+        rest: list[tuple] = []
+        for block in self.waiting.get() if self.waiting.exists() else ():
+            stamps, keys, columns = unpacked(block)
+            for us, key, row in zip(stamps, keys, zip(*columns, strict=True), strict=True):
+                if us <= now * 1000:
+                    ready.setdefault(key, []).append((us, row))
+                else:
+                    rest.append((us, key, row))
+                    later[key] = min(us, later.get(key, us))
+        if ready and rest:
+            stamps, keys, rows = zip(*rest, strict=True)
+            self.waiting.put([(min(stamps), *packed([stamps, keys, list(zip(*rows, strict=True))]))])
+        elif ready:
+            self.waiting.clear()
+        return ready, later
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due, latest = self.clock.get()
-        waiting = [(us, bytes(row)) for us, row in self.waiting.get()] if self.waiting.exists() else []
-        ready = [x for x in waiting if x[0] <= now * 1000]
-        rest = [x for x in waiting if x[0] > now * 1000]
+        ready, later = self._due_rows(now)
+        states = {"": self.clock, **self.states}
+        kept = {name: unpacked(found) if (found := state.get()) else {} for name, state in states.items()}
+        latest = kept.pop("")
+        places = [self.columns.index(c) for c in self.order]
         out: list[tuple] = []
-        if ready:
-            frame = pd.DataFrame([pickle.loads(row) for _, row in ready], columns=self.columns)  # noqa: S301  our own state
-            frame = frame.assign(_us=[us for us, _ in ready]).sort_values(["_us", *self.order], kind="stable").drop(columns="_us")
-            out += self.advance(key, frame)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        alone = self.due_alone()
-        if alone is not None and alone <= now and not (rest and min(us for us, _ in rest) <= alone * 1000):
-            out += self.expire(key)
-            alone = self.due_alone()
-        silent = max(latest, 0) // 1000 + self.forget_ms
-        if not rest and alone is None and now >= silent:
-            self.forget()
-            self.clock.clear()
+        for node, rows in ready.items():
+            rows.sort(key=lambda r: (r[0], *((r[1][i] is None, 0 if r[1][i] is None else r[1][i]) for i in places)))
+            out += self.advance(node, [row for _, row in rows], kept)
+            latest[node] = max(latest.get(node, EARLIEST), rows[-1][0])
+        due: int | None = None
+        for node in list(latest):
+            alone = self.due_alone(node, kept)
+            if alone is not None and alone <= now:
+                out += self.expire(node, kept)
+                alone = self.due_alone(node, kept)
+            nxt = alone
+            if node not in later and alone is None:
+                nxt = max(latest[node], 0) // 1000 + self.forget_ms
+                if now >= nxt:
+                    del latest[node]
+                    for store in kept.values():
+                        store.pop(node, None)
+                    continue
+            if nxt is not None and (due is None or nxt < due):
+                due = nxt
+        if later:
+            soon = max(-(-min(later.values()) // 1000), 0)
+            due = soon if due is None else min(due, soon)
+        for name, state in states.items():
+            nodes = kept[name] if name else latest
+            state.update(packed(nodes)) if nodes else state.clear()
+        if due is None:
+            self.timer.clear()
         else:
-            options = [max(-(-min(us for us, _ in rest) // 1000), 0)] if rest else []
-            options += [alone] if alone is not None else []
-            nxt = min(options) if options else silent
-            self.handle.registerTimer(nxt)
-            self.clock.update((nxt, latest))
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
         if out:
             yield pd.DataFrame(out, columns=self.out)
 
@@ -266,34 +315,32 @@ def from_ms(ms: str) -> Column:
 
 def in_order(rows: DataFrame, key: str, processor: InOrder, schema: Any, late: str) -> DataFrame:
     """The processor over rows (key, ts and others); rows that come `late` after the newest are left out."""
-    return rows.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    processor.key = key
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn(BUCKET, bucket).withWatermark("ts", late).groupBy(BUCKET).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 class RollingDedup(InOrder):
     """Turns of a client whose hash isn't among its last different ones."""
 
+    stores = ("recent",)
+
     def __init__(self, columns: list[str], size: int, forget_ms: int):
         super().__init__([*columns, "text_djb2"], ["id"] if "id" in columns else [], columns, forget_ms)
         self.size = size
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "hash long")
-
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
-        recent, out = [r[0] for r in self.recent.get()] if self.recent.exists() else [], []
-        for hash_, text, row in zip(rows["text_djb2"], rows["text"], rows[self.out].itertuples(index=False, name=None), strict=True):
-            kept = True
-            if text:
-                (kept,), recent = signals.keep_unseen([int(hash_)], self.size, recent)
-            if kept:
-                out.append(row)
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
+        recent, out, text = kept["recent"].get(key, []), [], self.out.index("text")
+        for row in rows:
+            there = True
+            if row[text]:
+                (there,), recent = signals.keep_unseen([int(row[-1])], self.size, recent)
+            if there:
+                out.append(row[:-1])
         if recent:
-            self.recent.put([(h,) for h in recent])
+            kept["recent"][key] = recent
         return out
 
-    def forget(self) -> None:
-        self.recent.clear()
-
 
 def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = signals.DEDUP_SIZE, late: str = LATE, forget_ms: int = 30 * FORGET_MS) -> DataFrame:
     rows = turns.withColumns({"text_djb2": djb2(F.coalesce("text", F.lit(""))), "ts": F.col("recorded_at")})
@@ -303,41 +350,39 @@ def rolling_dedup(turns: DataFrame, key: str = "session_id", size: int = signals
 class Velocity(InOrder):
     """The first moment at which a node's text streams; as signals.velocity_candidates, incrementally."""
 
+    stores = ("node", "recent")
+
     def __init__(self, window_ms: int, span_ms: int, rate: float, samples: int, chars: float, forget_ms: int):
         super().__init__(["ts_ms", "chars_added"], ["ts_ms"], ["node", "ts_ms", "detector", "confidence"], forget_ms)
         self.limits = (window_ms, span_ms, rate, samples, chars)
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "ts long, chars long")
-        self.node = handle.getValueState("node", "first long, fired boolean")
-
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
         window, span, rate, samples, chars = self.limits
-        first, fired = self.node.get() if self.node.exists() else (None, False)
-        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        hits = []
-        for ts, same in rows[rows["chars_added"] > 0].groupby("ts_ms"):  # rows of one moment count together
+        first, fired = kept["node"].get(key, (None, False))
+        recent = deque(kept["recent"].get(key, ()))
+        total, hits = sum(n for _, n in recent), []
+        added = ((int(ts), int(n)) for ts, n in rows if ts is not None and n is not None and n > 0)
+        for ts, same in itertools.groupby(added, key=lambda r: r[0]):  # rows of one moment count together
             if fired:
                 break
-            ts, added = int(ts), [int(n) for n in same["chars_added"]]
             first = ts if first is None else first
-            recent = [r for r in recent if ts - r[0] < window] + [(ts, n) for n in added]
+            while recent and ts - recent[0][0] >= window:
+                total -= recent.popleft()[1]
+            for row in same:
+                recent.append(row)
+                total += row[1]
             gone = ts - first
-            if len(recent) >= samples and gone >= span and gone and len(recent) * 1000 / gone >= rate and sum(r[1] for r in recent) / len(recent) >= chars:
+            if len(recent) >= samples and gone >= span and gone and len(recent) * 1000 / gone >= rate and total / len(recent) >= chars:
                 fired = True
-                hits.append((key[0], ts, "velocity", signals.VELOCITY_CONFIDENCE))
+                hits.append((key, ts, "velocity", signals.VELOCITY_CONFIDENCE))
         if first is not None:
-            self.node.update((first, fired))
+            kept["node"][key] = (first, fired)
         if fired:
-            self.recent.clear()
+            kept["recent"].pop(key, None)
         elif recent:
-            self.recent.put(recent)
+            kept["recent"][key] = list(recent)
         return hits
 
-    def forget(self) -> None:
-        self.recent.clear()
-        self.node.clear()
-
 
 def velocity(
     mutations: DataFrame, window_ms: int = signals.WINDOW_MS, span_ms: int = signals.LEAST_SPAN, rate: float = signals.LEAST_RATE, samples: int = signals.LEAST_SAMPLES,
@@ -351,35 +396,30 @@ def velocity(
 class Vote(InOrder):
     """Promotes a node once its detectors together are confident enough."""
 
+    stores = ("latest", "fired")
+
     def __init__(self, least: float, tie: list[str], forget_ms: int):
         super().__init__(["detector", "confidence", "ts_ms", *tie], ["ts_ms", *tie], ["node", "ts_ms", "confidence"], forget_ms)
         self.least = least
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getMapState("latest", "detector string", "ts long, confidence double")
-        self.fired = handle.getValueState("fired", "fired boolean")
-
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
-        if self.fired.exists():
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
+        if key in kept["fired"]:
             return []
-        latest = {k[0]: v[1] for k, v in self.latest.iterator()} if self.latest.exists() else {}
-        for detector, confidence, ts in zip(rows["detector"], rows["confidence"], rows["ts_ms"], strict=True):
+        latest = kept["latest"].setdefault(key, {})
+        for detector, confidence, ts, *_ in rows:
+            if confidence is None:
+                continue
             latest[detector] = float(confidence)
-            self.latest.updateValue((detector,), (int(ts), float(confidence)))
             miss = 1.0
             for c in latest.values():
                 miss *= 1 - c
             score = round(max(1 - miss, *latest.values()), 9)
             if score >= self.least:
-                self.fired.update((True,))
-                self.latest.clear()
-                return [(key[0], int(ts), score)]
+                kept["fired"][key] = True
+                del kept["latest"][key]
+                return [(key, None if ts is None else int(ts), score)]
         return []
 
-    def forget(self) -> None:
-        self.latest.clear()
-        self.fired.clear()
-
 
 def vote(candidates: DataFrame, least: float = 0.7, late: str = LATE, forget_ms: int = FORGET_MS) -> DataFrame:
     """Of equal times the later row by event_id, if there is one, counts after the other."""
@@ -390,53 +430,52 @@ def vote(candidates: DataFrame, least: float = 0.7, late: str = LATE, forget_ms:
 
 #: Events that end an answer, in order of precedence at one moment: kind, source, and whether it settles first.
 ENDINGS = [("sse_end", "sse_interceptor", True), ("stop_gone", "stop_button", True), ("flatline", "flatline", False)]
+RANKS = {kind: n for n, (kind, _, _) in enumerate(ENDINGS)}
 
 
 class Completion(InOrder):
     """The end of a node's answer: the first of an event that ends it, after settling, and silence after its mutations."""
 
+    # The end by silence, which mutations put off, the end by an event, which nothing does, its precedence, and whether it is done.
+    stores = ("ends",)
+    NONE = (None, None, None, False)
+
     def __init__(self, settle_ms: int, forget_ms: int):
         super().__init__(["ts_ms", "kind", "debounce_ms"], ["ts_ms"], ["node", "completed_ms", "source"], forget_ms)
         self.settle = settle_ms
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        # The end by silence, which mutations put off, and the end by an event, which nothing does, with its precedence.
-        self.ends = handle.getValueState("ends", "silence long, event long, rank int, done boolean")
-
     def _first(self, silence: int | None, event: int | None) -> int | None:
         return min((x for x in (silence, event) if x is not None), default=None)
 
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
-        silence, event, rank, done = self.ends.get() if self.ends.exists() else (None, None, None, False)
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
+        silence, event, rank, done = kept["ends"].get(key, self.NONE)
         if done:
             return []
-        ranks = {kind: n for n, (kind, _, _) in enumerate(ENDINGS)}
-        for ts, kind, wait in zip(rows["ts_ms"].tolist(), rows["kind"], rows["debounce_ms"].tolist(), strict=True):
+        for ts, kind, wait in rows:
+            if ts is None:
+                continue
             end = self._first(silence, event)
             if end is not None and ts >= end:
                 break
             if kind == "mutation":
                 silence = int(ts + wait)
-            elif kind in ranks:
-                at = int(ts + self.settle * ENDINGS[ranks[kind]][2])
-                if event is None or (at, ranks[kind]) < (event, rank):
-                    event, rank = at, ranks[kind]
+            elif kind in RANKS:
+                at = int(ts + self.settle * ENDINGS[RANKS[kind]][2])
+                if event is None or (at, RANKS[kind]) < (event, rank):
+                    event, rank = at, RANKS[kind]
         if silence is not None or event is not None:
-            self.ends.update((silence, event, rank, False))
+            kept["ends"][key] = (silence, event, rank, False)
         return []
 
-    def due_alone(self) -> int | None:
-        silence, event, _, done = self.ends.get() if self.ends.exists() else (None, None, None, True)
+    def due_alone(self, key: Any, kept: dict[str, dict]) -> int | None:
+        silence, event, _, done = kept["ends"].get(key, self.NONE)
         return None if done else self._first(silence, event)
 
-    def expire(self, key: Any) -> list[tuple]:
-        silence, event, rank, _ = self.ends.get()
-        self.ends.update((silence, event, rank, True))
+    def expire(self, key: Any, kept: dict[str, dict]) -> list[tuple]:
+        silence, event, rank, _ = kept["ends"][key]
+        kept["ends"][key] = (silence, event, rank, True)
         by_event = event is not None and (silence is None or event <= silence)
-        return [(key[0], event, ENDINGS[rank][1]) if by_event else (key[0], silence, "debounce")]
-
-    def forget(self) -> None:
-        self.ends.clear()
+        return [(key, event, ENDINGS[rank][1]) if by_event else (key, silence, "debounce")]
 
 
 def completion(events: DataFrame, settle_ms: int = 300, late: str = "1 second", forget_ms: int = FORGET_MS) -> DataFrame:
@@ -452,28 +491,23 @@ def completion(events: DataFrame, settle_ms: int = 300, late: str = "1 second",
 class Roots(InOrder):
     """Changes of a client's workspace roots from list to list."""
 
+    stores = ("roots",)
+
     def __init__(self, forget_ms: int):
         super().__init__(["at", "roots"], ["at"], ["client_id", "ts", "change", "root"], forget_ms)
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.roots = handle.getMapState("roots", "root string", "since long")
-
-    def advance(self, key: Any, rows: pd.DataFrame) -> list[tuple]:
-        before = {k[0] for k in self.roots.keys()} if self.roots.exists() else set()
-        out = []
-        for ts, roots in zip(rows["at"].tolist(), rows["roots"], strict=True):
+    def advance(self, key: Any, rows: list[tuple], kept: dict[str, dict]) -> list[tuple]:
+        before, out = kept["roots"].get(key, set()), []
+        for ts, roots in rows:
             now = {r for r in (roots if roots is not None else []) if r and r.startswith("file://")}
-            out += [(key[0], ts, "added", r) for r in sorted(now - before)] + [(key[0], ts, "removed", r) for r in sorted(before - now)]
-            for r in now - before:
-                self.roots.updateValue((r,), (int(ts),))
-            for r in before - now:
-                self.roots.removeKey((r,))
+            out += [(key, ts, "added", r) for r in sorted(now - before)] + [(key, ts, "removed", r) for r in sorted(before - now)]
             before = now
+        if before:
+            kept["roots"][key] = before
+        else:
+            kept["roots"].pop(key, None)
         return out
 
-    def forget(self) -> None:
-        self.roots.clear()
-
 
 def roots(snapshots: DataFrame, late: str = LATE, forget_ms: int = 30 * FORGET_MS) -> DataFrame:
     """Changes of (client_id, ts, roots), ts in ms. A client that was silent for forget_ms counts as without roots."""
