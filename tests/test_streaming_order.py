@@ -104,7 +104,7 @@ def test_state_goes_with_silence(spark, tmp_path, job, stores):
         assert reader.count() <= 2, store
 
 
-@pytest.mark.parametrize("job", ["completion"])
+@pytest.mark.parametrize("job", ["completion", "vote"])
 def test_keys_share_state(spark, tmp_path, monkeypatch, job):
     """A thousand keys have as many states as there are buckets, and what comes out is right for each."""
     monkeypatch.setattr(jobs, "BUCKETS", 4)
@@ -119,6 +119,10 @@ def test_keys_share_state(spark, tmp_path, monkeypatch, job):
         events = stream.select("node", F.timestamp_millis(F.col("ms") + day).alias("ts"), F.when(F.col("id") % 2 == 0, "mutation").otherwise("flatline").alias("kind"), F.lit(150).cast("long").alias("debounce_ms"))
         out, store = jobs.completion(events, **late), "ends"
         want = [(f"n{n:04}", day + 450, "debounce") if n % 2 == 0 else (f"n{n:04}", day, "flatline") for n in range(1000)]
+    elif job == "vote":
+        votes = stream.select("node", F.col("ms").alias("ts_ms"), F.format_string("d%d", "ms").alias("detector"), ((F.col("id") % 2 + 2) / 10).alias("confidence"))
+        out, store = jobs.vote(votes, 0.6, **late), "latest"
+        want = [(f"n{n:04}", 200, 0.657) for n in range(1, 1000, 2)]
     found = run(spark, out, f"shared_{job}", tmp_path / "c")
     assert found == sorted(want, key=str)
     for name in (store, "clock"):
