@@ -104,7 +104,7 @@ def test_state_goes_with_silence(spark, tmp_path, job, stores):
         assert reader.count() <= 2, store
 
 
-@pytest.mark.parametrize("job", ["completion", "vote", "roots"])
+@pytest.mark.parametrize("job", ["completion", "vote", "roots", "velocity"])
 def test_keys_share_state(spark, tmp_path, monkeypatch, job):
     """A thousand keys have as many states as there are buckets, and what comes out is right for each."""
     monkeypatch.setattr(jobs, "BUCKETS", 4)
@@ -127,6 +127,10 @@ def test_keys_share_state(spark, tmp_path, monkeypatch, job):
         lists = stream.select(F.col("id").alias("client_id"), F.col("ms").alias("ts"), F.when(F.col("ms") < 200, F.array(F.format_string("file:///%d", "id"))).otherwise(F.array(F.lit("file:///all"))).alias("roots"))
         out, store = jobs.roots(lists.filter("client_id > 0 or ts > 1000"), **late), "roots"
         want = [row for n in range(1, 1000) for row in [(n, 0, "added", f"file:///{n}"), (n, 200, "added", "file:///all"), (n, 200, "removed", f"file:///{n}")]]
+    else:
+        added = stream.select("node", F.col("ms").alias("ts_ms"), (F.col("id") % 3 * 2).alias("chars_added"))
+        out, store = jobs.velocity(added, 1000, 150, 1.0, 3, 3.0, **late), "node"
+        want = [(f"n{n:04}", 200, "velocity", signals.VELOCITY_CONFIDENCE) for n in range(1000) if n % 3 == 2]
     found = run(spark, out, f"shared_{job}", tmp_path / "c")
     assert found == sorted(want, key=str)
     for name in (store, "clock"):
