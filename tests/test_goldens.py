@@ -277,3 +277,20 @@ def test_nothing_else_imports_the_training_data_operators():
                 tree = ast.parse(open(os.path.join(folder, name)).read())
                 used = [getattr(n, "module", None) or "" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)] + [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names]
                 assert not any("llm" in u.split(".") for u in used)
+
+
+def test_a_task_lists_many_folders(spark, tmp_path):
+    from turnscale.sources import readers
+
+    for n in range(100):
+        (tmp_path / "tree" / f"d{n}").mkdir(parents=True)
+        (tmp_path / "tree" / f"d{n}" / "a.py").write_text("x" * (n + 1))
+    context, before = spark.sparkContext, spark.conf.get(readers.LISTING, None)
+    context.setJobGroup("tree", "tree")
+    rows = readers.read_source_tree(spark, f"file://{tmp_path}/tree", "p")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for job in tracker.getJobIdsForGroup("tree") for s in tracker.getJobInfo(job).stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism
+    assert spark.conf.get(readers.LISTING, None) == before
+    assert sorted(map(tuple, rows.select("path", "length").collect())) == sorted((f"d{n}/a.py", n + 1) for n in range(100))

@@ -79,7 +79,8 @@ def read_source_tree_of_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts forty times, which puts most of these over a megabyte."""
     path, pack = scratch(spark, "packs"), F.expr("doc_id DIV 100")
     rows = view(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", pack.alias("pack"), F.explode(F.array_repeat("text", F.when(pack % 8 == 0, 40).otherwise(1))).alias("text"))
-    rows.repartition("source", "pack").write.partitionBy("source", "pack").text(path)
+    # The work is in the number of files, so their tasks don't go by bytes.
+    rows.repartition(4 * spark.sparkContext.defaultParallelism, "source", "pack").write.partitionBy("source", "pack").text(path)
     found = readers.read_source_tree(spark, path, "p")
     return found.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder"), F.octet_length("content").cast("long").alias("bytes"))
 

@@ -25,6 +25,7 @@ PROVIDERS = {
     "x-ai": "xai", "perplexity": "perplexity", "cohere": "cohere",
 }
 FALLBACK_RATE, FALLBACK_DATE = 1.36, "2026-06-13"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def with_turn_defaults(rows: DataFrame) -> DataFrame:
@@ -43,9 +44,15 @@ def read_turns(spark: SparkSession, path: str, streaming: bool = False) -> DataF
 def read_source_tree(spark: SparkSession, root: str, project_id: str) -> DataFrame:
     """(project_id, path, length, content) of a folder's source files; path is relative.
 
-    Folders, names, suffixes and sizes are decided before any content is read: the binary source prunes the column.
+    Folders, names, suffixes and sizes are decided before any content is read: the binary source prunes the column. A task
+    lists many folders: unless told otherwise, Spark starts one for each.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    before = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.unset(LISTING) if before is None else spark.conf.set(LISTING, before)
     # The scheme may be written with one slash or three, so the root is found by its plain path.
     plain = root.split("://", 1)[-1].rstrip("/")
     start = F.instr(F.col("path"), F.lit(plain + "/"))
