@@ -92,3 +92,13 @@ def test_chunks(spark):
     got = sorted((r.file_path, r.entity_kind, str(r.entity_name), r.line_start, r.line_end, r.text.split("\n")[0]) for r in corpus.chunk_entities(files).collect())
     assert len([r for r in got if r[0] == "a.js"]) == 9 and ("a.js", "function", "load", 13, 15, "async function load(url) {") in got
     assert [r[:3] for r in got if r[0] != "a.js"] == [("b.ts", "file", "None"), ("c.tsx", "file", "None"), ("d.ts", "enum", "E")]
+
+
+def test_entities_are_read_once(spark):
+    """One evaluation in Python for files of all kinds."""
+    rows = [("p", "a.py", "def f():\n    return 1\n"), ("p", "b.py", "not python"), ("p", "c.ts", "class A {\n  b() {\n  }\n}\n"), ("p", "d.md", "text"), ("p", "e.go", None)]
+    files = spark.createDataFrame(rows, "project_id string, path string, content string")
+    chunks = corpus.chunk_entities(files)
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("EvalPython [entities") == 1
+    got = sorted((r.file_path, r.entity_kind, r.entity_name, r.line_start, r.line_end, r.language) for r in chunks.collect())
+    assert got == [("a.py", "function", "f", 1, 2, "python"), ("b.py", "file", None, 1, 1, "python"), ("c.ts", "class", "A", 1, 4, "typescript"), ("c.ts", "method", "b", 2, 3, "typescript"), ("d.md", "file", None, 1, 1, None)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,20 +184,27 @@ def with_chunk_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"language": detect_language(F.col("file_path")), "stable_hash": stable_hash(F.col("text")), "token_estimate": tokens_code(F.col("text"))})
 
 
+def window_parts(lines: Column, small: int, window: int) -> Column:
+    """Chunks of a file's lines: one if it has `small` or fewer, else one for each window; blank ones are left out."""
+    n = F.size(lines)
+    whole = n <= small
+    starts = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(window)))
+    size = F.when(whole, n).otherwise(F.lit(window))
+
+    def part(s: Column, i: Column) -> Column:
+        text, name = F.array_join(F.slice(lines, s + 1, size), "\n"), F.when(~whole, F.concat(F.lit("window_"), i.cast("string")))
+        kind = F.when(whole, "file").otherwise("file_window")
+        return F.struct((s + 1).alias("line_start"), F.least(s + size, n).alias("line_end"), text.alias("text"), kind.alias("entity_kind"), name.alias("entity_name"))
+
+    return F.filter(F.transform(starts, part), lambda c: F.rlike(c["text"], F.lit(r"\S")))
+
+
 def chunk_windows(files: DataFrame, small: int = SMALL_LINES, window: int = WINDOW_LINES) -> DataFrame:
     """Chunks of whole files of `small` lines or fewer, and of windows of other files; blank ones are left out."""
     lines = F.split(F.col("content").cast("string"), "\n", -1)
-    rows = files.select("project_id", F.col("path").alias("file_path"), lines.alias("lines")).withColumn("n", F.size("lines"))
-    starts = F.when(F.col("n") <= small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1, F.lit(window)))
-    size = F.when(F.col("n") <= small, F.col("n")).otherwise(F.lit(window))
-    parts = F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + size, F.col("n")).alias("line_end"), F.array_join(F.slice("lines", s + 1, size), "\n").alias("text")))
-    whole = F.col("n") <= small
-    rows = rows.select("project_id", "file_path", whole.alias("whole"), F.posexplode(parts).alias("i", "c")).select("project_id", "file_path", "whole", "i", "c.*")
-    rows = rows.filter(F.col("text").rlike(r"\S")).select(
-        "project_id", "file_path", "line_start", "line_end", "text", F.when(F.col("whole"), "file").otherwise("file_window").alias("entity_kind"),
-        F.when(~F.col("whole"), F.concat(F.lit("window_"), F.col("i").cast("string"))).alias("entity_name"),
-    )
-    return with_chunk_fields(rows)
+    rows = files.select("project_id", F.col("path").alias("file_path"), lines.alias("lines"))
+    rows = rows.select("project_id", "file_path", F.explode(window_parts(F.col("lines"), small, window)).alias("c"))
+    return with_chunk_fields(rows.select("project_id", "file_path", "c.*"))
 
 
 def python_entities(source: str | None) -> list[tuple[str, str, int, int]] | None:
@@ -220,6 +228,7 @@ def python_entities(source: str | None) -> list[tuple[str, str, int, int]] | Non
 
 #: Languages of which entities are read, and whether they have types.
 BRACED = {"javascript": False, "typescript": True, "tsx": True}
+ENTITY = pa.struct([("kind", pa.string()), ("name", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
 
 
 def source_entities(language: str | None, source: str | None) -> list[tuple[str, str | None, int, int]] | None:
@@ -233,22 +242,25 @@ def chunk_entities(files: DataFrame) -> DataFrame:
     """A chunk for each top-level function, class or other declaration, and each method, of Python, JavaScript and
     TypeScript files; windows for all that have none, or can't be read, and for other languages."""
 
-    @F.pandas_udf("array<struct<kind:string,name:string,first:int,last:int>>")
-    def entities(language: pd.Series, content: pd.Series) -> pd.Series:
-        found = [source_entities(a, b) for a, b in zip(language, content, strict=True)]
-        return pd.Series([None if e is None else [dict(zip(("kind", "name", "first", "last"), x, strict=True)) for x in e] for e in found], dtype=object)
-
-    rows = files.withColumn("content", F.col("content").cast("string")).select("project_id", "path", "content", detect_language(F.col("path")).alias("language"))
-    readable = F.coalesce(F.col("language").isin("python", *BRACED), F.lit(False))
-    read = rows.filter(readable).withColumn("entities", entities("language", "content"))
-    lines = F.split("content", "\n", -1)
-    found = read.filter("entities is not null").select("project_id", F.col("path").alias("file_path"), lines.alias("lines"), F.explode("entities").alias("e"))
-    found = found.select(
-        "project_id", "file_path", F.col("e.first").alias("line_start"), F.col("e.last").alias("line_end"),
-        F.array_join(F.slice("lines", F.col("e.first"), F.col("e.last") - F.col("e.first") + 1), "\n").alias("text"), F.col("e.kind").alias("entity_kind"), F.col("e.name").alias("entity_name"),
-    )
-    others = read.filter("entities is null").drop("entities").unionByName(rows.filter(~readable))
-    return with_chunk_fields(found).unionByName(chunk_windows(others))
+    @F.arrow_udf("array<struct<kind:string,name:string,first:int,last:int>>")
+    def entities(language: pa.Array, content: pa.Array) -> pa.Array:
+        # One text at a time is a Python string; the others stay in Arrow.
+        found = (source_entities(a.as_py(), b.as_py()) for a, b in zip(language, content, strict=True))
+        return pa.array((None if e is None else [dict(zip(ENTITY.names, x, strict=True)) for x in e] for e in found), pa.list_(ENTITY))
+
+    language, content = detect_language(F.col("path")), F.col("content").cast("string")
+    read = F.when(language.isin("python", *BRACED), language)
+    rows = files.select("project_id", F.col("path").alias("file_path"), content.alias("content"), read.alias("read"))
+    # The entities are read once, for both kinds of files.
+    rows = rows.withColumn("entities", entities("read", F.when(F.col("read").isNotNull(), F.col("content"))))
+    rows = rows.select("project_id", "file_path", "entities", F.split("content", "\n", -1).alias("lines"))
+
+    def part(e: Column) -> Column:
+        text = F.array_join(F.slice("lines", e["first"], e["last"] - e["first"] + 1), "\n")
+        return F.struct(e["first"].alias("line_start"), e["last"].alias("line_end"), text.alias("text"), e["kind"].alias("entity_kind"), e["name"].alias("entity_name"))
+
+    parts = F.when(F.col("entities").isNotNull(), F.transform("entities", part)).otherwise(window_parts(F.col("lines"), SMALL_LINES, WINDOW_LINES))
+    return with_chunk_fields(rows.select("project_id", "file_path", F.explode(parts).alias("c")).select("project_id", "file_path", "c.*"))
 
 
 def ingest_corpus(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
