@@ -289,10 +289,14 @@ def backfill_code(files: DataFrame, opt_in: DataFrame, existing: DataFrame) -> D
     return skip_known_hashes(chunk_entities(indexed), existing)
 
 
+def fresh_chunks(files: DataFrame) -> DataFrame:
+    """The chunks of those files that must be indexed."""
+    return chunk_entities(decide_files(files).filter("indexed").select(*files.columns))
+
+
 def reindex(files: DataFrame, old_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunk table, chunk diff) after these files changed; files that must not be indexed, or are empty, lose their chunks."""
-    decided = decide_files(files)
-    fresh = chunk_entities(decided.filter("indexed").select(*files.columns))
+    fresh = fresh_chunks(files)
     touched = files.select("project_id", F.col("path").alias("file_path"))
     before = old_chunks.join(touched.distinct(), ["project_id", "file_path"], "left_semi")
     return apply_chunk_diff(fresh, old_chunks, touched), diff_chunks(fresh, before)
@@ -308,11 +312,11 @@ def sweep(current: DataFrame, previous: DataFrame, old_chunks: DataFrame) -> tup
     """(chunk table, summary) of a new snapshot of files against the one before."""
     diff = diff_snapshots(content_hashes(current), content_hashes(previous))
     changed = current.join(diff.filter("change in ('new', 'modified')"), ["project_id", "path"], "left_semi")
-    kept = purge_missing_files(old_chunks, diff, "file_path")
-    chunks, chunk_diff = reindex(changed, kept)
-    gone = old_chunks.join(kept.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_anti")
-    removed = gone.select("project_id", "file_path", "stable_hash").distinct().withColumn("change", F.lit("remove"))
-    return chunks, reindex_summary(diff, chunk_diff.unionByName(removed))
+    chunks, _ = reindex(changed, purge_missing_files(old_chunks, diff, "file_path"))
+    # Old chunks can be a long plan: those of changed files and of files that are gone are taken from it together.
+    touched = diff.filter("change != 'unchanged'").select("project_id", F.col("path").alias("file_path"))
+    before = old_chunks.join(touched, ["project_id", "file_path"], "left_semi")
+    return chunks, reindex_summary(diff, diff_chunks(fresh_chunks(changed), before))
 
 
 def verify_sample(chunks: DataFrame, vectors: DataFrame, n: int = 10, seed: int = 7) -> DataFrame:
