@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnscale.operators import rollups, signals
 from turnscale.operators.embedding import hash_embedder
+from turnscale.plans import composite_queries
 from turnscale.streaming import jobs
 
 LATE, NEVER, LAST = "1000 days", 10**15, 4_102_444_800_000
@@ -176,3 +177,22 @@ def test_live_metrics(spark, tmp_path):
         assert len(shown) == number + 1
     sink()(turns.limit(0), 3)
     assert len(shown) == 3
+
+
+@pytest.mark.parametrize("name", ["stream_vote", "stream_roots", "stream_velocity"])
+def test_few_state_partitions(spark, tmp_path, monkeypatch, name):
+    """A session's 200 partitions aren't those of the state, its changes are committed, and a batch is read by many tasks."""
+    setting = "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(composite_queries, "scratch", lambda spark, name: str(tmp_path / name))
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 200)
+    try:
+        found = composite_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(setting) == "200"
+        assert found.count() > 0
+    finally:
+        spark.conf.set(setting, before)
+    state = tmp_path / "stream-checkpoint" / "state" / "0"
+    assert len([p for p in state.iterdir() if p.name.isdigit()]) == jobs.PARTITIONS
+    assert list(state.rglob("*.changelog"))
+    assert len(list((tmp_path / "arrivals").glob("*.parquet"))) == 3 * composite_queries.FILES + 1

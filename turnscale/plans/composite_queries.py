@@ -374,26 +374,34 @@ def rolling_dedup_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: a given table arrives as files, and what the job has put out when it has read all of them is the result.
 
 
-def arrivals(spark: SparkSession, rows: DataFrame, files: int = 3, last: DataFrame | None = None) -> DataFrame:
-    """rows as a stream of so many files in no order of time, one a batch; `last` comes after them and sets the watermark on."""
-    path = scratch(spark, "arrivals")
-    rows.repartition(files).write.parquet(path)
+#: Files of a batch of a stateful stream, each read by a task of its own.
+FILES = 16
+
+
+def arrivals(spark: SparkSession, rows: DataFrame, batches: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """rows as a stream of so many batches in no order of time; `last` comes after them and sets the watermark on. A batch is one
+    file, or FILES where there is a `last`."""
+    path, files = scratch(spark, "arrivals"), 1 if last is None else FILES
+    rows.repartition(batches * files).write.parquet(path)
     if last is not None:
         last.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
-    return jobs.with_schema(spark, path, rows.schema, 1)
+    return jobs.with_schema(spark, path, rows.schema, files)
 
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that the stream appends, as a table."""
     path = scratch(spark, "stream")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, jobs.ROCKSDB)
+    partitions = "spark.sql.shuffle.partitions"
+    settings = {**jobs.SETTINGS, partitions: str(min(int(spark.conf.get(partitions)), jobs.PARTITIONS))}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start(path)
         query.awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(path)
 
 

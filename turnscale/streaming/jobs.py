@@ -7,6 +7,7 @@ spark.sql.streaming.stateStore.providerClass = org.apache.spark.sql.execution.st
 from __future__ import annotations
 
 import itertools
+import operator
 import pickle
 import zlib
 from collections import deque
@@ -26,6 +27,10 @@ from turnscale.sources import versions
 from turnscale.sources.writers import fingerprint, write_change_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Each batch opens and commits the state of each shuffle partition, which takes a quarter of a second whatever is in it. So a
+#: stream should have a few for each core, not Spark's 200, and commit its changes, not its files.
+PARTITIONS = 48
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def debounce(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -169,6 +174,7 @@ def live_metrics_sink(path: str, sessions: Callable[[], DataFrame], emit: Callab
 #: How late rows may be, and how long a key may be silent before its state is dropped, unless told otherwise.
 LATE, FORGET_MS = "0 seconds", 86_400_000
 EARLIEST = -(1 << 62)
+FIRST = operator.itemgetter(0)
 #: A call of the state costs about a millisecond, so the keys of a bucket by hash share one state. A stream with far more live
 #: keys can have more buckets: what a bucket has is in memory at once, and is written again when a row of it is due.
 BUCKETS, BUCKET = 1024, "_bucket"
@@ -243,18 +249,21 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def _due_rows(self, now: int) -> tuple[dict[Any, list[tuple]], dict[Any, int]]:
-        """The rows until now by key, as (us, row), and the earliest time of those that a key has later; these go on waiting."""
+        """The rows until now by key, as (what they go by, us first, and the row), and the earliest time of those that a key has
+        later; these go on waiting."""
         ready: dict[Any, list[tuple]] = {}
         later: dict[Any, int] = {}
         rest: list[tuple] = []
+        places = [self.columns.index(c) for c in self.order]
         for block in self.waiting.get() if self.waiting.exists() else ():
             stamps, keys, columns = unpacked(block)
-            for us, key, row in zip(stamps, keys, zip(*columns, strict=True), strict=True):
-                if us <= now * 1000:
-                    ready.setdefault(key, []).append((us, row))
+            ranks = zip(stamps, *([(x is None, 0 if x is None else x) for x in columns[i]] for i in places), strict=True)
+            for rank, key, row in zip(ranks, keys, zip(*columns, strict=True), strict=True):
+                if rank[0] <= now * 1000:
+                    ready.setdefault(key, []).append((rank, row))
                 else:
-                    rest.append((us, key, row))
-                    later[key] = min(us, later.get(key, us))
+                    rest.append((rank[0], key, row))
+                    later[key] = min(rank[0], later.get(key, rank[0]))
         if ready and rest:
             stamps, keys, rows = zip(*rest, strict=True)
             self.waiting.put([(min(stamps), *packed([stamps, keys, list(zip(*rows, strict=True))]))])
@@ -268,12 +277,11 @@ class InOrder(StatefulProcessor):
         states = {"": self.clock, **self.states}
         kept = {name: unpacked(found) if (found := state.get()) else {} for name, state in states.items()}
         latest = kept.pop("")
-        places = [self.columns.index(c) for c in self.order]
         out: list[tuple] = []
         for node, rows in ready.items():
-            rows.sort(key=lambda r: (r[0], *((r[1][i] is None, 0 if r[1][i] is None else r[1][i]) for i in places)))
+            rows.sort(key=FIRST)
             out += self.advance(node, [row for _, row in rows], kept)
-            latest[node] = max(latest.get(node, EARLIEST), rows[-1][0])
+            latest[node] = max(latest.get(node, EARLIEST), rows[-1][0][0])
         due: int | None = None
         for node in list(latest):
             alone = self.due_alone(node, kept)
