@@ -196,3 +196,11 @@ def test_few_state_partitions(spark, tmp_path, monkeypatch, name):
     assert len([p for p in state.iterdir() if p.name.isdigit()]) == jobs.PARTITIONS
     assert list(state.rglob("*.changelog"))
     assert len(list((tmp_path / "arrivals").glob("*.parquet"))) == 3 * composite_queries.FILES + 1
+
+
+def test_roots_of_odd_lists(spark, tmp_path):
+    odd = 'file:///"a"\n\\é😀'
+    rows = [("c", 1, [odd, None, "", odd, "https://x"]), ("c", 2, None), ("c", 3, [odd]), ("c", 4, [odd, odd]), ("c", 5, []), ("d", 6, [None])]
+    stream = streamed(spark, rows, "client_id string, ts long, roots array<string>", tmp_path / "r", ("last", LAST, None), 2)
+    want = [("c", 1, "added", odd), ("c", 2, "removed", odd), ("c", 3, "added", odd), ("c", 5, "removed", odd)]
+    assert run(spark, jobs.roots(stream, late=LATE, forget_ms=NEVER), "odd_roots", tmp_path / "rc") == want
