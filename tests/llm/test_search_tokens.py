@@ -213,3 +213,24 @@ def test_columns_with_the_names_of_steps(spark, model):
 def test_unsupported_models():
     with pytest.raises(ValueError):
         pieces.PieceModel.parse(own_model(3))
+
+
+def test_batches_look_up_each_word_once(monkeypatch):
+    """Ids of odd texts in one batch, whose ids are put together in small parts; the reference gets texts by the batch."""
+    with open(MODEL, "rb") as f:
+        data = f.read()
+    own, reference, calls = pieces.PieceCodec(data), pieces.reference(data), []
+    monkeypatch.setattr(pieces, "IDS_AT_ONCE", 2)
+    texts = ["", "a", " a", "a ", "a  b", "a\nb", "\n", "\n\n", "a \n b", "▁", "x\0y z", "é😀 ü\n\n\nq", "\na", "a\n", "b c b d", "\r\n a"] * 3
+    found = list(own.encode(texts))
+    assert [x.tolist() for x in found] == [reference.encode(t) for t in texts]
+
+    class Counting:
+        def encode(self, group, **how):
+            calls.append(len(group))
+            return reference.encode(group, **how)
+
+    found[1] = found[1][:0]
+    check = [n % 2 == 1 for n in range(len(texts))]
+    assert list(pieces.same_ids(Counting(), texts, found, check)) == [n > 1 if c else None for n, c in enumerate(check)]
+    assert calls == [24]
