@@ -294,3 +294,32 @@ def test_a_task_lists_many_folders(spark, tmp_path):
     assert tasks and max(tasks) <= 4 * context.defaultParallelism
     assert spark.conf.get(readers.LISTING, None) == before
     assert sorted(map(tuple, rows.select("path", "length").collect())) == sorted((f"d{n}/a.py", n + 1) for n in range(100))
+
+
+def test_trees_of_packs_are_not_all_on_disk_at_once(spark, tmp_path, monkeypatch):
+    from turnscale.plans import composite_queries as queries
+
+    rows = [(n, "a" * (n % 90), f"s{n % 3}") for n in range(0, 2400, 20)] + [(n, "d" * 30_000, "s2") for n in (5, 805, 1605)]
+    rows += [(None, "b", "s0"), (7, None, "s1"), (8, "c", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, sizes, base = {}, [], f"{tmp_path}/scratch"
+    for n, text, source in rows:
+        if text is not None and source is not None:
+            pack = "__HIVE_DEFAULT_PARTITION__" if n is None else n // 100
+            folder = f"source={source}/pack={pack}"
+            want[folder] = want.get(folder, 0) + (len(text) + 1) * (40 if n is not None and pack % 8 == 0 else 1)
+    read = queries.readers.read_source_tree
+
+    def measured(spark, root, project_id):
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / "scratch").rglob("*.txt")))
+        return read(spark, root, project_id)
+
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: f"file://{base}")
+    monkeypatch.setattr(queries, "TREES", 6, raising=False)
+    monkeypatch.setattr(queries, "TREE_BYTES", 1000, raising=False)
+    monkeypatch.setattr(queries.readers, "read_source_tree", measured)
+    found = queries.QUERIES["read_source_tree_of_packs"](spark, str(tmp_path))
+    assert dict(map(tuple, found.collect())) == {k: v for k, v in want.items() if v <= 1_000_000}
+    assert found.count() == len(want) - 3 and sum(sizes) == sum(want.values())
+    assert max(sizes) < 0.7 * sum(want.values())
+    assert not [*(tmp_path / "scratch").rglob("*.txt")]

@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +51,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # Sources
 
+#: Files that take many times the disk of the input are written as so many trees at most, one after the other; as fewer where
+#: these would have less than so many bytes.
+TREES, TREE_BYTES = 10, 256 << 20
+
 
 @register("SELECT session_id, turn_id, CAST(length(text) AS BIGINT) AS char_count, injected, false AS incomplete, epoch_us(make_timestamp(recorded_s * 1000000)) // 1000000 AS second FROM {v_turns}")
 def read_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +87,35 @@ def read_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT folder, CAST(sum(b) AS BIGINT) AS bytes FROM d GROUP BY folder HAVING sum(b) <= 1000000""")
 def read_source_tree_of_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each source's share of a hundred documents, so that there are more files of more documents. Every eighth has its
-    texts forty times, which puts most of these over a megabyte."""
-    path, pack = scratch(spark, "packs"), F.expr("doc_id DIV 100")
-    rows = view(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", pack.alias("pack"), F.explode(F.array_repeat("text", F.when(pack % 8 == 0, 40).otherwise(1))).alias("text"))
-    # The work is in the number of files, so their tasks don't go by bytes.
-    rows.repartition(4 * spark.sparkContext.defaultParallelism, "source", "pack").write.partitionBy("source", "pack").text(path)
-    found = readers.read_source_tree(spark, path, "p")
-    return found.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder"), F.octet_length("content").cast("long").alias("bytes"))
+    texts forty times, which puts most of these over a megabyte.
+
+    The files take many times the disk of their documents, so they are dealt into trees, each of which is written, read and
+    deleted by itself.
+    """
+    base, copies = scratch(spark, "packs"), F.when(F.col("pack") % 8 == 0, 40).otherwise(1)
+    rows = view(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", F.expr("doc_id DIV 100").alias("pack"), "text")
+    size = rows.agg(F.sum((F.octet_length("text") + F.lit(1)).cast("long") * copies)).first()[0] or 0
+    count, tasks = min(TREES, size // TREE_BYTES + 1), 4 * spark.sparkContext.defaultParallelism
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("source", "pack"), F.lit(count)).cast("int"))
+    parted.write.option("compression", "zstd").partitionBy("part").parquet(f"{base}/parts")
+    with ThreadPoolExecutor(1) as beside:
+        deleted: Future | None = None
+        for part in range(count):
+            path = f"{base}/tree-{part}"
+            texts = spark.read.schema(parted.schema).parquet(f"{base}/parts").filter(F.col("part") == part)
+            # The work is in the number of files, so their tasks don't go by bytes. Copies are made behind the shuffle.
+            dealt = texts.repartition(tasks, "source", "pack").select("source", "pack", F.explode(F.array_repeat("text", copies)).alias("text"))
+            dealt.write.partitionBy("source", "pack").text(path)
+            found = readers.read_source_tree(spark, path, "p")
+            found = found.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder"), F.octet_length("content").cast("long").alias("bytes"))
+            found.coalesce(tasks).write.mode("append").parquet(f"{base}/found")
+            # Many files take a while to delete, so that goes on while the next tree is begun; a third isn't before it has ended.
+            if deleted:
+                deleted.result()
+            deleted = beside.submit(delete, spark, path)
+            delete(spark, f"{base}/parts/part={part}")
+        deleted.result()
+    return spark.read.schema(found.schema).parquet(f"{base}/found")
 
 
 @register("""SELECT CAST(p_partkey % 7 AS STRING) AS provider, CAST(p_partkey % 50 AS STRING) AS model, CAST(max(p_partkey) AS DOUBLE) AS input_per_m, CAST(min(p_partkey) AS DOUBLE) AS output_per_m FROM part GROUP BY 1, 2""".replace("STRING", "VARCHAR"))
